@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlefold.llm import secrets, simhash
+from candlefold.llm import linededup, packing, quality, secrets, simhash
 from candlefold.llm.common import documents
 
 
@@ -23,5 +23,21 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash, "op2_secrets": op2_secrets}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.dedup(documents(spark, sf_dir))
+    spans = F.transform("runs", lambda r: F.concat_ws("-", r["first"], r["last"]))
+    return done.select("row.doc_id", "text", "n_lines", "n_removed", F.coalesce(F.array_join(spans, ","), F.lit("")).alias("removed_lines"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_quality": op3_quality, "op9_line_dedup": op9_line_dedup, "op10_packing": op10_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
