@@ -112,27 +112,27 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.005,
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     c = F.col("c")
-    rules = F.array(
-        *[
-            F.struct(F.lit(r).alias("rule"), F.size(F.filter(F.array(*map(F.lit, CUTOFFS[r])), lambda x, v=v: v >= x)).alias("level"))
-            for r, v in rule_values(c).items()
-        ]
-    )
+
+    def level(rule: str, value: Column) -> Column:
+        """How many of the rule's cutoffs the value reaches."""
+        return sum((F.coalesce(value >= x, F.lit(False)).cast("int") for x in CUTOFFS[rule]), F.lit(0))
+
+    rules = F.array(*[F.struct(F.lit(r).alias("rule"), level(r, v).alias("level")) for r, v in rule_values(c).items()])
     held = measured.where(~base_failed(c)).hint("merge").join(marks, "doc_id")
     by_level = held.select("stratum", "quality", F.explode(rules).alias("r")).groupBy("stratum", "r.rule", "r.level").agg(
         F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")
     )
     by_level = stored(by_level, "quality-levels")
     pairs = by_level.where("good > 0").select("stratum", "rule").distinct().count()
-    level = delta / max(1, pairs)
+    error = delta / max(1, pairs)
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
         rule, n = pdf["rule"].iloc[0], int(pdf["good"].sum())
         best = None
-        for at, cutoff in enumerate(CUTOFFS[rule], 1):
-            over = pdf[pdf["level"] >= at]
+        for looser, cutoff in enumerate(CUTOFFS[rule]):
+            over = pdf[pdf["level"] >= len(CUTOFFS[rule]) - looser]
             k, bad = int(over["good"].sum()), int(over["bad"].sum())
-            if not n or k > alpha * n or log_binomial_tail(k, n, alpha) > math.log(level):
+            if not n or k > alpha * n or log_binomial_tail(k, n, alpha) > math.log(error):
                 break
             if bad and (best is None or bad > best[0]):
                 best = (bad, cutoff, k)
