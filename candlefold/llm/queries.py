@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlefold.llm import linededup, packing, quality, secrets, simhash
-from candlefold.llm.common import documents
+from candlefold.llm import linededup, mtree, packing, quality, secrets, simhash, triebpe
+from candlefold.llm.common import documents, ship_package
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triebpe.encode(documents(spark, sf_dir))
+
+
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup(documents(spark, sf_dir))
     spans = F.transform("runs", lambda r: F.concat_ws("-", r["first"], r["last"]))
@@ -38,6 +48,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash, "op2_secrets": op2_secrets, "op3_quality": op3_quality, "op9_line_dedup": op9_line_dedup, "op10_packing": op10_packing,
-}
+    "op1_simhash": op1_simhash,
+    "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
+    "op4_trie_bpe": op4_trie_bpe,
+    "op6_mtree": op6_mtree,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_packing": op10_packing,
+}
 ORACLE_SQL: dict[str, str] = {}
