@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlefold.llm.common import stored
+
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
@@ -71,7 +73,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     )
     src = src.withColumn("text_key", F.xxhash64("text"))
     keep = ("doc_id", "text_key", "owner", "repo")
-    cand = candidates(src, "text", keep).withColumn("h", F.sha2("value", 256)).drop("value")
+    cand = stored(candidates(src, "text", keep).withColumn("h", F.sha2("value", 256)).drop("value"), "secrets-candidates")
     counts = cand.select("h", "owner", "repo").distinct().groupBy("h").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
     judged = cand.hint("merge").join(counts, "h").select("doc_id", "text_key", "kind", "start", "stop", (F.col("owners") <= max_owners).alias("own")).distinct()
     base, extra = judged.where("kind < 3"), judged.where("kind = 3 and own")
