@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlefold.llm import linededup, mtree, packing, quality, secrets, simhash, triebpe
+from candlefold.llm import htmltext, linededup, mtree, packing, quality, secrets, simhash, toxicity, triebpe, warc
 from candlefold.llm.common import documents, ship_package
 
 
@@ -31,12 +31,32 @@ def op4_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triebpe.encode(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_word")
+
+
 def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    archives = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.page_records(warc.read(archives, with_data=False))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    pages = htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.dedup(documents(spark, sf_dir))
     spans = F.transform("runs", lambda r: F.concat_ws("-", r["first"], r["last"]))
@@ -52,7 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_quality": op3_quality,
     "op4_trie_bpe": op4_trie_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_mtree": op6_mtree,
+    "op7_warc": op7_warc,
+    "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
