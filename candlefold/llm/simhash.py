@@ -134,3 +134,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose component holds a smaller id.
+
+    Rows without an id stay; so do all rows of the kept id.
+    """
+    found = components(docs, id_col, text_col, shingle_words)
+    gone = stored(found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct(), "simhash-gone")
+    return docs.hint("merge").join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
