@@ -12,7 +12,7 @@ C = F.col
 
 def clean_bars(raw: DataFrame, arrival: str = "arrival") -> DataFrame:
     """Rows with an ISO date and a finite positive close; the first arrival of a (sym, date) wins; other prices default to close."""
-    date = F.try_to_date(C("date").cast("string"), F.lit("yyyy-MM-dd"))
+    date = F.try_to_date(C("date").cast("string"), "yyyy-MM-dd")
     good = raw.withColumn("date", date).where(C("date").isNotNull() & ~F.isnan("close") & (C("close") > 0) & (C("close") < float("inf")))
     first = Window.partitionBy("sym", "date").orderBy(arrival)
     one = good.withColumn("_k", F.row_number().over(first)).where(C("_k") == 1)

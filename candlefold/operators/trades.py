@@ -17,13 +17,12 @@ def fresh(df: DataFrame, side: str = "side") -> DataFrame:
     return df.withColumn("_before", F.lag(side).over(w)).where(C(side).isNotNull() & ~C(side).eqNullSafe(C("_before"))).drop("_before")
 
 
-def bounce_rules(spark: SparkSession) -> DataFrame:
+def bounce_rule_rows() -> list[tuple]:
     targets, times = ("none", "firstUp", "rsi65", "rsi70", "close5sma", "pctB50"), (None, 2, 3, 4)
-    rows = [(f"{t}+{d}d" if d else t, t, None, d, 2.5, None, None, True) for t in targets for d in times]
-    return spark.createDataFrame(rows, RULE_SCHEMA)
+    return [(f"{t}+{d}d" if d else t, t, None, d, 2.5, None, None, True) for t in targets for d in times]
 
 
-def swing_rules(spark: SparkSession, horizon: int = 63) -> DataFrame:
+def swing_rule_rows(horizon: int = 63) -> list[tuple]:
     """Named exit rules: fixed holds, trend exits, ATR stops, chandelier trails, percentage targets and caps."""
     rows = [(f"hold{n}", "none", None, n, None, None, None, False) for n in (horizon, 40, 20)]
     for target, name in (("trendBreak", "tb"), ("maCross", "cross")):
@@ -32,6 +31,10 @@ def swing_rules(spark: SparkSession, horizon: int = 63) -> DataFrame:
     rows += [(f"pct{int(100 * p)}_atr3", "pct", p, horizon, 3.0, None, None, False) for p in (0.15, 0.20)]
     rows += [("flip_atr3", "none", None, horizon, 3.0, None, None, True), ("flip_chand3", "none", None, horizon, None, None, 3.0, True)]
     rows += [(f"{n}_cap{int(100 * c)}", t, None, horizon, s, c, None, False) for c in (0.15, 0.20) for n, t, s in (("cross_atr4", "maCross", 4.0), ("hold", "none", None))]
+    return rows
+
+
+def rule_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 

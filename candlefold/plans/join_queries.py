@@ -92,16 +92,16 @@ def c10(s, d):
     return b.join(a, "sym", "left").select("sym", F.coalesce("was", F.lit("FLAT")).alias("was"), "now")
 
 
-ANTI = "tracked AS (SELECT DISTINCT sym FROM ord WHERE o_orderpriority = '5-LOW' AND date >= DATE '1998-07-15' AND o_totalprice > 400000), cooling AS (SELECT DISTINCT sym FROM ind WHERE date >= (SELECT max(date) FROM bars) - 10 AND close / pc < 0.15)"
+ANTI = "tracked AS (SELECT DISTINCT sym FROM ord WHERE o_orderpriority = '5-LOW' AND date >= DATE '1998-07-15' AND o_totalprice > 440000), cooling AS (SELECT DISTINCT sym FROM ind WHERE date >= (SELECT max(date) FROM bars) - 10 AND close / pc < 0.1)"
 
 
 @query("c11_exclude_tracked", ", " + ANTI + " SELECT DISTINCT sym FROM bars WHERE sym NOT IN (SELECT sym FROM tracked) AND sym NOT IN (SELECT sym FROM cooling)")
 def c11(s, d):
     o = tables._orders(s, d)
-    tracked = o.where("o_orderpriority = '5-LOW' and to_date(o_orderdate) >= date'1998-07-15' and o_totalprice > 400000").select("sym").distinct()
+    tracked = o.where("o_orderpriority = '5-LOW' and to_date(o_orderdate) >= date'1998-07-15' and o_totalprice > 440000").select("sym").distinct()
     x = indicators.with_ranges(bars(s, d))
     end = x.agg(F.date_sub(F.max("date"), 10).alias("cut"))
-    cooling = x.join(F.broadcast(end), C("date") >= C("cut")).where("close / pc < 0.15").select("sym").distinct()
+    cooling = x.join(F.broadcast(end), C("date") >= C("cut")).where("close / pc < 0.1").select("sym").distinct()
     return bars(s, d).select("sym").distinct().join(tracked, "sym", "left_anti").join(cooling, "sym", "left_anti")
 
 
@@ -250,10 +250,10 @@ def g08(s, d):
     return a.intersect(b)
 
 
-@query("g09_except", SETS + " SELECT sym FROM a EXCEPT SELECT sym FROM b")
+@query("g09_except", SETS + " SELECT sym FROM b EXCEPT SELECT sym FROM a")
 def g09(s, d):
     a, b = sets(s, d)
-    return a.subtract(b)
+    return b.subtract(a)
 
 
 @query("g10_first_rule_wins", ", ru AS (SELECT o_orderpriority AS label, o_orderkey AS id, o_totalprice AS v FROM orders) SELECT label, arg_min(v, id) AS v, count(*) AS n FROM ru GROUP BY label")
