@@ -5,13 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlefold.sources.shared import ship_package
+
 #: A word is a maximal run of characters outside ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -104,17 +104,3 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "componen
 def _mark(edges: DataFrame) -> tuple:
     """Count and order-free digest: equal before and after a round means nothing moved."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, as ``--py-files`` would; once per application."""
-    context = spark.sparkContext
-    if getattr(context, "_candlefold_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="spark-py-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for file in sorted(root.rglob("*.py")):
-            archive.write(file, file.relative_to(root.parent))
-    context.addPyFile(str(target))
-    context._candlefold_shipped = True
