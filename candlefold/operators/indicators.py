@@ -36,19 +36,19 @@ class Bars:
 
     def ret(self, n: int) -> Column:
         then = self.lag(self.close, n)
-        return F.when(then > 0, self.close / then - 1)
+        return F.when(then > 0, F.try_divide(self.close, then) - 1)
 
     def strength(self) -> Column:
         """Weighted rate of change over the legs there are, weights made to sum to 1; needs 64 bars."""
         legs = [(self.ret(n), w) for n, w in STRENGTH_LEGS]
         total = sum((F.coalesce(r * w, F.lit(0.0)) for r, w in legs), F.lit(0.0))
         weight = sum((F.when(r.isNotNull(), w).otherwise(0.0) for r, w in legs), F.lit(0.0))
-        return F.when((self.rn >= 64) & (weight > 0), total / weight)
+        return F.when((self.rn >= 64) & (weight > 0), F.try_divide(total, weight))
 
     def relative_volume(self) -> Column:
         v, before = F.when(self.volume > 0, self.volume), self.over(-20, -1)
         ok = (self.rn >= 21) & (F.count(v).over(before) >= 15)
-        return F.when(ok, self.volume / F.avg(v).over(before))
+        return F.when(ok, F.try_divide(self.volume, F.avg(v).over(before)))
 
     def positive_mean(self, x: Column, n: int) -> Column:
         return F.avg(F.when(x > 0, x)).over(self.last(n))
@@ -59,13 +59,13 @@ def with_ranges(bars: DataFrame, key: tuple[str, ...] = ("sym",)) -> DataFrame:
     b = Bars(key)
     pc = b.lag(b.close)
     change = b.close - pc
-    gap = F.abs(b.open / pc - 1)
+    gap = F.abs(F.try_divide(b.open, pc) - 1)
     money = b.close * b.volume
     signed = F.when(pc.isNotNull() & (b.volume > 0), F.when(b.close > pc, money).when(b.close < pc, -money).otherwise(0.0))
     return bars.select(
         "*", b.rn.alias("rn"), pc.alias("pc"), b.true_range().alias("tr"), F.greatest(change, F.lit(0.0)).alias("gain"), F.greatest(-change, F.lit(0.0)).alias("loss"),
         F.when((pc > 0) & gap.between(-0.9, 9), gap).alias("gap"), signed.alias("flow1"), money.alias("money"), b.lag(b.close, 2).alias("pc2"),
-        F.when(b.close > 0, (b.high - b.low) / b.close).alias("range_pct"), b.lag(b.volume).alias("pv"),
+        F.when(b.close > 0, F.try_divide(b.high - b.low, b.close)).alias("range_pct"), b.lag(b.volume).alias("pv"),
     )
 
 
@@ -79,27 +79,27 @@ def indicators(bars: DataFrame, key: tuple[str, ...] = ("sym",)) -> DataFrame:
     ups = F.sum(F.when(F.col("flow1") > 0, F.col("flow1"))).over(b.last(10))
     downs = F.sum(F.when(F.col("flow1") < 0, -F.col("flow1"))).over(b.last(10))
     both = F.coalesce(ups, F.lit(0.0)) + F.coalesce(downs, F.lit(0.0))
-    flow = F.when((F.count("flow1").over(b.last(10)) >= 6) & (both > 0), (F.coalesce(ups, F.lit(0.0)) - F.coalesce(downs, F.lit(0.0))) / both)
+    flow = F.when((F.count("flow1").over(b.last(10)) >= 6) & (both > 0), F.try_divide(F.coalesce(ups, F.lit(0.0)) - F.coalesce(downs, F.lit(0.0)), both))
     vol = F.when(b.volume > 0, b.volume)
     near, far = b.over(-4, 0), b.over(-24, -5)
-    dry = F.avg(vol).over(near) / F.avg(vol).over(far)
+    dry = F.try_divide(F.avg(vol).over(near), F.avg(vol).over(far))
     gaps = F.count("gap").over(b.last(60))
     atr = {n: F.avg("tr").over(b.last(n)) for n in (5, 14, 20)}
     high, low = F.max("close").over(b.last(260)), F.min("close").over(b.last(260))
     adr = F.avg("range_pct").over(b.last(20))
     return d.select(
         "*", *[v.alias(f"atr{n}") for n, v in atr.items()], *[b.sma(n).alias(f"sma{n}") for n in (5, 20, 50, 200)],
-        F.when(rn >= 3, F.when(losses == 0, 100.0).otherwise(100 - 100 / (1 + gains / losses))).alias("rsi2"),
-        F.when(rn >= 20, F.when(sd == 0, 0.5).otherwise((b.close - (mid - 2 * sd)) / (4 * sd))).alias("pctb"),
-        b.relative_volume().alias("rv"), F.when(span > 0, (b.close - b.low) / span).alias("pos"), b.strength().alias("strength"),
+        F.when(rn >= 3, F.when(losses == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gains, losses)))).alias("rsi2"),
+        F.when(rn >= 20, F.when(sd == 0, 0.5).otherwise(F.try_divide(b.close - (mid - 2 * sd), 4 * sd))).alias("pctb"),
+        b.relative_volume().alias("rv"), F.when(span > 0, F.try_divide(b.close - b.low, span)).alias("pos"), b.strength().alias("strength"),
         F.when((rn >= 26) & (F.count(vol).over(near) >= 4) & (F.count(vol).over(far) >= 15) & dry.between(0, 20), dry).alias("dryup"),
-        F.when((atr[5] / atr[20]).between(0, 20), atr[5] / atr[20]).alias("expansion"),
+        F.when(F.try_divide(atr[5], atr[20]).between(0, 20), F.try_divide(atr[5], atr[20])).alias("expansion"),
         F.when((rn >= 21) & (gaps >= 15), F.avg("gap").over(b.last(60))).alias("gap_avg"),
         F.when((rn >= 21) & (gaps >= 15), F.avg((F.col("gap") >= 0.03).cast("double")).over(b.last(60))).alias("gap_share"),
         F.when(F.count("range_pct").over(b.last(20)) >= 15, adr * 100).alias("adr"),
         b.positive_mean(F.col("money"), 20).alias("adv"), b.ret(62).alias("ret63"), b.ret(125).alias("ret126"), b.ret(126).alias("ret126_index"), b.ret(252).alias("ret252"),
-        high.alias("high260"), low.alias("low260"), ((high - b.close) / high).alias("off_high"), ((b.close - low) / low).alias("off_low"), flow.alias("flow10"),
-        F.stddev_samp(F.log(b.close / F.col("pc"))).over(b.last(20)).alias("sd20"),
+        high.alias("high260"), low.alias("low260"), F.try_divide(high - b.close, high).alias("off_high"), F.try_divide(b.close - low, low).alias("off_low"), flow.alias("flow10"),
+        F.stddev_samp(F.log(F.try_divide(b.close, F.col("pc")))).over(b.last(20)).alias("sd20"),
     )
 
 
@@ -107,7 +107,7 @@ def distribution_days(bars: DataFrame, key: tuple[str, ...] = ("sym",), sessions
     """Adds ``dist_days``: of the last sessions, falls on higher volume that the present close has not outrun; null before 26 bars."""
     b = Bars(key)
     d = bars.select("*", b.rn.alias("rn"), b.lag(b.close).alias("pc"), b.lag(b.volume).alias("pv"))
-    fell = (b.close / F.col("pc") - 1 <= drop) & (b.volume > F.col("pv"))
+    fell = (F.try_divide(b.close, F.col("pc")) - 1 <= drop) & (b.volume > F.col("pv"))
     marks = F.collect_list(F.when(fell, b.close)).over(b.last(sessions))
     return d.select("*", F.when(F.col("rn") >= sessions + 1, F.size(F.filter(marks, lambda c: F.col("close") <= c * expiry))).alias("dist_days"))
 
@@ -120,8 +120,8 @@ def beta(joined: DataFrame, n: int = 252, least: int = 100) -> DataFrame:
     x, y = F.when(pair, F.col("ri")), F.when(pair, F.col("r"))
     lx, ly = F.log1p(x), F.log1p(y)
     k = F.count(x).over(w)
-    slope = (F.sum(x * y).over(w) - F.sum(x).over(w) * F.sum(y).over(w) / k) / (F.sum(x * x).over(w) - F.sum(x).over(w) * F.sum(x).over(w) / k)
-    return joined.select("*", F.when(k >= least, slope).alias("beta"), F.when(F.count(x).over(w2) > 30, F.sum(lx * ly).over(w2) / F.sum(lx * lx).over(w2)).alias("beta0"))
+    slope = F.try_divide(F.sum(x * y).over(w) - F.try_divide(F.sum(x).over(w) * F.sum(y).over(w), k), F.sum(x * x).over(w) - F.try_divide(F.sum(x).over(w) * F.sum(x).over(w), k))
+    return joined.select("*", F.when(k >= least, slope).alias("beta"), F.when(F.count(x).over(w2) > 30, F.try_divide(F.sum(lx * ly).over(w2), F.sum(lx * lx).over(w2))).alias("beta0"))
 
 
 def cross_age(ind: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def agreement(direction: Column) -> Column:
 def trend_points(sign: int = 1) -> Column:
     """3 for price over the 50-bar average by 8 % and that over the 200-bar one, 2 for the order alone, 1 for price alone."""
     p, a, b = C("close") * sign, C("sma50") * sign, C("sma200") * sign
-    lead = (p - a) / C("sma50")
+    lead = F.try_divide(p - a, C("sma50"))
     return F.when(C("rn") >= 200, F.when((p > a) & (a > b) & (lead >= 0.08), 3).when((p > a) & (a > b), 2).when(p > a, 1).otherwise(0))
 
 

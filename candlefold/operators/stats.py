@@ -12,19 +12,26 @@ def summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """n, mean, win rate, profit factor (null without losses), sample sd, Sharpe, Sortino, lower median."""
     x = C(value)
     loss, win = F.sum(F.when(x <= 0, -x)), F.sum(F.when(x > 0, x))
-    down = F.sqrt(F.sum(F.when(x < 0, x * x)) / F.count_if(x < 0))
+    down = F.sqrt(F.try_divide(F.sum(F.when(x < 0, x * x)), F.count_if(x < 0)))
     return df.groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("win_rate"), F.when(loss > 0, F.coalesce(win, F.lit(0.0)) / loss).alias("profit_factor"),
-        F.stddev_samp(x).alias("sd"), F.when(F.stddev_samp(x) > 0, F.avg(x) / F.stddev_samp(x)).alias("sharpe"), F.when(down > 0, F.avg(x) / down).alias("sortino"),
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("win_rate"), F.when(loss > 0, F.try_divide(F.coalesce(win, F.lit(0.0)), loss)).alias("profit_factor"),
+        F.stddev_samp(x).alias("sd"), F.when(F.stddev_samp(x) > 0, F.try_divide(F.avg(x), F.stddev_samp(x))).alias("sharpe"), F.when(down > 0, F.try_divide(F.avg(x), down)).alias("sortino"),
         F.expr(f"percentile_disc(0.5) within group (order by {value})").alias("median_low"),
     )
 
 
+def corr(x: Column, y: Column) -> Column:
+    """Correlation of complete pairs; null without variance, where the built-in one fails."""
+    pair = x.isNotNull() & y.isNotNull()
+    a, b = F.when(pair, x.cast("double")), F.when(pair, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """n and ic: the correlation of complete pairs, null below three pairs or without variance."""
     pair = df.where(C(x).isNotNull() & C(y).isNotNull())
     flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-    return pair.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & ~flat, F.corr(C(x).cast("double"), C(y).cast("double"))).alias("ic"))
+    return pair.groupBy(*by).agg(F.count("*").alias("n"), F.when((F.count("*") >= 3) & ~flat, corr(C(x), C(y))).alias("ic"))
 
 
 def average_rank(df: DataFrame, x: str, by: tuple[str, ...], name: str) -> DataFrame:
@@ -45,7 +52,7 @@ def auc(df: DataFrame, x: str, label: Column, *by: str) -> DataFrame:
     d = df.where(C(x).isNotNull() & label.isNotNull()).select(*by, x, label.cast("long").alias("_y"))
     r = average_rank(d, x, by, "_r").groupBy(*by).agg(F.sum(C("_r") * C("_y")).alias("s"), F.sum("_y").alias("p"), F.count("*").alias("n"))
     q = C("n") - C("p")
-    return r.select(*by, "n", F.when((C("p") > 0) & (q > 0), (C("s") - C("p") * (C("p") + 1) / 2) / (C("p") * q)).alias("auc"))
+    return r.select(*by, "n", F.when((C("p") > 0) & (q > 0), F.try_divide(C("s") - C("p") * (C("p") + 1) / 2, C("p") * q)).alias("auc"))
 
 
 def max_drawdown(df: DataFrame, pct: str, order: str, *by: str) -> DataFrame:
@@ -66,7 +73,7 @@ def attribution(long: DataFrame, value: str) -> DataFrame:
     d = long.where(C("points").isNotNull() & C(value).isNotNull())
     return d.groupingSets([[C("key"), C("points")], [C("key")]], C("key"), C("points")).agg(
         F.count("*").alias("n"), F.avg(value).alias("avg_ret"), F.avg((C(value) > 0).cast("double")).alias("win_rate"),
-        F.when((F.grouping("points") == 1) & (F.count("*") >= 3), F.corr(C("points").cast("double"), C(value))).alias("ic"),
+        F.when((F.grouping("points") == 1) & (F.count("*") >= 3), corr(C("points"), C(value))).alias("ic"),
     )
 
 
@@ -94,7 +101,7 @@ def normal_cdf(z: Column) -> Column:
 
 def significance(df: DataFrame, value: str, tests: Column, *by: str) -> DataFrame:
     s = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    t = F.when(C("sd") > 0, C("mean") / (C("sd") / F.sqrt("n")))
+    t = F.when(C("sd") > 0, F.try_divide(C("mean"), C("sd") / F.sqrt("n")))
     d = s.select(*by, "n", t.alias("t"))
     p = 2 * (1 - normal_cdf(F.abs(C("t"))))
     return d.select(*by, "n", "t", p.alias("p"), F.least(F.lit(1.0), p * tests).alias("p_bonferroni"), (p * tests < 0.05).alias("survives"))
@@ -111,7 +118,7 @@ def bootstrap_means(df: DataFrame, value: str, id_: str, reps: int, seed: int =
     cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
     weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
     each = df.select(id_, value, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("rep", value, weight.alias("w"))
-    return each.groupBy("rep").agg((F.sum(C(value) * C("w")) / F.sum("w")).alias("mean"))
+    return each.groupBy("rep").agg(F.try_divide(F.sum(C(value) * C("w")), F.sum("w")).alias("mean"))
 
 
 def concurrency(trades: DataFrame, entry: str = "entry_date", exit: str = "exit_date") -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from candlefold.operators import asof, indicators, trades
+from candlefold.operators import asof, indicators, stats, trades
 from candlefold.plans.base import C, bars, index_ind, query, r, regime, swing, with_market
 from candlefold.sources import tables
 
@@ -151,7 +151,7 @@ def c16(s, d):
     """Five factors make ten pairs: columns of one pass rather than a self join."""
     x = swing(s, d).where("rn >= 200")
     pairs = [(a, b) for a in PAIRS for b in PAIRS if a < b]
-    one = x.agg(*[F.round(F.corr(C(f"{a}_buy").cast("double"), C(f"{b}_buy").cast("double")), 4).alias(f"{a}|{b}") for a, b in pairs])
+    one = x.agg(*[F.round(stats.corr(C(f"{a}_buy"), C(f"{b}_buy")), 4).alias(f"{a}|{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), C(f"`{a}|{b}`").alias("corr")) for a, b in pairs])
     return one.select(F.explode(rows).alias("p")).select("p.*")
 

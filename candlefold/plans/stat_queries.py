@@ -67,7 +67,7 @@ round(CASE WHEN grouping(points) = 1 THEN corr(points_, fwd) END, 4) AS ic FROM
 def f09(s, d):
     long = stats.unpivot_factors(fwd(s, d), KEYS, ("fwd",))
     by = long.groupBy("key", "points").agg(F.count("*").alias("n"), F.avg("fwd").alias("avg_ret"), F.avg((C("fwd") > 0).cast("double")).alias("win_rate"), F.lit(None).cast("double").alias("ic"))
-    whole = long.groupBy("key").agg(F.lit(None).cast("int").alias("points"), F.count("*").alias("n"), F.avg("fwd").alias("avg_ret"), F.avg((C("fwd") > 0).cast("double")).alias("win_rate"), F.corr(C("points").cast("double"), "fwd").alias("ic"))
+    whole = long.groupBy("key").agg(F.lit(None).cast("int").alias("points"), F.count("*").alias("n"), F.avg("fwd").alias("avg_ret"), F.avg((C("fwd") > 0).cast("double")).alias("win_rate"), stats.corr(C("points"), C("fwd")).alias("ic"))
     return rounded(by.unionByName(whole), "key", "points", ints=("n",))
 
 
@@ -256,7 +256,7 @@ def f29(s, d):
 SELECT key, round(avg(ic), 4) AS mean_ic, count(*) FILTER (ic > 0) AS pos, count(*) FILTER (ic < 0) AS neg FROM c GROUP BY key""")
 def f30(s, d):
     """Sign agreement of each factor's correlation across the sectors as universes."""
-    c = stats.unpivot_factors(fwd(s, d), KEYS, ("fwd", "sector")).groupBy("key", "sector").agg(F.corr(C("points").cast("double"), "fwd").alias("ic"))
+    c = stats.unpivot_factors(fwd(s, d), KEYS, ("fwd", "sector")).groupBy("key", "sector").agg(stats.corr(C("points"), C("fwd")).alias("ic"))
     return c.groupBy("key").agg(F.round(F.avg(F.when(~F.isnan("ic"), C("ic"))), 4).alias("mean_ic"), F.count_if((C("ic") > 0) & ~F.isnan("ic")).alias("pos"), F.count_if(C("ic") < 0).alias("neg"))
 
 
@@ -304,7 +304,7 @@ def f37(s, d):
     x = edge(s, d).join(F.broadcast(regime(s, d).select("date", "uptrend")), "date", "left")
     ok = C("pos").isNotNull()
     g = x.groupBy(F.coalesce(C("uptrend"), F.lit(False)).alias("bull")).agg(
-        F.count("*").alias("n"), F.corr("strength", "ret63").alias("collinear"), F.corr("strength", "fwd").alias("a"), F.corr(F.when(ok, C("pos")), F.when(ok, C("fwd"))).alias("b"),
+        F.count("*").alias("n"), stats.corr(C("strength"), C("ret63")).alias("collinear"), stats.corr(C("strength"), C("fwd")).alias("a"), stats.corr(C("pos"), C("fwd")).alias("b"),
         F.avg(F.when(C("pos") <= 0.2, C("fwd"))).alias("low_fwd"), F.avg(F.when(C("pos") > 0.8, C("fwd"))).alias("high_fwd"),
     )
     return rounded(g, "bull", ints=("n",))
