@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlefold.llm import htmltext, linededup, mtree, packing, quality, secrets, simhash, toxicity, triebpe, warc
+from candlefold.llm import htmltext, linededup, mtree, oracles, packing, quality, secrets, simhash, toxicity, triebpe, warc
 from candlefold.llm.common import documents, ship_package
 
 
@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": oracles.SECRETS, "op3_quality": oracles.QUALITY, "op6_mtree": oracles.TOP_K, "op7_warc": oracles.WARC}
