@@ -62,3 +62,20 @@ WARC = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(htm
 d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, hex, (SELECT string_agg(substr('{_B32}', (('0x' || substr(hex, 1 + (i // 8) * 10, 10))::BIGINT >> (5 * (7 - i % 8)) & 31)::INT + 1, 1), '' ORDER BY i) FROM (SELECT unnest(range(0, 32)) AS i)) AS payload_digest FROM p),
 b AS (SELECT hex, max(page_id) AS best FROM d GROUP BY hex)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM d JOIN b USING (hex)"""
+
+#: Every stretch of whole lines of 50 words is compared by its text; no fingerprints.
+LINES = r"""WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+a AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM t),
+l AS (SELECT * FROM (SELECT *, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n FROM a) WHERE n > 0),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS stop FROM l), s2 AS (SELECT *, stop - n AS start FROM s),
+w AS (SELECT doc_id, array_to_string(list(line) OVER o, chr(10)) AS k, min(pos) OVER o AS f, max(pos) OVER o AS z, sum(n) OVER o AS words FROM s2 WINDOW o AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION SELECT doc_id, array_to_string(list(line) OVER o, chr(10)), min(pos) OVER o, max(pos) OVER o, sum(n) OVER o FROM s2 WINDOW o AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id, f) AS nth FROM (SELECT DISTINCT doc_id, k, f, z FROM w WHERE words >= 50)),
+x AS (SELECT DISTINCT doc_id, f, z FROM r WHERE nth > 1),
+y AS (SELECT *, max(z) OVER (PARTITION BY doc_id ORDER BY f, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
+i AS (SELECT *, sum(CASE WHEN f <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY f, z) AS run FROM y),
+u AS (SELECT doc_id, run, min(f) AS f, max(z) AS z FROM i GROUP BY doc_id, run),
+g AS (SELECT doc_id, string_agg(f || '-' || z, ',' ORDER BY f) AS removed_lines, sum(z - f + 1)::BIGINT AS n_removed FROM u GROUP BY doc_id),
+kept AS (SELECT a.doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.doc_id = a.doc_id AND a.pos BETWEEN u.f AND u.z) GROUP BY a.doc_id)
+SELECT t.doc_id, CASE WHEN g.doc_id IS NULL THEN t.text ELSE coalesce(kept.text, '') END AS text, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines
+FROM t LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {"op2_secrets": oracles.SECRETS, "op3_quality": oracles.QUALITY, "op6_mtree": oracles.TOP_K, "op7_warc": oracles.WARC}
+ORACLE_SQL: dict[str, str] = {"op2_secrets": oracles.SECRETS, "op3_quality": oracles.QUALITY, "op6_mtree": oracles.TOP_K, "op7_warc": oracles.WARC, "op9_line_dedup": oracles.LINES}
