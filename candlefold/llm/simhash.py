@@ -138,26 +138,28 @@ def hex_digits(fp: Column) -> Column:
 
 # ---- near-duplicates by similarity ---------------------------------------------------------------------------------
 # At a similarity of 0.8 on five-word shingles some 2 % of the words differ. Fingerprints of the shingles then differ in
-# about nine of 64 bits, too many for exact multi-index hashing; fingerprints of 128 bits over the distinct words differ in
-# about as many of 128. Their four segments of 32 bits are looked up with a ball of radius one on either side, so segments
+# about nine of 64 bits, too many for exact multi-index hashing; fingerprints of 192 bits over the distinct words differ in
+# about 14 of 192. Their six segments of 32 bits are looked up with a ball of radius one on either side, so segments
 # meet that differ in two bits; what is found is verified on the whole fingerprint and then on the shingles themselves.
 
-WIDE_DISTANCE = 30
+#: Numbers of 64 bits in a wide fingerprint, and bits in which near texts may differ.
+WIDTH = 3
+WIDE_DISTANCE = 45
 
 
-def word_fingerprint(text: str | None) -> tuple[int, int]:
-    """128-bit SimHash of a text's distinct words, as two signed 64-bit numbers (seeds 42 and 43)."""
+def word_fingerprint(text: str | None) -> list[int]:
+    """SimHash of a text's distinct words, as ``WIDTH`` signed 64-bit numbers (seeds from 42 on)."""
     words: set[bytes] = set()
     for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
         words.update(block)
     if not words:
-        return 0, 0
+        return [0] * WIDTH
     out = []
-    for seed in (SEED, SEED + 1):
+    for seed in range(SEED, SEED + WIDTH):
         hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
         votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * votes > len(words), bitorder="little").view("<i8")[0]))
-    return out[0], out[1]
+    return out
 
 
 def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
@@ -176,24 +178,24 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs (``a`` < ``b``) of ids whose 128-bit fingerprints (``f0``, ``f1``) meet in a segment and are near as a whole.
+    """Pairs (``a`` < ``b``) of ids whose wide fingerprints (array ``f``) meet in a segment and are near as a whole.
 
     Equal fingerprints pair with their smallest id. In every table slot each id pairs with the smallest one and with the
     one before it: a line through the slot, not all its pairs.
     """
-    reps = stored(prints.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep")), "near-reps")
-    same = prints.hint("merge").join(reps, ["f0", "f1"]).where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    halves = [h for f in ("f0", "f1") for h in _segments(F.col(f))]
+    reps = stored(prints.groupBy("f").agg(F.min("doc_id").alias("rep")), "near-reps")
+    same = prints.hint("merge").join(reps, "f").where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    halves = [h for i in range(WIDTH) for h in _segments(F.col("f")[i])]
     segments = reps.select("rep", F.posexplode(F.array(*halves)).alias("seg", "val"))
     ball = segments.select("rep", "seg", "val", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
     slot = F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val ^ shiftleft(1L, i) end")
     order = Window.partitionBy("slot").orderBy("rep")
     met = ball.select(slot.alias("slot"), "rep").select("rep", F.first("rep").over(order).alias("lead"), F.lag("rep").over(order).alias("prev")).where("rep <> lead")
     near = met.select(F.explode(F.array_distinct(F.array("lead", "prev"))).alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    of = prints.groupBy("doc_id").agg(F.min(F.struct("f0", "f1")).alias("f"))
+    of = prints.groupBy("doc_id").agg(F.min("f").alias("f"))
     a, b = of.select(F.col("doc_id").alias("a"), F.col("f").alias("fa")), of.select(F.col("doc_id").alias("b"), F.col("f").alias("fb"))
     both = stored(near, "near-met").hint("merge").join(a, "a").hint("merge").join(b, "b")
-    far = F.bit_count(F.col("fa.f0").bitwiseXOR(F.col("fb.f0"))) + F.bit_count(F.col("fa.f1").bitwiseXOR(F.col("fb.f1")))
+    far = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(WIDTH)), F.lit(0))
     return both.where(far <= WIDE_DISTANCE).select("a", "b").unionByName(same).distinct()
 
 
@@ -220,9 +222,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [word_fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([p[i] for p in prints], pa.int64()) for i in (0, 1))], ["doc_id", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "f"])
 
-    prints = stored(_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, f0 long, f1 long"), "near-prints")
+    prints = stored(_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, f array<long>"), "near-prints")
     pairs = stored(candidate_pairs(prints), "near-pairs")
     return connected_components(similar_pairs(docs, pairs, id_col, text_col, similarity, shingle_words), "a", "b", "near-cc")
 
