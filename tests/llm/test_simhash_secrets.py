@@ -138,3 +138,39 @@ def test_redact_keeps_rows_and_columns(spark):
 
 def test_op2_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def jaccard(a, b, k=5):
+    cut = lambda t: {" ".join(w) for w in zip(*((t or "").lower().split()[i:] for i in range(k)))} or {(t or "").lower()}
+    return len(cut(a) & cut(b)) / len(cut(a) | cut(b))
+
+
+def test_near_components_and_keep_one(spark):
+    g = np.random.default_rng(9)
+    word = lambda: "".join(g.choice(list("abcdefghijklmnop"), g.integers(2, 9)))
+    rows, n = [], 0
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        rows.append((n := n + 1, " ".join(base)))
+        rows.append((n := n + 1, " ".join(base).upper()))  # case alone
+        for edits in (1, 2, 4, 40):
+            w = list(base)
+            for i in g.choice(200, edits, replace=False):
+                w[i] = word()
+            rows.append((n := n + 1, " ".join(w)))
+    rows += [(900, ""), (901, None), (902, "a b"), (903, "a b"), (None, rows[0][1]), (904, "alone " + rows[0][1][:40]), (1, rows[0][1])]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, rep string, f int")
+    ids = [(i, t) for i, t in rows if i is not None]
+    root = {i: i for i, _ in ids}
+    moved = True
+    while moved:
+        moved = False
+        for a, s in ids:
+            for b, t in ids:
+                if jaccard(s, t) >= 0.8 and root[a] < root[b]:
+                    root[b], moved = root[a], True
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([i for i, _ in ids if root[i] == i] + [None], key=str)
+    assert simhash.keep_one(df.where("false")).count() == 0
