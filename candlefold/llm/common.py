@@ -81,14 +81,15 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "componen
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stored, so that both sides of the join are plain exchanges and the centre of a large star can be split
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
         large = (
-            both.hint("merge").join(low, "u").where(F.col("v") > F.col("u"))
+            both.hint("merge").join(low.hint("merge"), "u").where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         large = stored(large, name)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.hint("merge").join(low, "u").where(F.col("v") != F.col("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        moved = large.hint("merge").join(low.hint("merge"), "u").where(F.col("v") != F.col("m"))
         now = stored(
             moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name
         )
