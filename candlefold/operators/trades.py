@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from candlefold.operators.asof import forward_bars
 
 C = F.col
+REASONS = ("STOP", "TRAIL", "TARGET", "FLIP", "TIME", "EOD")
 RULE_SCHEMA = "label string, target string, pct_x double, time_stop int, init_stop_atr double, hard_stop_pct double, trail_atr double, use_flip boolean"
 
 
@@ -52,42 +53,42 @@ def exits(entries: DataFrame, bars: DataFrame, rules: DataFrame, horizon: int, a
     long = C("side") == "long"
     s = F.when(long, 1.0).otherwise(-1.0)
     seen = Window.partitionBy(*key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    fwd = fwd.select(
-        "*", F.when(long, F.greatest(F.max("f_high").over(seen), C("entry"))).otherwise(F.coalesce(F.min("f_low").over(seen), C("entry"))).alias("extreme"),
-        F.max("day").over(Window.partitionBy(*key)).alias("n_fwd"),
-    )
-    x = fwd.crossJoin(F.broadcast(rules))  # rules are a fixed, short list
     has = lambda c: f"f_{c}" in fwd.columns
-    trail_atr = F.when(C(f"f_{bar_atr}") > 0, C(f"f_{bar_atr}")).otherwise(C("entry_atr")) if has(bar_atr) else C("entry_atr")
-    levels = [
-        F.when((C("init_stop_atr") > 0) & (C("entry_atr") > 0), C("entry") - s * C("init_stop_atr") * C("entry_atr")),
-        F.when((C("trail_atr") > 0) & (trail_atr > 0), C("extreme") - s * C("trail_atr") * trail_atr),
-        F.when(C("hard_stop_pct") > 0, C("entry") * (1 - s * C("hard_stop_pct"))),
-    ]
-    stop = F.when(long, F.greatest(*levels)).otherwise(F.least(*levels))
-    x = x.withColumn("stop", stop)
-    stopped = F.when(long, (C("f_low") > 0) & (C("f_low") <= C("stop"))).otherwise((C("f_high") > 0) & (C("f_high") >= C("stop")))
-    gapped = (C("f_open") > 0) & F.when(long, C("f_open") <= C("stop")).otherwise(C("f_open") >= C("stop"))
-    side_gain = s * (C("f_close") - C("entry")) / C("entry")
-    none = F.lit(False)
-    target = F.when(C("target") == "firstUp", side_gain > 0).when(C("target").isin("pct", "pctX"), side_gain >= C("pct_x"))
+    hit = {"firstUp": s * (C("f_close") - C("entry")) > 0}
     if has("rsi2"):
-        for name, level in (("rsi65", 65), ("rsi70", 70)):
-            target = target.when(C("target") == name, F.when(long, C("f_rsi2") >= level).otherwise(C("f_rsi2") <= 100 - level))
-        target = target.when(C("target") == "pctB50", F.when(long, C("f_pctb") >= 0.5).otherwise(C("f_pctb") <= 0.5))
-        target = target.when(C("target") == "close5sma", s * (C("f_close") - C("f_sma5")) >= 0)
+        hit |= {f"rsi{v}": F.when(long, C("f_rsi2") >= v).otherwise(C("f_rsi2") <= 100 - v) for v in (65, 70)}
+        hit |= {"pctB50": F.when(long, C("f_pctb") >= 0.5).otherwise(C("f_pctb") <= 0.5), "close5sma": s * (C("f_close") - C("f_sma5")) >= 0}
     if has("sma200"):
-        target = target.when(C("target") == "trendBreak", s * (C("f_close") - C("f_sma50")) < 0).when(C("target") == "maCross", s * (C("f_sma50") - C("f_sma200")) < 0)
-    flip = C("use_flip") & (C("f_side") != C("side")) if has("side") else none
-    yes = lambda c: F.coalesce(c, none)
-    reason = (
-        F.when(yes(stopped), F.when(C("trail_atr") > 0, "TRAIL").otherwise("STOP")).when(yes(target), "TARGET").when(yes(flip), "FLIP")
-        .when(yes(C("day") >= C("time_stop")), "TIME").when(C("day") == C("n_fwd"), "EOD")
+        hit |= {"trendBreak": s * (C("f_close") - C("f_sma50")) < 0, "maCross": s * (C("f_sma50") - C("f_sma200")) < 0}
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    # what no rule changes is computed once a bar, in prices that rise in the trade's favour: shorts are mirrored
+    bar = fwd.select(
+        *key, "entry_date", "side", "entry", "day", C("f_date").alias("exit_date"), s.alias("s"), (s * C("entry")).alias("e0"), (s * C("f_open")).alias("op"), (s * C("f_close")).alias("cl"),
+        F.when(long, F.when(C("f_low") > 0, C("f_low"))).otherwise(F.when(C("f_high") > 0, -C("f_high"))).alias("worst"),
+        F.when(long, F.greatest(F.max("f_high").over(seen), C("entry"))).otherwise(-F.coalesce(F.min("f_low").over(seen), C("entry"))).alias("extreme"),
+        F.when(C("entry_atr") > 0, C("entry_atr")).alias("a0"),
+        (F.when(C(f"f_{bar_atr}") > 0, C(f"f_{bar_atr}")).otherwise(C("entry_atr")) if has(bar_atr) else C("entry_atr")).alias("a1"),
+        (F.max("day").over(Window.partitionBy(*key)) == C("day")).alias("is_last"), (yes(C("f_side") != C("side")) if has("side") else F.lit(False)).alias("flipped"),
+        F.array_compact(F.array(*[F.when(h, F.lit(k)) for k, h in hit.items()])).alias("hits"),
+    )
+    x = bar.crossJoin(F.broadcast(rules))  # rules are a fixed, short list
+    stop = F.greatest(
+        F.when(C("init_stop_atr") > 0, C("e0") - C("init_stop_atr") * C("a0")), F.when((C("trail_atr") > 0) & (C("a1") > 0), C("extreme") - C("trail_atr") * C("a1")),
+        F.when(C("hard_stop_pct") > 0, C("e0") - C("hard_stop_pct") * C("entry")),
     )
-    fill = F.when(yes(stopped), F.when(yes(gapped), C("f_open")).otherwise(C("stop"))).otherwise(C("f_close"))
-    done = x.select(*key, "entry_date", "side", "label", "day", reason.alias("reason"), (s * (fill - C("entry")) / C("entry") * 100).alias("pnl"), C("f_date").alias("exit_date")).where("reason is not null")
-    first = done.groupBy(*key, "entry_date", "side", "label").agg(F.min_by(F.struct("reason", C("day").alias("hold"), "pnl", "exit_date"), "day").alias("x"))
-    return first.select(*key, "entry_date", "side", "label", "x.*")
+    x = x.select("*", stop.alias("stop"))
+    stopped = yes(C("worst") <= C("stop"))
+    target = F.array_contains("hits", C("target")) | (C("target").isin("pct", "pctX") & yes((C("cl") - C("e0")) / C("entry") >= C("pct_x")))
+    code = (
+        F.when(stopped, F.when(C("trail_atr") > 0, 1).otherwise(0)).when(target, 2).when(C("use_flip") & C("flipped"), 3).when(yes(C("day") >= C("time_stop")), 4).when(C("is_last"), 5)
+    )
+    fill = F.when(stopped, F.least("op", "stop")).otherwise(C("cl"))
+    done = x.select(*key, "entry_date", "side", "label", "day", code.alias("code"), ((fill - C("e0")) / C("entry") * 100).alias("pnl"), "exit_date").where("code is not null")
+    # numbers only, so that the aggregation hashes instead of sorting
+    first = done.groupBy(*key, "entry_date", "side", "label").agg(
+        F.min_by("code", "day").alias("code"), F.min("day").alias("hold"), F.min_by("pnl", "day").alias("pnl"), F.min_by("exit_date", "day").alias("exit_date")
+    )
+    return first.select(*key, "entry_date", "side", "label", F.array(*map(F.lit, REASONS))[C("code")].alias("reason"), "hold", "pnl", "exit_date")
 
 
 def rule_report(done: DataFrame, *by: str) -> DataFrame:
