@@ -162,6 +162,14 @@ def word_fingerprint(text: str | None) -> list[int]:
     return out
 
 
+def word_order(text: str | None) -> int:
+    """Signed 64-bit hash of a text's words in their order."""
+    h = xxhash.xxh64(seed=SEED)
+    for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
+        h.update(b" ".join(block) + b" ")
+    return h.intdigest() - (1 << 63)
+
+
 def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
     """Sorted distinct 32-bit hashes of the text's k-word shingles; of fewer words the whole sequence is one."""
     found, last = [], []
@@ -177,56 +185,107 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
 
 
-def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """Pairs (``a`` < ``b``) of ids whose wide fingerprints (array ``f``) meet in a segment and are near as a whole.
-
-    Equal fingerprints pair with their smallest id. In every table slot each id pairs with the smallest one and with the
-    one before it: a line through the slot, not all its pairs.
-    """
-    reps = stored(prints.groupBy("f").agg(F.min("doc_id").alias("rep")), "near-reps")
-    same = prints.hint("merge").join(reps, "f").where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+def slot_members(reps: DataFrame) -> DataFrame:
+    """``slot``, ``rep``, ``lead`` for every table slot in which two or more of the ids ``rep`` meet; ``lead`` is its smallest id."""
     halves = [h for i in range(WIDTH) for h in _segments(F.col("f")[i])]
     segments = reps.select("rep", F.posexplode(F.array(*halves)).alias("seg", "val"))
     ball = segments.select("rep", "seg", "val", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
     slot = F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val ^ shiftleft(1L, i) end")
     order = Window.partitionBy("slot").orderBy("rep")
-    met = ball.select(slot.alias("slot"), "rep").select("rep", F.first("rep").over(order).alias("lead"), F.lag("rep").over(order).alias("prev")).where("rep <> lead")
-    near = met.select(F.explode(F.array_distinct(F.array("lead", "prev"))).alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    of = prints.groupBy("doc_id").agg(F.min("f").alias("f"))
-    a, b = of.select(F.col("doc_id").alias("a"), F.col("f").alias("fa")), of.select(F.col("doc_id").alias("b"), F.col("f").alias("fb"))
-    both = stored(near, "near-met").hint("merge").join(a, "a").hint("merge").join(b, "b")
+    beside = [F.first("rep").over(order).alias("lead"), F.lag("rep").over(order).alias("prev"), F.lead("rep").over(order).alias("next")]
+    return ball.select(slot.alias("slot"), "rep").select("slot", "rep", *beside).where("prev is not null or next is not null").select("slot", "rep", "lead")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _within(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs whose wide fingerprints are near as a whole."""
+    of = reps.groupBy("rep").agg(F.min("f").alias("f"))
+    a, b = of.select(F.col("rep").alias("a"), F.col("f").alias("fa")), of.select(F.col("rep").alias("b"), F.col("f").alias("fb"))
     far = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(WIDTH)), F.lit(0))
-    return both.where(far <= WIDE_DISTANCE).select("a", "b").unionByName(same).distinct()
+    return pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").where(far <= WIDE_DISTANCE).select("a", "b")
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
-    """The pairs whose sets of shingles have at least the Jaccard similarity. Only texts of candidates are cut into shingles."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """``doc_id`` and the set ``s`` of its shingles, for the ids in ``doc_id`` only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_hashes(t.as_py(), shingle_words).view(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "s"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = _columns(docs, id_col, text_col).hint("merge").join(ids, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(run, "doc_id long, s array<int>").dropDuplicates(["doc_id"]), "near-shingles")
+    return texts.mapInArrow(run, "doc_id long, s array<int>").dropDuplicates(["doc_id"])
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose sets of shingles have at least the Jaccard similarity."""
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
-    """``node`` and ``root`` of every id that is similar to another one; ``root`` is the smallest id of its component."""
+def near_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, small_slot: int = 16
+) -> DataFrame:
+    """``node`` and ``root`` of every id that is similar to another one; ``root`` is the smallest id of its component.
+
+    Texts of equal words in equal order pair with their smallest id, which stands for them. In a table slot of up to
+    ``small_slot`` ids all pairs are verified. In a larger one all ids first pair with the smallest. While such a slot
+    holds more than one component, its ids with most similar texts become leads and pair with all ids of other
+    components; the number of leads grows eightfold each round until every id of an open slot has been one. So in the
+    end two ids that share a slot are in one component or were compared. A group around one text takes two rounds; only
+    a slot full of texts that are near by fingerprint but not similar comes to all its pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [word_fingerprint(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "f"])
-
-    prints = stored(_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, f array<long>"), "near-prints")
-    pairs = stored(candidate_pairs(prints), "near-pairs")
-    return connected_components(similar_pairs(docs, pairs, id_col, text_col, similarity, shingle_words), "a", "b", "near-cc")
+            texts = [t.as_py() for t in batch.column(1)]
+            prints = pa.array([word_fingerprint(t) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([word_order(t) for t in texts], pa.int64())], ["doc_id", "f", "w"])
+
+    prints = stored(_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, f array<long>, w long"), "near-prints")
+    reps = stored(prints.groupBy("f", "w").agg(F.min("doc_id").alias("rep")), "near-reps")
+    same = prints.hint("merge").join(reps, ["f", "w"]).where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    members = stored(slot_members(reps), "near-members")
+    large = stored(members.groupBy("slot").count().where(F.col("count") > small_slot).select("slot"), "near-large")
+    small = members.hint("merge").join(large, "slot", "left_anti")
+    met = small.select("slot", F.col("rep").alias("a")).hint("merge").join(small.select("slot", F.col("rep").alias("b")), "slot").where("a < b").select("a", "b")
+    crowded = stored(members.hint("merge").join(large, "slot", "left_semi"), "near-crowded")
+    checked = stored(_ordered(met.unionByName(crowded.select(F.col("lead").alias("a"), F.col("rep").alias("b")))), "near-met")
+    pairs = stored(_within(checked, reps).unionByName(same).distinct(), "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded.select(F.col("rep").alias("doc_id"))).distinct()
+    sets = stored(shingle_sets(docs, ids, id_col, text_col, shingle_words), "near-shingles")
+    edges = stored(similar_pairs(pairs, sets, similarity), "near-edges")
+    roots = connected_components(edges, "a", "b", "near-cc")
+    leads, widest = 1, None if crowded.isEmpty() else 2
+    while widest:
+        links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        now = (
+            crowded.select("slot", "rep").hint("merge").join(roots.withColumnRenamed("node", "rep"), "rep", "left").hint("merge").join(links, "rep", "left")
+            .select("slot", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        )
+        several = now.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("slot")
+        crowded = stored(now.hint("merge").join(several, "slot", "left_semi"), "near-crowded")
+        widest = crowded.groupBy("slot").count().agg(F.max("count")).first()[0]
+        if not widest:
+            break
+        order = Window.partitionBy("slot").orderBy(F.desc("links"), F.xxhash64("rep"), "rep")
+        lead = crowded.withColumn("k", F.row_number().over(order)).where(F.col("k") <= leads).select("slot", F.col("rep").alias("a"), F.col("root").alias("ra"))
+        met = _ordered(lead.hint("merge").join(crowded.select("slot", F.col("rep").alias("b"), F.col("root").alias("rb")), "slot").where("ra <> rb").select("a", "b"))
+        new = stored(met.hint("merge").join(checked, ["a", "b"], "left_anti"), "near-met")
+        found = stored(similar_pairs(_within(new, reps), sets, similarity), "near-edges")
+        checked = checked.unionByName(new)
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            roots = connected_components(edges, "a", "b", "near-cc")
+        if leads >= widest:
+            break
+        leads *= 8
+    return roots
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -174,3 +175,24 @@ def test_near_components_and_keep_one(spark):
     got = [r.doc_id for r in kept.collect()]
     assert sorted(got, key=str) == sorted([i for i, _ in ids if root[i] == i] + [None], key=str)
     assert simhash.keep_one(df.where("false")).count() == 0
+
+
+def test_near_components_of_a_star_whose_original_has_a_middle_id(spark):
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(100, " ".join(base))]
+    for i in [*range(1, 76), *range(101, 176)]:
+        words = list(base)
+        for at in (rng.randrange(5, 45), rng.randrange(55, 95), rng.randrange(105, 145), rng.randrange(155, 195)):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    found = simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.node for r in found if r.root == 1} == {i for i, _ in rows}
+
+
+def test_near_components_of_equal_words_in_other_orders(spark):
+    words = [f"w{i}" for i in range(60)]
+    mixed = [words[i * 7 % 60] for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(mixed)), (3, "  ".join(mixed)), (4, " ".join(mixed + mixed[:1]))]
+    found = simhash.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.node, r.root) for r in found} == {(2, 2), (3, 2), (4, 2)}
