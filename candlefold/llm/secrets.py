@@ -2,8 +2,9 @@
 
 Candidates are found in every whole text: three base kinds (assignments, access keys, long hex runs) and long mixed
 tokens. The hash of each candidate's value is counted over the distinct repositories and owners that hold it. A value
-that many owners hold is a copied example; a value that one owner holds looks live. Long mixed tokens become spans of
-kind ``live`` only if they look live; base spans always stay.
+that many owners hold is a copied example, and so is one that many repositories of a single owner hold; a value of one
+owner in a few repositories looks live. Long mixed tokens become spans of kind ``live`` only if they look live; base
+spans always stay.
 """
 
 from __future__ import annotations
@@ -59,12 +60,12 @@ def candidates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     )
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1, max_repos: int = 3) -> DataFrame:
     """Per input row: ``doc_id``, ``text_key``, ``n_assign``, ``n_access``, ``n_hex``, ``n_live_looking``, ``n_copied``,
     ``base`` and ``spans`` (arrays of structs start, kind, stop in order).
 
-    ``n_live_looking`` counts spans whose value at most ``max_owners`` owners hold, ``n_copied`` the base spans that more
-    hold. Null text: empty. Null owners count as one owner together. Repeated rows each get their own result row; rows
+    ``n_live_looking`` counts spans whose value at most ``max_owners`` owners and ``max_repos`` repositories hold,
+    ``n_copied`` the base spans whose value more of either hold. Null text: empty. Null owners count as one owner together. Repeated rows each get their own result row; rows
     are told apart by id and text. Further columns are not read.
     """
     src = docs.select(
@@ -75,7 +76,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     keep = ("doc_id", "text_key", "owner", "repo")
     cand = stored(candidates(src, "text", keep).withColumn("h", F.sha2("value", 256)).drop("value"), "secrets-candidates")
     counts = cand.select("h", "owner", "repo").distinct().groupBy("h").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos"))
-    judged = cand.hint("merge").join(counts, "h").select("doc_id", "text_key", "kind", "start", "stop", (F.col("owners") <= max_owners).alias("own")).distinct()
+    judged = cand.hint("merge").join(counts, "h").select("doc_id", "text_key", "kind", "start", "stop", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("own")).distinct()
     base, extra = judged.where("kind < 3"), judged.where("kind = 3 and own")
     b = base.select(F.col("doc_id").alias("bd"), F.col("text_key").alias("bk"), F.col("start").alias("b0"), F.col("stop").alias("b1"))
     extra = extra.hint("merge").join(
@@ -105,12 +106,12 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", names[x["kind"]], x["start"], x["stop"])), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = 1, max_repos: int = 3) -> DataFrame:
     """The table with every span of ``scan`` replaced by ``[SECRET]``; all its columns and rows stay.
 
     Texts without a span, null texts included, are unchanged. Overlapping spans are replaced together.
     """
-    spans = scan(docs, id_col, text_col, owner_col, repo_col, max_owners).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
+    spans = scan(docs, id_col, text_col, owner_col, repo_col, max_owners, max_repos).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
     names = docs.columns
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_key"))
     both = d.hint("merge").join(spans, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left")

@@ -137,6 +137,15 @@ def test_redact_keeps_rows_and_columns(spark):
         assert not brute_base((t or "").replace("[SECRET]", " "))
 
 
+def test_a_value_in_many_repositories_of_one_owner_is_copied(spark):
+    rows = [(i, f"sample {LIVE}h1 {i}", "hot") for i in range(40)] + [(i, f"own {LIVE}h2", "hot") for i in (100, 101)] + [(200, f"secret={LIVE}h1", "hot")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = {r.doc_id: (r.n_live_looking, r.n_copied, r.spans) for r in secrets.scan(df).withColumn("spans", secrets.span_text(F.col("spans"))).collect()}
+    assert all(seen[i] == (0, 0, "") for i in range(40))
+    assert seen[100] == seen[101] == (1, 0, "live:4:28") and seen[200][:2] == (0, 1)
+    assert {r.text for r in secrets.redact(df).where("doc_id < 40").collect()} == {t for i, t, _ in rows if i < 40}
+
+
 def test_op2_digest_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
 
