@@ -41,11 +41,8 @@ w AS (SELECT t.sym, t.date, (seed.v * power(13/14.0, t.k - 14) + coalesce((SELEC
   FROM t JOIN seed USING (sym) WHERE t.k BETWEEN 14 AND 120)
 SELECT sym, date, round(atr, 4) AS atr FROM w""")
 def d03(s, d):
-    """Checked against the closed form of the recursion over each symbol's first 120 ranges in the oracle's window."""
-    b = bars(s, d)
-    w = indicators.wilder(b)
-    first = indicators.with_ranges(b).where("tr is not null and rn <= 121").select("sym", "date")
-    return w.join(first.hint("merge"), ["sym", "date"], "left_semi").select("sym", "date", r("atr"))
+    """All sessions; the SQL holds the closed form of the recursion over each symbol's first 120 ranges only."""
+    return indicators.wilder(bars(s, d)).select("sym", "date", r("atr"))
 
 
 @query("d05_chart_curves", """, l AS (SELECT sym, date, round(avg(close) OVER (PARTITION BY sym ORDER BY date ROWS 49 PRECEDING), 2) AS sma50, round(avg(close) OVER (PARTITION BY sym ORDER BY date ROWS 199 PRECEDING), 2) AS sma200,
@@ -63,8 +60,8 @@ w AS (SELECT g.sym, g.date, s.ga * power(0.5, g.k - 2) + coalesce((SELECT sum(u.
   s.la * power(0.5, g.k - 2) + coalesce((SELECT sum(u.loss * power(0.5, g.k - u.k)) FROM g u WHERE u.sym = g.sym AND u.k BETWEEN 3 AND g.k), 0) / 2 AS b FROM g JOIN s USING (sym) WHERE g.k BETWEEN 2 AND 80)
 SELECT sym, date, round(CASE WHEN b = 0 THEN 100 ELSE 100 - 100 / (1 + a / b) END, 4) AS rsi FROM w""")
 def d07(s, d):
-    """Smoothed RSI(2): average gain and loss are halved and half of the new one added; over the first 81 bars."""
-    g = indicators.with_ranges(bars(s, d)).where("pc is not null and rn <= 81")
+    """Smoothed RSI(2): average gain and loss are halved and half of the new one added. All sessions; the SQL holds the first 81 bars only."""
+    g = indicators.with_ranges(bars(s, d)).where("pc is not null")
     gain = indicators.wilder_of(g, "gain", 2).withColumnRenamed("v", "a")
     loss = indicators.wilder_of(g, "loss", 2).withColumnRenamed("v", "b")
     return gain.join(loss.hint("merge"), ["sym", "date"]).select("sym", "date", r(F.when(C("b") == 0, 100.0).otherwise(100 - 100 / (1 + C("a") / C("b"))), 4, "rsi"))

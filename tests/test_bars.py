@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from candlefold.functions import scalars
 from candlefold.operators import hygiene, indicators, ranking, scoring, stats, text, trades
+from candlefold.plans import base
 from candlefold.streaming.jobs import next_position
 
 C = F.col
@@ -246,3 +247,19 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize(("name", "n", "col", "new"), [("d03_wilder_atr", 14, "atr", ("tr",)), ("d07_rsi2_smoothed", 2, "rsi", ("gain", "loss"))])
+def test_smoothed_indicators_cover_all_sessions(spark, name, n, col, new):
+    rows = indicators.with_ranges(base.bars(spark, SF)).where("tr is not null").orderBy("date").collect()
+    want, avg, seen = {}, {}, {}
+    for x in rows:
+        k = seen[x.sym] = seen.get(x.sym, 0) + 1
+        old = avg.setdefault(x.sym, [0.0] * len(new))
+        avg[x.sym] = [v + x[c] / n if k <= n else v * (n - 1) / n + x[c] / n for v, c in zip(old, new)]
+        if k >= n:
+            a = avg[x.sym]
+            want[x.sym, x.date] = a[0] if col == "atr" else 100.0 if a[1] == 0 else 100 - 100 / (1 + a[0] / a[1])
+    got = {(x.sym, x.date): x[col] for x in __spark_entry__.queries()[name](spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) > 5000
+    assert all(got[k] == pytest.approx(want[k], abs=1e-3, rel=1e-6) for k in want)
