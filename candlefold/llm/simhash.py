@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([text_fingerprint(t.as_py(), shingle_words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").try_cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, fp long"
     )
 
@@ -72,27 +72,46 @@ def _flips(low_bits: bool, most: int, least: int = 1) -> Column:
     return F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
 
 
+def _both(fps: DataFrame) -> DataFrame:
+    """``fp``, ``root``, ``seg``, ``val``: the two table rows of every fingerprint."""
+    low, high = _segments(F.col("fp"))
+    pair = F.array(F.struct(F.lit(0).alias("seg"), low.alias("val")), F.struct(F.lit(1).alias("seg"), high.alias("val")))
+    return fps.select("fp", "root", F.explode(pair).alias("s")).select("fp", "root", "s.*")
+
+
+def _far() -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+
+
+def leader_links(fps: DataFrame) -> DataFrame:
+    """Pairs (``a``, ``b``) of linked fingerprints of which ``a`` is the smallest with one of b's segments: at most two for each ``b``."""
+    table = _both(fps.select("fp", F.col("fp").alias("root")))
+    lead = stored(table.groupBy("seg", "val").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n"), "simhash-leads")
+    met = table.withColumnRenamed("fp", "b").hint("merge").join(lead, ["seg", "val"])
+    return met.where((F.col("a") < F.col("b")) & (_far() <= MAX_DISTANCE)).select("a", "b")
+
+
 def links(fps: DataFrame, hot_bucket: int = 8192) -> DataFrame:
     """All pairs (``a`` , ``b``) of different values in column ``fp`` (distinct) that differ in at most three bits.
 
-    A pair may come twice and in either order.
+    A pair may come twice and in either order. With a column ``root`` the pairs of one root are left out.
     """
-    low, high = _segments(F.col("fp"))
-    table = fps.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("seg"), low.alias("val")), F.struct(F.lit(1).alias("seg"), high.alias("val")))).alias("s")).select("fp", "s.*")
+    fps = fps if "root" in fps.columns else fps.withColumn("root", F.col("fp"))
+    table = _both(fps)
     bit = F.expr("shiftleft(1L, i)")
     ball = (
-        table.select("fp", "seg", F.col("val"), F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
+        table.select("fp", "root", "seg", "val", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
         .where((F.col("i") < 0) | (F.col("val").bitwiseAND(bit) == 0))
-        .select(F.col("fp").alias("a"), "seg", F.when(F.col("i") < 0, F.col("val")).otherwise(F.col("val").bitwiseOR(bit)).alias("val"), "i")
+        .select(F.col("fp").alias("a"), F.col("root").alias("ra"), "seg", F.when(F.col("i") < 0, F.col("val")).otherwise(F.col("val").bitwiseOR(bit)).alias("val"), "i")
     )
     hot = stored(table.groupBy("seg", "val").count().where(F.col("count") > hot_bucket).select("seg", "val"), "simhash-hot")
     none_hot = hot.isEmpty()
-    far = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    there = table.select(F.col("fp").alias("b"), F.col("root").alias("rb"), "seg", "val")
     near = (
         (ball if none_hot else ball.hint("merge").join(hot, ["seg", "val"], "left_anti"))
         .hint("merge")
-        .join(table.withColumnRenamed("fp", "b"), ["seg", "val"])
-        .where((far <= MAX_DISTANCE) & (far > 0) & ((F.col("i") >= 0) | (F.col("a") < F.col("b"))))
+        .join(there, ["seg", "val"])
+        .where((F.col("ra") != F.col("rb")) & (_far() <= MAX_DISTANCE) & (_far() > 0) & ((F.col("i") >= 0) | (F.col("a") < F.col("b"))))
         .select("a", "b")
     )
     if none_hot:
@@ -101,11 +120,11 @@ def links(fps: DataFrame, hot_bucket: int = 8192) -> DataFrame:
     for seg in (0, 1):
         mine = probes.where(F.col("seg") == seg)
         shift = F.expr(f"shiftleft(1L, i + {32 * seg})")
-        same = mine.where("i < 0").select("a", F.explode(_flips(seg == 1, 3)).alias("m")).select("a", F.col("a").bitwiseXOR(F.col("m")).alias("b"))
+        same = mine.where("i < 0").select("a", "ra", F.explode(_flips(seg == 1, 3)).alias("m")).select("a", "ra", F.col("a").bitwiseXOR(F.col("m")).alias("b"))
         beside = mine.where("i >= 0").select(
-            "a", F.explode(F.concat(F.array(F.lit(0).cast("long")), _flips(seg == 1, 2))).alias("m"), shift.alias("s")
-        ).select("a", F.col("a").bitwiseXOR(F.col("m")).bitwiseXOR(F.col("s")).alias("b"))
-        found = same.unionByName(beside).hint("merge").join(fps.select(F.col("fp").alias("b")), "b", "left_semi")
+            "a", "ra", F.explode(F.concat(F.array(F.lit(0).cast("long")), _flips(seg == 1, 2))).alias("m"), shift.alias("s")
+        ).select("a", "ra", F.col("a").bitwiseXOR(F.col("m")).bitwiseXOR(F.col("s")).alias("b"))
+        found = same.unionByName(beside).hint("merge").join(fps.select(F.col("fp").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
         near = near.unionByName(found.select("a", "b"))
     return near
 
@@ -113,20 +132,26 @@ def links(fps: DataFrame, hot_bucket: int = 8192) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, hot_bucket: int = 8192) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` for every row: the smallest id reachable over links of at most three bits.
 
-    Repeated rows stay repeated. Rows without id get a fingerprint but take no part in links: their component is null.
-    An empty table gives an empty result. Only the two named columns are read, so further columns cannot clash.
+    The nodes are the different fingerprints. Those that link to the smallest one of their segment contract first, so a
+    family of near copies gives a star; only links between what is then left apart are looked up.
+
+    Repeated rows stay repeated. Rows of one id with different texts are one document: what either text links to is
+    reachable. Rows without id, or whose id is no number, get a fingerprint but take no part in links: their component
+    is null. An empty table gives an empty result. Only the two named columns are read, so further columns cannot clash.
     """
     docs_fp = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash-docs")
-    fps = stored(docs_fp.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-fps")
-    edges = stored(links(fps.select("fp"), hot_bucket), "simhash-links")
-    by_rep = (
-        edges.hint("merge").join(fps.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a")
-        .hint("merge").join(fps.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")
-    )
-    roots = connected_components(by_rep, "ra", "rb", "simhash-cc")
-    labelled = stored(
-        fps.hint("merge").join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "simhash-labels"
-    )
+    named = docs_fp.where("doc_id is not null")
+    fps = stored(named.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-fps")
+    several = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("doc_id", "a")
+    versions = named.select("doc_id", F.col("fp").alias("b")).hint("merge").join(several, "doc_id").where("a <> b").select("a", "b").distinct()
+    stars = stored(leader_links(fps).unionByName(versions), "simhash-stars")
+    first = stored(connected_components(stars, "a", "b", "simhash-cc"), "simhash-roots")
+    apart = stored(fps.hint("merge").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-apart")
+    edges = stored(links(apart, hot_bucket), "simhash-links").unionByName(first.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    roots = connected_components(edges, "a", "b", "simhash-cc")
+    placed = stored(fps.hint("merge").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-placed")
+    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    labelled = stored(placed.hint("merge").join(least, "root").select("fp", "component_id"), "simhash-labels")
     return docs_fp.hint("merge").join(labelled, "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     )
@@ -145,139 +170,146 @@ def hex_digits(fp: Column) -> Column:
 #: Numbers of 64 bits in a wide fingerprint, and bits in which near texts may differ.
 WIDTH = 3
 WIDE_DISTANCE = 45
+_MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def word_fingerprint(text: str | None) -> list[int]:
-    """SimHash of a text's distinct words, as ``WIDTH`` signed 64-bit numbers (seeds from 42 on)."""
-    words: set[bytes] = set()
-    for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
-        words.update(block)
-    if not words:
-        return [0] * WIDTH
-    out = []
-    for seed in range(SEED, SEED + WIDTH):
-        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
-        votes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * votes > len(words), bitorder="little").view("<i8")[0]))
-    return out
-
-
-def word_order(text: str | None) -> int:
-    """Signed 64-bit hash of a text's words in their order."""
-    h = xxhash.xxh64(seed=SEED)
-    for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
-        h.update(b" ".join(block) + b" ")
-    return h.intdigest() - (1 << 63)
+def _mixed(h: np.ndarray, step: int = 0) -> np.ndarray:
+    """Another hash of each number, well spread over all bits."""
+    h = h + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(_MIX[0])
+    h = (h ^ h >> np.uint64(27)) * np.uint64(_MIX[1])
+    return h ^ h >> np.uint64(31)
+
 
+def text_print(text: str | None, shingle_words: int = 5) -> tuple[int, list[int], np.ndarray]:
+    """A text's key (64-bit hash of its words in order), wide fingerprint and sorted distinct 32-bit hashes of its shingles.
 
-def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the text's k-word shingles; of fewer words the whole sequence is one."""
-    found, last = [], []
+    A-Z are lower-cased. The fingerprint is a SimHash of the distinct words. Of fewer words the whole sequence is the one
+    shingle; a text without words has the fingerprint zero and no shingle.
+    """
+    order, known, seen = xxhash.xxh64(seed=SEED), {}, []
     for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
-        words = last + block
-        last = words[-(k - 1) :]
-        found.append(np.array([xxhash.xxh32_intdigest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(k)))], np.uint32))
-    hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
-    return hashes if len(hashes) or not last else np.array([xxhash.xxh32_intdigest(b" ".join(last), SEED)], np.uint32)
+        order.update(b" ".join(block) + b" ")
+        for word in set(block) - known.keys():
+            known[word] = xxhash.xxh64_intdigest(word, SEED)
+        seen.append(np.array([known[w] for w in block], np.uint64))
+    key = order.intdigest() - (1 << 63)
+    if not known:
+        return key, [0] * WIDTH, np.zeros(0, np.uint32)
+    words, run = np.fromiter(known.values(), np.uint64, len(known)), np.concatenate(seen)
+    prints = []
+    for i in range(WIDTH):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(words), 1 << 16):
+            bits = np.unpackbits(_mixed(words[at : at + (1 << 16)], i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes += bits.sum(axis=0, dtype=np.int64)
+        prints.append(int(np.packbits(2 * votes > len(words), bitorder="little").view("<i8")[0]))
+    k = min(shingle_words, len(run))
+    rolled = np.zeros(len(run) - k + 1, np.uint64)
+    for i in range(k):
+        rolled = _mixed(rolled ^ run[i : len(run) - k + 1 + i], i + 1)
+    return key, prints, np.unique((rolled >> np.uint64(32)).astype(np.uint32))
+
+
+def text_prints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
+    """``doc_id``, ``t`` (key of the text), ``f`` (wide fingerprint), ``n`` and ``s`` (number and set of shingles) of rows with an id."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):  # sets of few texts at a time
+                part = batch.slice(at, 500)
+                found = [text_print(t.as_py(), shingle_words) for t in part.column(1)]
+                sets = pa.array([x[2].view(np.int32) for x in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([len(x[2]) for x in found], pa.int64()), sets],
+                    ["doc_id", "t", "f", "n", "s"],
+                )
 
-def _columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
+    return rows.mapInArrow(run, "doc_id long, t long, f array<long>, n long, s array<int>")
 
 
-def slot_members(reps: DataFrame) -> DataFrame:
-    """``slot``, ``rep``, ``lead`` for every table slot in which two or more of the ids ``rep`` meet; ``lead`` is its smallest id."""
+def slots(texts: DataFrame) -> DataFrame:
+    """``slot``, ``t``: the table slots of every text, the ball of radius one around each segment of its fingerprint."""
     halves = [h for i in range(WIDTH) for h in _segments(F.col("f")[i])]
-    segments = reps.select("rep", F.posexplode(F.array(*halves)).alias("seg", "val"))
-    ball = segments.select("rep", "seg", "val", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
-    slot = F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val ^ shiftleft(1L, i) end")
-    order = Window.partitionBy("slot").orderBy("rep")
-    beside = [F.first("rep").over(order).alias("lead"), F.lag("rep").over(order).alias("prev"), F.lead("rep").over(order).alias("next")]
-    return ball.select(slot.alias("slot"), "rep").select("slot", "rep", *beside).where("prev is not null or next is not null").select("slot", "rep", "lead")
+    segments = texts.select("t", F.posexplode(F.array(*halves)).alias("seg", "val"))
+    ball = segments.select("t", "seg", "val", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
+    return ball.select(F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val ^ shiftleft(1L, i) end").alias("slot"), "t")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _within(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs whose wide fingerprints are near as a whole."""
-    of = reps.groupBy("rep").agg(F.min("f").alias("f"))
-    a, b = of.select(F.col("rep").alias("a"), F.col("f").alias("fa")), of.select(F.col("rep").alias("b"), F.col("f").alias("fb"))
+def _within(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose numbers of shingles allow the similarity and whose wide fingerprints are near as a whole."""
+    side = lambda x: texts.select(F.col("t").alias(x), F.col("f").alias(f"f{x}"), F.col("n").alias(f"n{x}"))
     far = sum((F.bit_count(F.col("fa")[i].bitwiseXOR(F.col("fb")[i])) for i in range(WIDTH)), F.lit(0))
-    return pairs.hint("merge").join(a, "a").hint("merge").join(b, "b").where(far <= WIDE_DISTANCE).select("a", "b")
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``doc_id`` and the set ``s`` of its shingles, for the ids in ``doc_id`` only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_hashes(t.as_py(), shingle_words).view(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["doc_id", "s"])
-
-    texts = _columns(docs, id_col, text_col).hint("merge").join(ids, "doc_id", "left_semi")
-    return texts.mapInArrow(run, "doc_id long, s array<int>").dropDuplicates(["doc_id"])
+    sizes = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    return pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").where(sizes & (far <= WIDE_DISTANCE)).select("a", "b")
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets of shingles have at least the Jaccard similarity."""
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+    """The pairs of texts whose sets of shingles (``t``, ``s``) have at least the Jaccard similarity."""
+    a, b = sets.select(F.col("t").alias("a"), F.col("s").alias("sa")), sets.select(F.col("t").alias("b"), F.col("s").alias("sb"))
     both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def near_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, small_slot: int = 16
-) -> DataFrame:
-    """``node`` and ``root`` of every id that is similar to another one; ``root`` is the smallest id of its component.
-
-    Texts of equal words in equal order pair with their smallest id, which stands for them. In a table slot of up to
-    ``small_slot`` ids all pairs are verified. In a larger one all ids first pair with the smallest. While such a slot
-    holds more than one component, its ids with most similar texts become leads and pair with all ids of other
-    components; the number of leads grows eightfold each round until every id of an open slot has been one. So in the
-    end two ids that share a slot are in one component or were compared. A group around one text takes two rounds; only
-    a slot full of texts that are near by fingerprint but not similar comes to all its pairs.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, earlier: DataFrame | None = None, leads: int = 16
+) -> DataFrame:
+    """``doc_id`` and ``root``, the smallest id of its component, for every id of ``docs``.
+
+    ``earlier`` (same columns) may hold earlier versions of the texts: ids of ``docs`` are similar if their texts are, or
+    their earlier ones. Rows of one id are one document with several texts. Texts of equal words in equal order (A-Z
+    lower-cased) are one text, told apart by 64 bits.
+
+    All texts of a table slot first pair with one of them. What is verified contracts to components; a slot that is left
+    with several stays open: its texts with most similar ones become leads and pair with all texts of other components,
+    and the number of leads grows eightfold a round until every text of an open slot has been one. In the end two texts
+    that share a slot are in one component or were compared. A group around one text takes two rounds, whatever its
+    size; only a slot full of texts that are near by fingerprint but not similar comes to all its pairs.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            prints = pa.array([word_fingerprint(t) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), prints, pa.array([word_order(t) for t in texts], pa.int64())], ["doc_id", "f", "w"])
-
-    prints = stored(_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, f array<long>, w long"), "near-prints")
-    reps = stored(prints.groupBy("f", "w").agg(F.min("doc_id").alias("rep")), "near-reps")
-    same = prints.hint("merge").join(reps, ["f", "w"]).where(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    members = stored(slot_members(reps), "near-members")
-    large = stored(members.groupBy("slot").count().where(F.col("count") > small_slot).select("slot"), "near-large")
-    small = members.hint("merge").join(large, "slot", "left_anti")
-    met = small.select("slot", F.col("rep").alias("a")).hint("merge").join(small.select("slot", F.col("rep").alias("b")), "slot").where("a < b").select("a", "b")
-    crowded = stored(members.hint("merge").join(large, "slot", "left_semi"), "near-crowded")
-    checked = stored(_ordered(met.unionByName(crowded.select(F.col("lead").alias("a"), F.col("rep").alias("b")))), "near-met")
-    pairs = stored(_within(checked, reps).unionByName(same).distinct(), "near-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowded.select(F.col("rep").alias("doc_id"))).distinct()
-    sets = stored(shingle_sets(docs, ids, id_col, text_col, shingle_words), "near-shingles")
-    edges = stored(similar_pairs(pairs, sets, similarity), "near-edges")
+    prints = text_prints(docs, id_col, text_col, shingle_words).withColumn("view", F.lit(0))
+    if earlier is not None:
+        prints = prints.unionByName(text_prints(earlier, id_col, text_col, shingle_words).withColumn("view", F.lit(1)))
+    prints = stored(prints, "near-prints")
+    light = prints.select("doc_id", "view", "t", "f", "n")
+    if earlier is not None:
+        ids = light.where("view = 0").select("doc_id").distinct()
+        light = stored(light.hint("merge").join(ids, "doc_id", "left_semi"), "near-light")
+    texts = stored(light.groupBy("t").agg(F.min("f").alias("f"), F.min("n").alias("n"), F.min(F.struct("doc_id", "view")).alias("at")), "near-texts")
+    of_doc = light.groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("doc_id", "a")
+    versions = light.select("doc_id", F.col("t").alias("b")).hint("merge").join(of_doc, "doc_id").where("a <> b").select("a", "b").distinct()
+    # counts and leads first, members again for the slots where texts meet: a window over a hot slot would be one task
+    shared = stored(slots(texts).groupBy("slot").agg(F.min("t").alias("lead"), F.count("*").alias("held")).where("held > 1"), "near-shared")
+    members = stored(slots(texts).hint("merge").join(shared, "slot"), "near-members")
+    checked = stored(_ordered(members.select(F.col("lead").alias("a"), F.col("t").alias("b"))), "near-met")
+    pairs = stored(_within(checked, texts, similarity), "near-pairs")
+    # rounds may ask for any text that shares a slot with two others
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).unionByName(members.where("held > 2").select("t")).distinct()
+    holders = needed.hint("merge").join(texts.select("t", "at.*"), "t").select(F.col("t"), "doc_id", "view")
+    sets = stored(prints.select("doc_id", "view", "t", "s").hint("merge").join(holders, ["doc_id", "view", "t"], "left_semi").select("t", "s").dropDuplicates(["t"]), "near-shingles")
+    edges = stored(similar_pairs(pairs, sets, similarity).unionByName(versions), "near-edges")
     roots = connected_components(edges, "a", "b", "near-cc")
-    leads, widest = 1, None if crowded.isEmpty() else 2
-    while widest:
-        links = edges.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-        now = (
-            crowded.select("slot", "rep").hint("merge").join(roots.withColumnRenamed("node", "rep"), "rep", "left").hint("merge").join(links, "rep", "left")
-            .select("slot", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-        )
-        several = now.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("slot")
-        crowded = stored(now.hint("merge").join(several, "slot", "left_semi"), "near-crowded")
-        widest = crowded.groupBy("slot").count().agg(F.max("count")).first()[0]
+    crowded = members.where("held > 2").select("slot", "t")
+    while True:
+        links = edges.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("links"))
+        known = roots.withColumnRenamed("node", "t").hint("merge").join(links, "t", "left")
+        now = crowded.select("slot", "t").hint("merge").join(known, "t", "left").select("slot", "t", F.coalesce("root", "t").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        now = stored(now, "near-now")
+        several = now.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 < r1").select("slot", "held")
+        crowded = stored(now.hint("merge").join(several, "slot"), "near-crowded")
+        widest = crowded.agg(F.max("held")).first()[0]
         if not widest:
             break
-        order = Window.partitionBy("slot").orderBy(F.desc("links"), F.xxhash64("rep"), "rep")
-        lead = crowded.withColumn("k", F.row_number().over(order)).where(F.col("k") <= leads).select("slot", F.col("rep").alias("a"), F.col("root").alias("ra"))
-        met = _ordered(lead.hint("merge").join(crowded.select("slot", F.col("rep").alias("b"), F.col("root").alias("rb")), "slot").where("ra <> rb").select("a", "b"))
-        new = stored(met.hint("merge").join(checked, ["a", "b"], "left_anti"), "near-met")
-        found = stored(similar_pairs(_within(new, reps), sets, similarity), "near-edges")
+        order = Window.partitionBy("slot").orderBy(F.desc("links"), F.xxhash64("t"), "t")
+        lead = stored(crowded.withColumn("k", F.row_number().over(order)).where(F.col("k") <= leads).select("slot", F.col("t").alias("a"), F.col("root").alias("ra")), "near-leads")
+        met = lead.hint("merge").join(crowded.select("slot", F.col("t").alias("b"), F.col("root").alias("rb")), "slot").where("ra <> rb").select("a", "b")
+        new = stored(_ordered(met).hint("merge").join(checked, ["a", "b"], "left_anti"), "near-met")
+        found = stored(similar_pairs(_within(new, texts, similarity), sets, similarity), "near-edges")
         checked = checked.unionByName(new)
         if not found.isEmpty():
             edges = edges.unionByName(found)
@@ -285,14 +317,16 @@ def near_components(
         if leads >= widest:
             break
         leads *= 8
-    return roots
+    placed = stored(light.select("doc_id", "t").distinct().hint("merge").join(roots, F.col("t") == F.col("node"), "left").select("doc_id", F.coalesce("root", "t").alias("c")), "near-placed")
+    least = stored(placed.groupBy("c").agg(F.min("doc_id").alias("root")), "near-least")
+    return placed.distinct().hint("merge").join(least, "c").select("doc_id", "root").distinct()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
-    """The rows of ``docs``, all columns, without those in whose component of similar texts a smaller id is.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, earlier: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, without those in whose component (``near_components``) a smaller id is.
 
     Rows without an id stay; so do all rows of the kept id. Null texts are empty; empty texts are copies of each other.
     """
-    found = near_components(docs, id_col, text_col, similarity, shingle_words)
-    gone = stored(found.where("root < node").select(F.col("node").alias("_gone")).distinct(), "near-gone")
+    found = near_components(docs, id_col, text_col, similarity, shingle_words, earlier)
+    gone = stored(found.where("root < doc_id").select(F.col("doc_id").alias("_gone")), "near-gone")
     return docs.hint("merge").join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
