@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into text nodes, each with its path of open elements from the root. Text length and punctuation are
-aggregated per path: characters and punctuation marks per node of the path. The ratios are smoothed over neighbouring nodes
-in page order, fused with what the path's elements say about themselves (an article or a main part; a menu, a form, reader
-comments), and compared with a threshold of the page, the standard deviation of its nodes' values. Nodes of the selected
-paths are the content.
+A page is read into text nodes, each with its path of open block elements from the root (inline elements are part of the
+text around them). Per path, text length and punctuation are aggregated over its blocks: a path's value is the logarithm
+of characters a block times one plus punctuation marks a block, up to a bound at which it is clearly prose. Values are smoothed over neighbouring blocks in page
+order and fused, by their mean, with the value that all paths of the same parent (or of that one's parent, if it is more)
+have together, so that a short heading among long paragraphs gains and a short line at the page's edge doesn't. A path whose elements name themselves (article,
+main; menu, footer, advert, reader comments) gets a bounded bonus or malus; no name keeps or drops text by itself.
+Blocks of paths at or over the threshold are the content.
 """
 
 from __future__ import annotations
@@ -29,7 +31,6 @@ RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe"
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: A start tag of the key ends an open element of the values.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 ASIDE_TAGS = frozenset("nav footer aside form head button select datalist svg object canvas menu dialog label input".split())
@@ -40,22 +41,29 @@ ASIDE_NAMES = re.compile(
 MAIN_NAMES = re.compile(r"(?:^|\s)(?:article|article[-_]?(?:body|content|text)|post[-_]?(?:body|content|text)|entry[-_]?content|story[-_]?(?:body|text)|main[-_]?content|main|content|articlebody)(?:$|\s)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 _SPACE = re.compile(r"\s+")
-#: Weight in the fused score, in units of ln(ratio / threshold), of a path that calls itself the main part.
-PRIOR = 12.0
+COMMENT_NAMES = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion)(?:$|[-_\s])", re.I)
+#: Bonus or malus of a name, in units of ln(ratio): a factor of 3.5. Nested names that say no add up to ``LEAST``.
+PRIOR, LEAST = 1.25, -3.75
+#: Threshold of a path's score; where no path of a page comes ``NEAR`` over it, ``NEAR`` below the page's best, but no less than ``FLOOR``.
+THRESHOLD, NEAR, FLOOR = 5.25, 0.35, 2.0
+#: A path's value counts no further than this, and a punctuation mark for each so many characters at most.
+FULL, CHARS_PER_MARK = 7.0, 15
 
 
 def _role(tag: str, attrs: str) -> int:
-    """1 for an element that calls itself main part, -1 for one that is none, 0 otherwise; -2 for hidden ones."""
+    """1 for an element that calls itself main part, -1 for one that is none, -2 for reader comments, 0 otherwise; -9 for hidden ones."""
     role = 1 if tag in ("article", "main") else -1 if tag in ASIDE_TAGS else 0
     if not attrs:
         return role
     for name, value in _ATTRS.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return -2
+            return -9
+        if tag in ("html", "body"):
+            continue  # names there tell of the layout
         if name in ("class", "id", "role"):
             if ASIDE_NAMES.search(value):
-                role = -1
+                role = min(role, -2 if COMMENT_NAMES.search(value) else -1)
             elif role == 0 and MAIN_NAMES.search(value):
                 role = 1
         elif name == "itemprop" and value.lower() == "articlebody" and role == 0:
@@ -63,13 +71,25 @@ def _role(tag: str, attrs: str) -> int:
     return role
 
 
-def text_nodes(page: str) -> Iterator[tuple[int, int, int, str]]:
-    """(path, role, block, decoded text) of each text node outside scripts and the like, in page order.
+class Paths:
+    """Tag paths by number: the parent path and the prior of each; 0 is the root."""
 
-    Paths are numbers; ``role`` is -1 or less if an element of the path is no main part, else 1 if one is.
-    """
-    paths: dict[tuple[int, str, int], int] = {}
-    stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]  # tag, path, role, a header that may hold the headline
+    def __init__(self) -> None:
+        self.number: dict[tuple[int, str, int], int] = {}
+        self.parent, self.prior = [0], [0.0]
+
+    def below(self, path: int, tag: str, role: int) -> int:
+        number = self.number.setdefault((path, tag, role), len(self.parent))
+        if number == len(self.parent):
+            above = self.prior[path]
+            self.parent.append(path)
+            self.prior.append(-math.inf if role == -9 else PRIOR if role > 0 and above >= 0 else max(LEAST, min(above, 0.0) + role * PRIOR) if role < 0 and above > -math.inf else above)
+        return number
+
+
+def text_nodes(page: str, paths: Paths) -> Iterator[tuple[int, int, str]]:
+    """(path, block, decoded text) of each text node outside scripts and the like, in page order."""
+    stack: list[tuple[str, int]] = [("", 0)]
     open_tags: dict[str, int] = {}
     block, at = 0, 0
 
@@ -81,9 +101,9 @@ def text_nodes(page: str) -> Iterator[tuple[int, int, int, str]]:
                 if top == tag:
                     return
 
-    def node(to: int) -> Iterator[tuple[int, int, int, str]]:
+    def node(to: int) -> Iterator[tuple[int, int, str]]:
         if to > at and (text := html.unescape(page[at:to])) and not text.isspace():
-            yield stack[-1][1], stack[-1][2], block, text
+            yield stack[-1][1], block, text
 
     find = _TOKEN.search
     pos = 0
@@ -109,60 +129,64 @@ def text_nodes(page: str) -> Iterator[tuple[int, int, int, str]]:
             if stack[-1][0] == other or open_tags.get(other) and stack[-1][0] not in ("ul", "ol", "table", "dl", "select"):
                 close(other)
         if tag == "br":
-            yield stack[-1][1], stack[-1][2], block, " "
+            yield stack[-1][1], block, " "
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
-        _, path, above, headline = stack[-1]
+        path = stack[-1][1]
         role = _role(tag, attrs)
-        if tag == "header":
-            role, headline = -1, above == 1
-        elif above == 1 and role == -1 and tag not in ASIDE_TAGS and re.search(r"header", attrs, re.I) and not re.search("comment", attrs, re.I):
-            headline = True
-        if above < 0:
-            new = 1 if headline and tag in HEADINGS and role >= 0 and above == -1 else min(above, role)
-        else:
-            new = role if role < 0 else max(above, role)
-        number = paths.setdefault((path, tag, new), len(paths) + 1)
-        stack.append((tag, number, new, headline))
+        if tag == "header" and role == 0:
+            role = 0 if paths.prior[path] > 0 else -1  # an article's own header holds its headline
+        if role or tag in BLOCKS:
+            path = paths.below(path, tag, role)
+        stack.append((tag, path))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     yield from node(len(page))
 
 
-def main_text(page: str | None) -> str:
-    """The content's blocks, white space inside each made one space, joined by newlines; empty if there is none."""
-    nodes = list(text_nodes(page or ""))
-    if not nodes:
-        return ""
+def _value(chars: int, marks: int, blocks: int) -> float:
+    return min(FULL, math.log(chars / blocks * (1 + min(marks, chars / CHARS_PER_MARK) / blocks)))
+
+
+def fused_values(nodes: list[tuple[int, int, str]], paths: Paths) -> dict[int, float]:
+    """Each path's smoothed ratio fused with that of its parent's paths, without priors."""
     chars: dict[int, int] = {}
     marks: dict[int, int] = {}
-    count: dict[int, int] = {}
-    role_of: dict[int, int] = {}
-    for path, role, _, text in nodes:
+    blocks: dict[int, int] = {}
+    order: list[int] = []
+    last = None
+    for path, block, text in nodes:
         if not text.isspace():
             chars[path] = chars.get(path, 0) + len(_SPACE.sub("", text))
             marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
-            count[path] = count.get(path, 0) + 1
-            role_of[path] = role
-    ratio = {p: chars[p] / n * (1 + marks[p] / n) for p, n in count.items()}
-    order = [n[0] for n in nodes if not n[3].isspace()]
-    if not order:
-        return ""
-    value = [ratio[p] for p in order]
-    smooth: dict[int, float] = {}
+            if last != (path, block):
+                order.append(path)
+                blocks[path] = blocks.get(path, 0) + 1
+                last = (path, block)
+    value = {p: _value(chars[p], marks[p], n) for p, n in blocks.items()}
+    smooth = dict.fromkeys(blocks, 0.0)
     for i, p in enumerate(order):
-        near = value[max(0, i - 1) : i + 2]
-        smooth[p] = smooth.get(p, 0.0) + (sum(near) + value[i]) / (len(near) + 1) / count[p]
-    mean = sum(value) / len(value)
-    threshold = math.sqrt(sum((v - mean) ** 2 for v in value) / len(value))
-    named = any(r == 1 for r in role_of.values())
-    kept = set()
-    for p, s in smooth.items():
-        prior = -math.inf if role_of[p] < 0 else PRIOR if role_of[p] == 1 else -PRIOR if named else 0.0
-        if math.log(s / threshold if threshold and s else 1.0) + prior >= 0:
-            kept.add(p)
+        near = order[max(0, i - 1) : i + 2]
+        smooth[p] += (sum(value[q] for q in near) + 2 * value[p]) / (len(near) + 2) / blocks[p]
+    family: dict[int, list[int]] = {}
+    for p in blocks:
+        family.setdefault(paths.parent[p], []).append(p)
+    shared = {u: _value(sum(chars[p] for p in ps), sum(marks[p] for p in ps), sum(blocks[p] for p in ps)) for u, ps in family.items()}
+    up = paths.parent
+    return {p: (smooth[p] + max(shared[up[p]], shared.get(up[up[p]], 0.0))) / 2 for p in blocks}
+
+
+def main_text(page: str | None) -> str:
+    """The content's blocks, white space inside each made one space, joined by newlines; empty if there is none.
+
+    A null or empty page has none. A page whose paths name nothing is judged by the ratios alone.
+    """
+    paths = Paths()
+    nodes = list(text_nodes(page or "", paths))
+    score = {p: v + paths.prior[p] for p, v in fused_values(nodes, paths).items()}
+    least = min(THRESHOLD, max(FLOOR, max(score.values(), default=FLOOR) - NEAR))
     blocks: dict[int, list[str]] = {}
-    for path, role, block, text in nodes:
-        if path in kept or text == " " and block in blocks:
+    for path, block, text in nodes:
+        if score.get(path, -math.inf) >= least or text == " " and block in blocks:
             blocks.setdefault(block, []).append(text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)

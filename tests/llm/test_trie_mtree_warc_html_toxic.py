@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -147,24 +148,98 @@ def test_warc_files_are_gzip_members_and_damage_is_seen(spark):
 
 # ---- HTML ----------------------------------------------------------------------------------------------------------
 
-PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="<p>no</p>"; if (a<b) {}</script></head><body>
+TALK = "It went on, and nobody knew for how long; the rain had stopped by then. The rest is told below, in the order of the days. "
+PAGE = f"""<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var a="<p>no</p>"; if (a<b) {{}}</script></head><body class="has-sidebar">
 <header><h1>Site</h1><nav><ul><li><a href=x>Menu</a><li><a>More</a></ul></nav></header><div class="cookie-notice">We use cookies.</div><!-- <p>no</p> -->
-<main><article><header><h1>Head &amp; line</h1><p class="byline">by x</p></header><p>One <b>two</b>, &lt;three&gt;<br>four &eacute;&#8364;</p><form><input value=">">sign up</form>
-<ul><li>first<li>second</ul><aside>see also</aside><div class="ad banner">buy</div><p hidden>secret<p>Last   one.\n\n</article><section id="comments"><article class="comment"><p>Nice read, thanks!</p></article></section></main>
+<main><article><header><h1>Head &amp; line of a story told at last</h1></header><p>One <b>two</b>, &lt;three&gt;<br>four &eacute;&#8364; {TALK}</p><form><input value=">">sign up</form>
+<ul><li>first, {TALK}<li>second, {TALK}</ul><aside>see also</aside><div class="ad banner">buy</div><p hidden>secret {TALK}<p>Last   one.\n\n</article><section id="comments"><div class="comment"><p>Nice read, thanks! {TALK * 2}</p></div></section></main>
 <footer>&copy; all</footer></body></html>"""
+WANT = ["Head & line of a story told at last", "One two, <three> four é€ " + TALK.strip(), "first, " + TALK.strip(), "second, " + TALK.strip(), "Last one."]
 
 
 def test_html_main_text():
-    assert htmltext.main_text(PAGE) == "Head & line\nOne two, <three> four é€\nfirst\nsecond\nLast one."
+    assert htmltext.main_text(PAGE).split("\n") == WANT
     assert htmltext.main_text(None) == htmltext.main_text("") == htmltext.main_text("<p>") == htmltext.main_text("<script>x") == ""
     assert htmltext.main_text("plain text") == "plain text"
+    assert htmltext.main_text("<article>" + "<p>" + TALK * 30_000 + "</article>").count("rain") == 30_000
 
 
-def test_html_ratios_without_named_parts():
-    story = "".join(f"<p>{'A sentence, with words and commas; it goes on. ' * 5}</p>" for _ in range(6))
-    page = f"<body><div><a>Home</a> <a>News</a> <a>About</a></div><div><div>{story}</div></div><div><span>x</span><span>y</span></div></body>"
+def story(n=6):
+    return "".join(f"<p>{'A sentence, with words and commas; it goes on. ' * 5}</p>" for _ in range(n))
+
+
+def test_html_ratios_without_names(monkeypatch):
+    page = f"<body><div><a>Home</a> <a>News</a> <a>About</a></div><div><div><h2>The headline of it</h2>{story()}</div></div><div><span>x</span><span>y</span></div></body>"
     got = htmltext.main_text(page)
-    assert got.count("\n") == 5 and "Home" not in got and got.startswith("A sentence")
+    assert got.count("\n") == 6 and "Home" not in got and got.startswith("The headline of it\nA sentence")
+    monkeypatch.setattr(htmltext, "_value", lambda *counts: 5.0)  # the ratios decide: with equal ones the page falls apart
+    assert htmltext.main_text(page) != got
+
+
+def test_html_misleading_names():
+    teaser = f"<body class='has-sidebar'><nav><a>Home</a></nav><main><p>Read on.</p></main><div><div>{story()}</div></div></body>"
+    got = htmltext.main_text(teaser)
+    assert got.count("A sentence, with") == 30 and "Home" not in got
+    named = f"<body><div class='header-image promo'>{story()}</div><div class='main-content'><a>x</a></div></body>"  # one name alone vetoes nothing
+    assert htmltext.main_text(named).count("A sentence, with") == 30
+
+
+def naive_values(page):
+    """Fused values of the block paths of a well-formed page without names, straight from the definition."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.blocks, self.new = [], [], True
+
+        def handle_starttag(self, tag, attrs):
+            if tag in htmltext.BLOCKS:
+                self.open, self.new = [*self.open, tag], True
+
+        def handle_endtag(self, tag):
+            if tag in htmltext.BLOCKS:
+                self.open, self.new = self.open[:-1], True
+
+        def handle_data(self, data):
+            if data.strip():
+                if self.new or self.blocks[-1][0] != tuple(self.open):
+                    self.blocks.append((tuple(self.open), ""))
+                self.blocks[-1], self.new = (self.blocks[-1][0], self.blocks[-1][1] + data), False
+
+    reader = Reader()
+    reader.feed(page)
+
+    def value(pick):
+        texts = [t for p, t in reader.blocks if pick(p)]
+        chars, marks = sum(len("".join(t.split())) for t in texts), sum(t.count(c) for t in texts for c in ".,;:!?")
+        return min(7.0, math.log(chars / len(texts) * (1 + min(marks, chars / 15) / len(texts)))) if texts else 0.0
+
+    out = {}
+    own = [value(lambda q, p=p: q == p) for p, _ in reader.blocks]
+    for p in {p for p, _ in reader.blocks}:
+        smooth = []
+        for i in (i for i, (q, _) in enumerate(reader.blocks) if q == p):
+            near = own[max(0, i - 1) : i + 2] + [own[i]] * 2
+            smooth.append(sum(near) / len(near))
+        shared = max(value(lambda q: q[:-1] == p[:-1]), value(lambda q: q[:-1] == p[:-2]))
+        out[p] = (sum(smooth) / len(smooth) + shared) / 2
+    return sorted(out.values())
+
+
+def test_html_values_match_brute_force():
+    rng = random.Random(2)
+    for _ in range(40):
+        def part(depth):
+            if depth == 0 or rng.random() < 0.3:
+                return "".join(rng.choice(["word ", "a, b. ", "<b>bold</b> ", "long winded text; "]) for _ in range(rng.randrange(1, 9)))
+            tags = [rng.choice(["div", "section", "ul", "blockquote"]) for _ in range(rng.randrange(1, 4))]
+            return "".join(f"<{t}>{part(depth - 1)}</{t}>" for t in tags)
+
+        page = f"<html><body>{part(4)}</body></html>"
+        paths = htmltext.Paths()
+        got = htmltext.fused_values(list(htmltext.text_nodes(page, paths)), paths)
+        assert sorted(got.values()) == pytest.approx(naive_values(page))
 
 
 def test_html_table(spark):
