@@ -4,12 +4,14 @@ A text's lines (cut at ``\n``) that hold a word form a sequence; lines without o
 windows: the shortest stretch of whole lines from it onward, and the shortest up to it, of at least ``min_words`` words.
 A stretch of at least ``min_words`` words that occurs twice holds, at both places, the same windows.
 
-1. Winnow: each window's smallest line hash is its fingerprint; equal stretches are bound to select equal fingerprints.
-   Windows whose fingerprint is selected at one place only cannot repeat and go.
-2. Join positions: the windows that are left meet by fingerprint and content, and each later one meets the first of them
-   (by document id, then line): a star, never all pairs.
-3. Extend both ways: a repeated stretch is covered by its onward windows up to its end and by its backward windows from
-   its start, so the union of matched windows is the whole repeated run on either side of a fingerprint.
+1. Winnow: of each window only the smallest line hash is selected, once for all windows in a row that share it. Equal
+   stretches are bound to select equal fingerprints, so these few lines find every repetition.
+2. Join positions: fingerprints that are selected at one place only cannot repeat and go; texts without any other go too.
+3. Extend both ways: from the position of a repeated fingerprint, neighbouring lines to the left and to the right are added
+   up to each window that selected it, and the hashes of these lines are compared. Of equal ones each later meets the
+   first (by document id, then line): a star, never all pairs. A repeated run is covered by its onward windows up to its
+   end and by its backward windows from its start, so the union of the matches is the whole run, longer ones included;
+   comparing with the first place of a fingerprint alone would miss a run that starts there differently.
 4. Delete: later repeated runs go, the first occurrence of every line stays somewhere in the corpus.
 """
 
@@ -35,22 +37,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.withColumn("stop", F.sum("n").over(upto)).withColumn("start", F.col("stop") - F.col("n"))
 
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
+def _frames(min_words: int) -> tuple[Window, Window]:
     doc = Window.partitionBy("doc_id", "text_key")
-    onward = doc.orderBy("start").rangeBetween(0, min_words - 1)
-    backward = doc.orderBy("stop").rangeBetween(-(min_words - 1), 0)
+    return doc.orderBy("start").rangeBetween(0, min_words - 1), doc.orderBy("stop").rangeBetween(-(min_words - 1), 0)
+
+
+def _selected(lines: DataFrame, min_words: int) -> DataFrame:
+    """The lines with ``fps``: the smallest line hashes of the line's windows, where the window before had another one."""
+    both = lines
+    for k, frame in enumerate(_frames(min_words)):
+        low = F.when(F.sum("n").over(frame) >= min_words, F.min(F.struct("h", "pos")).over(frame))
+        both = both.withColumn(f"w{k}", low)
+    row = Window.partitionBy("doc_id", "text_key").orderBy("start")
+    new = [F.when(~F.col(f"w{k}").eqNullSafe(F.lag(f"w{k}").over(row)), F.col(f"w{k}")) for k in (0, 1)]
+    return both.select(*lines.columns, F.filter(F.array(*new), lambda w: w.isNotNull()).alias("fps"))
+
+
+def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """Every window of the lines: ``first`` and ``last`` line, its fingerprint ``fp`` and two hashes of all its lines."""
 
     def window(frame: Window, kind: str) -> Column:
-        hashes, others = F.collect_list("h").over(frame), F.collect_list("g").over(frame)
         # the frames hold the same lines in the same order for equal stretches
-        low = F.min(F.struct(F.col("h"), F.col("pos"))).over(frame)
         return F.struct(
-            F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), F.sum("n").over(frame).alias("words"),
-            F.xxhash64(hashes).alias("k1"), F.xxhash64(others).alias("k2"), low["h"].alias("fp"), low["pos"].alias("fp_pos"),
+            F.min("pos").over(frame).alias("first"), F.max("pos").over(frame).alias("last"), F.sum("n").over(frame).alias("words"), F.min("h").over(frame).alias("fp"),
+            F.xxhash64(F.collect_list("h").over(frame)).alias("k1"), F.xxhash64(F.collect_list("g").over(frame)).alias("k2"),
         ).alias(kind)
 
+    onward, backward = _frames(min_words)
     both = lines.select("doc_id", "text_key", window(onward, "a"), window(backward, "b"))
-    rows = both.select("doc_id", "text_key", F.explode(F.when((F.col("a.first") == F.col("b.first")) & (F.col("a.last") == F.col("b.last")), F.array("a")).otherwise(F.array("a", "b"))).alias("w"))
+    same = (F.col("a.first") == F.col("b.first")) & (F.col("a.last") == F.col("b.last"))
+    rows = both.select("doc_id", "text_key", F.explode(F.when(same, F.array("a")).otherwise(F.array("a", "b"))).alias("w"))
     return rows.select("doc_id", "text_key", "w.*").where(F.col("words") >= min_words).drop("words")
 
 
@@ -60,13 +76,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Documents without such a run have no row. Order of documents: id (null last), then a hash of the text.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text_key"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
-    windows = stored(_windows(_lines(src), min_words), "lines-windows")
-    places = windows.select("fp", "doc_id", "text_key", "fp_pos").distinct()
-    again = places.groupBy("fp").count().where("count > 1").select("fp")
-    windows = windows.hint("merge").join(again, "fp", "left_semi")
+    lines = stored(_selected(_lines(src), min_words), "lines")
+    fps = lines.where(F.size("fps") > 0).select("doc_id", "text_key", F.explode("fps").alias("w")).select("doc_id", "text_key", F.col("w.h").alias("fp"), F.col("w.pos").alias("at"))
+    place = F.struct("doc_id", "text_key", "at")
+    again = stored(fps.groupBy("fp").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("fp"), "lines-again")
+    met = stored(fps.hint("merge").join(again, "fp", "left_semi").select("doc_id", "text_key"), "lines-met").distinct()
+    some = lines.drop("fps").alias("l").hint("merge").join(met.alias("m"), F.col("l.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("l.text_key") == F.col("m.text_key")), "left_semi")
+    windows = stored(_stretches(some, min_words), "lines-stretches")
+    windows = stored(windows.hint("merge").join(again, "fp", "left_semi"), "lines-stretches")
     at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "first")
-    firsts = windows.groupBy("fp", "k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
-    key = [F.col(f"w.{k}") == F.col(f"f.{k}") for k in ("fp", "k1", "k2")]
+    firsts = stored(windows.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n"), "lines-firsts")
+    key = [F.col(f"w.{k}") == F.col(f"f.{k}") for k in ("k1", "k2")]
     later = windows.alias("w").hint("merge").join(firsts.alias("f"), key).where(
         F.struct(F.col("w.doc_id").isNull().alias("no_id"), "w.doc_id", "w.text_key", "w.first") > F.col("f.at")
     ).select("w.doc_id", "w.text_key", "w.first", "w.last")
