@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,13 +19,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    A private one is made only where the setting is missing, as in tests on one machine.
+    A private one is made only where the setting is missing and the master is local, as in tests on one machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -34,18 +41,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage (a lost executor costs no earlier stage again), computes a table that is used several times
-    once, and gives later joins the real size instead of an estimate.
+    once, and gives later joins the real size instead of an estimate. Within ``scratch`` the table goes at its end
+    unless ``keep`` is set.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    made = _made.get()
+    if made is not None and not keep:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored meanwhile are deleted at the end: what is still needed then has to be stored with ``keep``."""
+    token = _made.set(made := [])
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in made:
+            folder = hadoop.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlefold.llm.common import WORD, stored
+from candlefold.llm.common import WORD, scratch, stored
 
 MIN_WORDS = 50
 
@@ -104,7 +104,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     A null text stays null, with no lines. A text without a repeated run stays as it is. Rows with the same id and text
     count as one document, so a repeated row is no repetition of itself; equal texts under different ids are.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words)
+    with scratch(docs.sparkSession):
+        runs = stored(repeated_runs(docs, id_col, text_col, min_words), "lines-runs", keep=True)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
     both = rows.hint("merge").join(runs, F.col(f"row.`{id_col}`").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
     text = F.col(f"row.`{text_col}`")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlefold.llm.common import connected_components, stored, word_blocks
+from candlefold.llm.common import connected_components, scratch, stored, word_blocks
 
 SEED = 42
 MAX_DISTANCE = 3
@@ -139,8 +139,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reachable. Rows without id, or whose id is no number, get a fingerprint but take no part in links: their component
     is null. An empty table gives an empty result. Only the two named columns are read, so further columns cannot clash.
     """
-    docs_fp = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash-docs")
-    named = docs_fp.where("doc_id is not null")
+    docs_fp = stored(fingerprints(docs, id_col, text_col, shingle_words), "simhash-docs", keep=True)
+    with scratch(docs.sparkSession):
+        labelled = stored(_labels(docs_fp.where("doc_id is not null"), hot_bucket), "simhash-labels", keep=True)
+    return docs_fp.hint("merge").join(labelled, "fp", "left").select(
+        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    )
+
+
+def _labels(named: DataFrame, hot_bucket: int) -> DataFrame:
     fps = stored(named.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-fps")
     several = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("doc_id", "a")
     versions = named.select("doc_id", F.col("fp").alias("b")).hint("merge").join(several, "doc_id").where("a <> b").select("a", "b").distinct()
@@ -151,10 +158,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = connected_components(edges, "a", "b", "simhash-cc")
     placed = stored(fps.hint("merge").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-placed")
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labelled = stored(placed.hint("merge").join(least, "root").select("fp", "component_id"), "simhash-labels")
-    return docs_fp.hint("merge").join(labelled, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
-    )
+    return placed.hint("merge").join(least, "root").select("fp", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -230,11 +234,12 @@ def text_prints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int)
 
 
 def slots(texts: DataFrame) -> DataFrame:
-    """``slot``, ``t``: the table slots of every text, the ball of radius one around each segment of its fingerprint."""
+    """``slot``, ``t``, ``own``: the table slots of every text, the ball of radius one around each segment of its
+    fingerprint; ``own`` for the segment as it is."""
     halves = [h for i in range(WIDTH) for h in _segments(F.col("f")[i])]
     segments = texts.select("t", F.posexplode(F.array(*halves)).alias("seg", "val"))
     ball = segments.select("t", "seg", "val", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
-    return ball.select(F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val ^ shiftleft(1L, i) end").alias("slot"), "t")
+    return ball.select(F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val ^ shiftleft(1L, i) end").alias("slot"), "t", (F.col("i") < 0).alias("own"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -257,6 +262,28 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """``slot``, ``t``, ``n``, ``at``: for every set of n shingles the n - ceil(similarity n) + 1 that the fewest sets hold
+    (ties: by hash), with their place among all of the set's shingles in this order, from 1.
+
+    Two sets of at least the similarity share one of these. Shingles of one set only come first and are left out: they
+    meet nobody.
+    """
+    each = sets.select("t", F.size("s").alias("n"), F.explode("s").alias("slot"))
+    common = stored(each.groupBy("slot").agg(F.count("*").alias("df")).where("df > 1"), "near-common")
+    held = stored(each.hint("merge").join(common, "slot"), "near-held")
+    row = Window.partitionBy("t")
+    least = F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9))
+    ranked = held.withColumn("c", F.count("*").over(row)).where(F.col("c") >= least).withColumn("k", F.row_number().over(row.orderBy("df", "slot")))
+    return ranked.where(F.col("k") <= F.col("c") - least + 1).select("slot", "t", "n", (F.col("n") - F.col("c") + F.col("k")).alias("at"))
+
+
+def _may_reach(similarity: float) -> Column:
+    """Whether two sets whose first common shingle has these places can have the similarity: what follows must suffice."""
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    return (left >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)) & (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
+
+
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, earlier: DataFrame | None = None, leads: int = 16
 ) -> DataFrame:
@@ -266,11 +293,13 @@ def near_components(
     their earlier ones. Rows of one id are one document with several texts. Texts of equal words in equal order (A-Z
     lower-cased) are one text, told apart by 64 bits.
 
-    All texts of a table slot first pair with one of them. What is verified contracts to components; a slot that is left
-    with several stays open: its texts with most similar ones become leads and pair with all texts of other components,
-    and the number of leads grows eightfold a round until every text of an open slot has been one. In the end two texts
-    that share a slot are in one component or were compared. A group around one text takes two rounds, whatever its
-    size; only a slot full of texts that are near by fingerprint but not similar comes to all its pairs.
+    Every text first pairs with one text of each slot of its segments as they are. What is verified contracts to
+    components; a slot, of the whole balls, that holds several is open. The texts of open slots meet again by their rarest
+    shingles (``rare_shingles``), which any two similar ones share: where such a group holds several components, its
+    texts with most similar ones become leads and pair with all texts of other components, and the number of leads
+    grows eightfold a round until every text of an open group has been one. So in the end two texts that share a slot
+    are in one component or are not similar, and neither a large group around one text nor one of texts that are near
+    by fingerprint but not similar comes to its pairs.
     """
     prints = text_prints(docs, id_col, text_col, shingle_words).withColumn("view", F.lit(0))
     if earlier is not None:
@@ -286,28 +315,31 @@ def near_components(
     # counts and leads first, members again for the slots where texts meet: a window over a hot slot would be one task
     shared = stored(slots(texts).groupBy("slot").agg(F.min("t").alias("lead"), F.count("*").alias("held")).where("held > 1"), "near-shared")
     members = stored(slots(texts).hint("merge").join(shared, "slot"), "near-members")
-    checked = stored(_ordered(members.select(F.col("lead").alias("a"), F.col("t").alias("b"))), "near-met")
+    checked = stored(_ordered(members.where("own").select(F.col("lead").alias("a"), F.col("t").alias("b"))), "near-met")
     pairs = stored(_within(checked, texts, similarity), "near-pairs")
-    # rounds may ask for any text that shares a slot with two others
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).unionByName(members.where("held > 2").select("t")).distinct()
-    holders = needed.hint("merge").join(texts.select("t", "at.*"), "t").select(F.col("t"), "doc_id", "view")
+    holders = members.select("t").distinct().hint("merge").join(texts.select("t", "at.*"), "t").select("t", "doc_id", "view")
     sets = stored(prints.select("doc_id", "view", "t", "s").hint("merge").join(holders, ["doc_id", "view", "t"], "left_semi").select("t", "s").dropDuplicates(["t"]), "near-shingles")
     edges = stored(similar_pairs(pairs, sets, similarity).unionByName(versions), "near-edges")
     roots = connected_components(edges, "a", "b", "near-cc")
-    crowded = members.where("held > 2").select("slot", "t")
+    placed = members.select("slot", "t").hint("merge").join(roots.withColumnRenamed("node", "t"), "t", "left").select("slot", "t", F.coalesce("root", "t").alias("root"))
+    placed = stored(placed, "near-placed")
+    several = placed.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("slot")
+    open_texts = stored(placed.hint("merge").join(several, "slot", "left_semi").select("t").distinct(), "near-open")
+    crowded = stored(rare_shingles(sets.hint("merge").join(open_texts, "t", "left_semi"), similarity), "near-rare")
     while True:
         links = edges.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("links"))
         known = roots.withColumnRenamed("node", "t").hint("merge").join(links, "t", "left")
-        now = crowded.select("slot", "t").hint("merge").join(known, "t", "left").select("slot", "t", F.coalesce("root", "t").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        now = crowded.select("slot", "t", "n", "at").hint("merge").join(known, "t", "left").select("slot", "t", "n", "at", F.coalesce("root", "t").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
         now = stored(now, "near-now")
         several = now.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 < r1").select("slot", "held")
         crowded = stored(now.hint("merge").join(several, "slot"), "near-crowded")
         widest = crowded.agg(F.max("held")).first()[0]
         if not widest:
             break
-        order = Window.partitionBy("slot").orderBy(F.desc("links"), F.xxhash64("t"), "t")
-        lead = stored(crowded.withColumn("k", F.row_number().over(order)).where(F.col("k") <= leads).select("slot", F.col("t").alias("a"), F.col("root").alias("ra")), "near-leads")
-        met = lead.hint("merge").join(crowded.select("slot", F.col("t").alias("b"), F.col("root").alias("rb")), "slot").where("ra <> rb").select("a", "b")
+        order = Window.partitionBy("slot").orderBy(F.desc("links"), "at", F.xxhash64("t"), "t")
+        side = lambda x: [F.col("t").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}")]
+        lead = stored(crowded.withColumn("k", F.row_number().over(order)).where(F.col("k") <= leads).select("slot", *side("a")), "near-leads")
+        met = lead.hint("merge").join(crowded.select("slot", *side("b")), "slot").where((F.col("ra") != F.col("rb")) & _may_reach(similarity)).select("a", "b")
         new = stored(_ordered(met).hint("merge").join(checked, ["a", "b"], "left_anti"), "near-met")
         found = stored(similar_pairs(_within(new, texts, similarity), sets, similarity), "near-edges")
         checked = checked.unionByName(new)
@@ -327,6 +359,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
     Rows without an id stay; so do all rows of the kept id. Null texts are empty; empty texts are copies of each other.
     """
-    found = near_components(docs, id_col, text_col, similarity, shingle_words, earlier)
-    gone = stored(found.where("root < doc_id").select(F.col("doc_id").alias("_gone")), "near-gone")
+    with scratch(docs.sparkSession):
+        found = near_components(docs, id_col, text_col, similarity, shingle_words, earlier)
+        gone = stored(found.where("root < doc_id").select(F.col("doc_id").alias("_gone")), "near-gone", keep=True)
     return docs.hint("merge").join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
