@@ -18,7 +18,7 @@ def _spans(kind: int, pattern: str, group: int) -> str:
 SECRETS = f"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 c AS ({_spans(0, _A, 2)} UNION ALL {_spans(1, 'AKIA[A-Z0-9]{12,}', 0)} UNION ALL {_spans(2, '[0-9a-f]{32,}', 0)} UNION ALL {_spans(3, '[A-Za-z0-9+/_=-]{20,}', 0)}),
 d AS (SELECT doc_id, source, kind, x.v AS v, x.s AS s, x.s + x.n AS e FROM c WHERE CASE kind WHEN 0 THEN length(x.v) >= 8 WHEN 3 THEN regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') ELSE true END),
-o AS (SELECT v, count(DISTINCT coalesce(source, '')) = 1 AS own FROM d GROUP BY v),
+o AS (SELECT v, count(DISTINCT coalesce(source, '')) = 1 AND count(DISTINCT coalesce(doc_id, -1)) <= 3 AS own FROM d GROUP BY v),
 j AS (SELECT d.*, own FROM d JOIN o USING (v)),
 k AS (SELECT * FROM j WHERE kind < 3 OR (own AND NOT EXISTS (SELECT 1 FROM j b WHERE b.doc_id = j.doc_id AND b.kind < 3 AND j.s < b.e AND j.e > b.s))),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (own) AS n_live_looking, count(*) FILTER (NOT own) AS n_copied,
@@ -28,8 +28,8 @@ coalesce(n_live_looking, 0) AS n_live_looking, coalesce(n_copied, 0) AS n_copied
 
 
 def _cutoffs() -> str:
-    rows = [f"('{r}', {i}, {c})" for r, cs in quality.CUTOFFS.items() for i, c in enumerate(cs)]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(rule, pos, cutoff)"
+    rows = [f"('{r}', {place}, {i}, {c})" for place, (r, cs) in enumerate(quality.CUTOFFS.items()) for i, c in enumerate(cs)]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) t(rule, place, pos, cutoff)"
 
 
 _WORDS = r"string_split_regex(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')), ' ')"
@@ -44,13 +44,17 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 v AS (SELECT doc_id, stratum, base_failed, unnest([{{'rule': 'symbol_ratio', 'v': coalesce(n_symbols / nullif(n_words, 0), 0)}}, {{'rule': 'dup_line_ratio', 'v': coalesce(n_dup_lines / nullif(n_lines, 0), 0)}}, {{'rule': 'repeat_ratio', 'v': coalesce(n_repeat_words / nullif(n_words, 0), 0)}},
   {{'rule': 'upper_ratio', 'v': coalesce(n_upper / nullif(word_chars, 0), 0)}}, {{'rule': 'reuse_ratio', 'v': coalesce((n_words - n_distinct) / nullif(n_words, 0), 0)}}]) AS x FROM b),
 q AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-h AS (SELECT v.stratum, x.rule AS rule, x.v AS v, quality FROM v JOIN q USING (doc_id) WHERE NOT base_failed),
+h AS (SELECT v.doc_id, v.stratum, x.rule AS rule, x.v AS v, quality, substr(md5(v.doc_id::VARCHAR), 32, 1) < '8' AS proposes FROM v JOIN q USING (doc_id) WHERE NOT base_failed),
 cu AS ({_cutoffs()}),
-n AS (SELECT stratum, rule, pos, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v >= cutoff) AS k, count(*) FILTER (quality = 0 AND v >= cutoff) AS bad FROM h JOIN cu USING (rule) GROUP BY ALL),
-m AS (SELECT count(DISTINCT stratum || '/' || rule) AS m FROM n WHERE n > 0),
-s AS (SELECT n.*, n > 0 AND k <= 0.005 * n AND (SELECT ln(sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.005) + (n - i) * ln(1 - 0.005)))) FROM (SELECT unnest(range(0, k + 1)) AS i)) <= ln(0.05 / m.m) AS ok FROM n, m),
-f AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY pos) AS safe FROM s), best AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad DESC, pos) AS j FROM f WHERE safe AND bad > 0) WHERE j = 1),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN best ON best.stratum = v.stratum AND best.rule = v.x.rule WHERE v.x.v >= cutoff)
+n AS (SELECT stratum, rule, place, pos, cutoff, count(*) FILTER (quality = 1) AS n, count(*) FILTER (quality = 1 AND v >= cutoff) AS k, count(*) FILTER (quality = 0 AND v >= cutoff) AS bad FROM h JOIN cu USING (rule) WHERE proposes GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY bad DESC, pos) AS j FROM n WHERE bad > 0 AND k <= {quality.TARGET} * n) WHERE j = 1),
+seq AS (SELECT stratum, rule, cutoff, row_number() OVER (PARTITION BY stratum ORDER BY bad DESC, place) AS step FROM best),
+hd AS (SELECT h.doc_id, h.stratum, min(step) FILTER (h.v >= cutoff) AS step FROM h LEFT JOIN seq ON seq.stratum = h.stratum AND seq.rule = h.rule WHERE NOT proposes AND quality = 1 GROUP BY h.doc_id, h.stratum),
+m AS (SELECT count(DISTINCT stratum) AS m FROM hd),
+u AS (SELECT seq.stratum, seq.rule, seq.cutoff, seq.step, count(*) AS n, count(*) FILTER (hd.step <= seq.step) AS k FROM seq JOIN hd ON hd.stratum = seq.stratum GROUP BY ALL),
+s AS (SELECT u.*, (SELECT ln(sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({quality.ALPHA}) + (n - i) * ln(1 - {quality.ALPHA})))) FROM (SELECT unnest(range(0, k + 1)) AS i)) <= ln({quality.DELTA} / m.m) AS ok FROM u, m),
+f AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY step) AS safe FROM s),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN f ON f.safe AND f.stratum = v.stratum AND f.rule = v.x.rule WHERE v.x.v >= cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""
 
 TOP_K = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -1,11 +1,14 @@
 """Quality rules with risk-controlled thresholds.
 
-Every document gets counts, base limits and five rule values (higher is worse). For each stratum and rule a cutoff is
-selected on the labelled documents: a cutoff counts as safe if the exact binomial test rejects, at level ``delta`` over
-the number of (stratum, rule) pairs (Bonferroni), that more than ``alpha`` of the good documents would be rejected.
-Cutoffs of one rule are nested, so they are tested from the loosest to the strictest until one fails (fixed sequence; no
-further correction is due). Of the safe ones that which rejects most labelled bad documents is taken, the loosest if
-several do. A rule without a safe cutoff rejects nothing in that stratum: with few labels the rules stay silent.
+Every document gets counts, base limits and five rule values (higher is worse). For each stratum the labelled documents
+are split by a hash of their id. One half proposes: for every rule the cutoff that rejects most bad documents while it
+rejects at most a ``target`` share of the good ones (the loosest if several do), and an order of the rules, most bad
+documents first. The other half, the holdout, proves: in that order one rule after the other is added, and an exact
+binomial test must reject, at level ``delta`` over the number of strata (Bonferroni), that all rules so far together reject
+more than ``alpha`` of the good documents. The sets are nested and their order does not depend on the holdout, so they
+are tested until one fails (fixed sequence; no further correction is due). The rules before it act. So with probability
+1 - ``delta`` no stratum loses more than ``alpha`` of its good documents to the rules; a stratum with too few labels for
+any proof keeps the base limits only.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ CUTOFFS = {
     "upper_ratio": (0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05),
     "reuse_ratio": (0.98, 0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6),
 }
+#: Share of a stratum's good documents that its rules may reject together, chance that any stratum's share is larger, and
+#: share of the good documents of the proposing half that a cutoff may reject.
+ALPHA, DELTA, TARGET = 0.05, 0.05, 0.002
 #: Strata up to which the cutoff table (five rows a stratum) is broadcast; it is joined by sort-merge beyond.
 BROADCAST_STRATA = 10_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -103,12 +109,45 @@ def log_binomial_tail(k: int, n: int, p: float) -> float:
     return float(top + math.log(np.exp(terms - top).sum()))
 
 
-def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """``stratum``, ``rule``, ``cutoff``, ``n_good``, ``false_rejections``: the selected cutoffs; no row where none is safe.
+def choose(levels: pd.DataFrame, alpha: float, error: float, target: float) -> list[tuple[str, float, int, int]]:
+    """Rule, cutoff, good documents of the holdout and those rejected by all rules together, for one stratum.
+
+    ``levels``: rows of ``proposes`` (whether of that half), ``quality``, the level of each rule (how many of its cutoffs
+    are reached, the strictest first) and ``n`` documents.
+    """
+
+    def over(part: pd.DataFrame, rule: str, looser: int) -> pd.Series:
+        return part[rule] >= len(CUTOFFS[rule]) - looser
+
+    proposal, proof = levels[levels["proposes"]], levels[~levels["proposes"] & (levels["quality"] == 1)]
+    good, bad = proposal[proposal["quality"] == 1], proposal[proposal["quality"] == 0]
+    found = []
+    for place, (rule, cutoffs) in enumerate(CUTOFFS.items()):
+        best = (0, 0)
+        for looser in range(len(cutoffs)):
+            hits = int(bad.loc[over(bad, rule, looser), "n"].sum())
+            if hits > best[0] and good.loc[over(good, rule, looser), "n"].sum() <= target * good["n"].sum():
+                best = (hits, looser)
+        if best[0]:
+            found.append((-best[0], place, rule, best[1]))
+    rejected, n, rules, lost = pd.Series(False, index=proof.index), int(proof["n"].sum()), [], 0
+    for _, _, rule, looser in sorted(found):
+        rejected |= over(proof, rule, looser)
+        k = int(proof.loc[rejected, "n"].sum())
+        if not n or log_binomial_tail(k, n, alpha) > math.log(error):
+            break
+        rules.append((rule, CUTOFFS[rule][looser]))
+        lost = k
+    return [(rule, cutoff, n, lost) for rule, cutoff in rules]
+
+
+def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, target: float = TARGET) -> DataFrame:
+    """``stratum``, ``rule``, ``cutoff``, ``n_good``, ``false_rejections`` (holdout, all rules of the stratum together): the
+    rules that act; no row where none is proved.
 
     ``measured``: ``doc_id``, ``stratum``, struct ``c`` of counts. ``labels``: ``doc_id``, ``quality`` (1 good, 0 bad);
     null ids or labels are left out, and of several labels of one document the largest counts. Documents that the base
-    limits reject don't take part. Only counts per (stratum, rule, cutoff) leave the executors' aggregation.
+    limits reject don't take part. Only counts per stratum and combination of levels leave the executors' aggregation.
     """
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     c = F.col("c")
@@ -117,29 +156,18 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = 0.005,
         """How many of the rule's cutoffs the value reaches."""
         return sum((F.coalesce(value >= x, F.lit(False)).cast("int") for x in CUTOFFS[rule]), F.lit(0))
 
-    rules = F.array(*[F.struct(F.lit(r).alias("rule"), level(r, v).alias("level")) for r, v in rule_values(c).items()])
     held = measured.where(~base_failed(c)).hint("merge").join(marks, "doc_id")
-    by_level = held.select("stratum", "quality", F.explode(rules).alias("r")).groupBy("stratum", "r.rule", "r.level").agg(
-        F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")
-    )
-    by_level = stored(by_level, "quality-levels")
-    pairs = by_level.where("good > 0").select("stratum", "rule").distinct().count()
-    error = delta / max(1, pairs)
+    proposes = F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 32, 1) < "8"
+    levels = held.select("stratum", proposes.alias("proposes"), "quality", *[level(r, v).alias(r) for r, v in rule_values(c).items()])
+    levels = stored(levels.groupBy(*levels.columns).agg(F.count("*").alias("n")), "quality-levels")
+    strata = levels.where("quality = 1 and not proposes").select("stratum").distinct().count()
+    error = delta / max(1, strata)
 
     def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        rule, n = pdf["rule"].iloc[0], int(pdf["good"].sum())
-        best = None
-        for looser, cutoff in enumerate(CUTOFFS[rule]):
-            over = pdf[pdf["level"] >= len(CUTOFFS[rule]) - looser]
-            k, bad = int(over["good"].sum()), int(over["bad"].sum())
-            if not n or k > alpha * n or log_binomial_tail(k, n, alpha) > math.log(error):
-                break
-            if bad and (best is None or bad > best[0]):
-                best = (bad, cutoff, k)
-        rows = [(pdf["stratum"].iloc[0], rule, best[1], n, best[2])] if best else []
+        rows = [(pdf["stratum"].iloc[0], *row) for row in choose(pdf, alpha, error, target)]
         return pd.DataFrame(rows, columns=["stratum", "rule", "cutoff", "n_good", "false_rejections"])
 
-    return by_level.groupBy("stratum", "rule").applyInPandas(select, "stratum string, rule string, cutoff double, n_good long, false_rejections long")
+    return levels.groupBy("stratum").applyInPandas(select, "stratum string, rule string, cutoff double, n_good long, false_rejections long")
 
 
 def _with_cutoffs(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -160,20 +188,24 @@ def _stratum(col: str) -> Column:
     return F.coalesce(F.col(f"`{col}`").cast("string"), F.lit(""))
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, target: float = TARGET
+) -> DataFrame:
     """Per input row: ``doc_id``, the counts, ``base_failed`` and ``kept``. Null text: no words, so the base limits reject it.
 
     Null strata form one stratum. Repeated rows are judged alike, each on its own row. Without labels only the base limits
     decide. Further columns are not read.
     """
     measured = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), _stratum(stratum_col).alias("stratum"), counts(F.col(f"`{text_col}`")).alias("c")), "quality-counts")
-    cut = _with_cutoffs(measured, select_cutoffs(measured, labels, alpha, delta))
+    cut = _with_cutoffs(measured, select_cutoffs(measured, labels, alpha, delta, target))
     return cut.select("doc_id", *[F.col(f"c.{n}") for n in COUNTS], base_failed(F.col("c")).alias("base_failed"), _kept(F.col("c")).alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns. The texts are measured a second time rather than shuffled."""
-    measured = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), _stratum(stratum_col).alias("stratum"), counts(F.col(f"`{text_col}`")).alias("c")), "quality-counts")
-    cutoffs = select_cutoffs(measured, labels, alpha, delta)
-    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), _stratum(stratum_col).alias("stratum"), counts(F.col(f"`{text_col}`")).alias("c"))
-    return _with_cutoffs(rows, cutoffs).where(_kept(F.col("c"))).select("row.*")
+def keep(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, target: float = TARGET
+) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, all columns. The rows are written with their counts, so that texts are measured once."""
+    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
+    rows = stored(docs.select(row, _stratum(stratum_col).alias("stratum"), counts(F.col(f"`{text_col}`")).alias("c")), "quality-rows")
+    measured = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "stratum", "c")
+    return _with_cutoffs(rows, select_cutoffs(measured, labels, alpha, delta, target)).where(_kept(F.col("c"))).select("row.*")

@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 import re
 import zlib
 from array import array
@@ -59,6 +61,65 @@ def test_judge(spark):
     assert quality.judge(df, labels.where("false")).where("kept").count() == sum(not r.base_failed for r in rows)
 
 
+def brute_cutoffs(rows, alpha, delta, target):
+    """rows: id, stratum, quality, rule values. Tries every cutoff one by one, with exact binomial sums."""
+    rules, strata = list(quality.CUTOFFS), sorted({s for i, s, q, _ in rows if q == 1 and not half(i)})
+    out = {}
+    for stratum in {s for _, s, _, _ in rows}:
+        mine = [r for r in rows if r[1] == stratum]
+        good, bad, held = ([v for i, _, q, v in mine if q == want and half(i) == side] for want, side in ((1, True), (0, True), (1, False)))
+        picks = []
+        for place, rule in enumerate(rules):
+            hits = [(-sum(v[rule] >= c for v in bad), n, c) for n, c in enumerate(quality.CUTOFFS[rule]) if sum(v[rule] >= c for v in good) <= target * len(good)]
+            if hits and min(hits)[0]:
+                picks.append((min(hits)[0], place, rule, min(hits)[2]))
+        chosen = {}
+        for _, _, rule, cutoff in sorted(picks):
+            trial = chosen | {rule: cutoff}
+            k, n = sum(any(v[r] >= c for r, c in trial.items()) for v in held), len(held)
+            if not n or sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) > delta / len(strata):
+                break
+            chosen = trial
+        out |= {(stratum, r): c for r, c in chosen.items()}
+    return out
+
+
+def half(i):
+    return hashlib.md5(str(i).encode()).hexdigest()[-1] < "8"
+
+
+def test_chosen_cutoffs_match_brute_force_on_mixed_labels(spark):
+    g, rows = random.Random(4), []
+    for i in range(6000):
+        stratum = g.choice(["en", "en", "en", "de", "fr", "xx"])  # fr's good texts are loud, xx has few labels
+        mark = int(g.random() < 0.7) if stratum != "xx" or i < 400 else None
+        n = g.randrange(60, 120)
+        words = [f"w{g.randrange(10**6)}" for _ in range(n)]
+        loud = 0.02 if mark else g.choice([0.0, 0.4, 0.9])
+        if stratum == "fr" and g.random() < 0.2:
+            loud = 0.8
+        words = [w + "#" if g.random() < loud else w for w in words]
+        if not mark and g.random() < 0.4:
+            words = [w.upper() for w in words]
+        if g.random() < (0.03 if mark else 0.5):
+            words[: n // 2] = ["same"] * (n // 2)
+        rows.append((i, " ".join(words), stratum, mark))
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    measured = df.select("doc_id", F.col("lang").alias("stratum"), quality.counts(F.col("text")).alias("c"))
+    values = []
+    for i, text, stratum, mark in rows:
+        f = dict(zip(quality.FIELDS, quality.text_counts(text)))
+        if mark is not None and f["n_words"] >= 50 and 100 * f["n_repeat_words"] <= 50 * f["n_words"]:
+            v = {"symbol_ratio": f["n_symbols"] / f["n_words"], "dup_line_ratio": f["n_dup_lines"] / f["n_lines"], "repeat_ratio": f["n_repeat_words"] / f["n_words"],
+                 "upper_ratio": f["n_upper"] / f["word_chars"], "reuse_ratio": (f["n_words"] - f["n_distinct"]) / f["n_words"]}
+            values.append((i, stratum, mark, v))
+    got = {(r.stratum, r.rule): r.cutoff for r in quality.select_cutoffs(measured, labels).collect()}
+    assert got == brute_cutoffs(values, 0.05, 0.05, 0.002)
+    assert {s for s, _ in got} == {"en", "de", "fr"} and ("fr", "symbol_ratio") not in got and ("en", "symbol_ratio") in got
+    assert quality.text_counts("ab cd\n" * 400_000)[:5] == (800_000, 1_600_000, 0, 399_999, 800_000)  # a very long text
+
+
 def brute_strip(rows, least=50):
     """Later repeated runs of at least ``least`` words, by comparing every stretch of lines."""
     docs = sorted({(i is None, i or 0, t) for i, t in rows if t is not None})
