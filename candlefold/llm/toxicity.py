@@ -5,11 +5,16 @@ spans in either word, of at most ``SPAN`` letters, divided by the words' norms:
 or cost some subsequences but leave the others. Marks inside a word are dropped, digits and signs that stand for letters
 are read as such, and single letters in a row are read as one word.
 
-Training takes a bounded sample of labelled documents (near copies of one text count once) and their sentences: words
-that documents labelled toxic hold significantly more often make a sentence toxic. A linear support vector machine is
-fitted on the Nystroem features of words of toxic and of clean sentences. As the kernel is an inner product, landmarks and
-weights fold into one weight per subsequence, so a word is scored in time proportional to its length. A document's score
-is a logistic curve, fitted on the training documents, over the margins of its three worst words.
+Training takes a bounded sample of labelled documents (near copies of one text count once) and labels their sentences:
+those of documents labelled clean are clean; of documents labelled toxic those are toxic that hold a word which such
+documents hold significantly more often, and the others are left out. A sentence is as toxic as its worst word: the
+machine is a multiple-instance one, whose instances are the words of labelled sentences. Every word of a clean sentence
+is clean; of a toxic sentence one word, the witness, is toxic. The linear machine is fitted on the Nystroem features of
+both, then every toxic sentence takes the word of the highest margin for its witness, and clean sentences that the
+machine takes for toxic give their worst words to the clean side; so it goes on for ``ROUNDS``. As the kernel is an
+inner product, landmarks and weights fold into one weight per subsequence, so a word is scored in time proportional to
+its length. A document's score is a logistic curve, fitted on the training documents, over the margins of the three worst
+instances of its sentences (the worst sentences' margins; one sentence may give several).
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from candlefold.llm.quality import log_binomial_tail
 DECAY = 0.6
 SPAN = 6
 LANDMARKS = 192
+#: Rarer words of clean sentences that a machine is fitted on at first, at most.
+N_CLEAN = 8000
 #: Labelled documents of either label that are fetched for training, at most; the bound on what the driver gathers.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
 KEEP_WORDS = 300_000
@@ -40,7 +47,7 @@ _LOOKALIKE = str.maketrans("013457@$!|", "oieastasil")
 _SINGLES = re.compile(r"(?<!\S)(?:\w[^\w\s]*\s+){2,}\w(?!\S)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _CODES = 64  # 0: none, 1-26: a-z, 27-61: other letters, by their number, 62: a word's start, 63: its end
-TOP = 3
+TOP, ROUNDS = 3, 3
 
 
 def words_of(text: str) -> list[str]:
@@ -50,6 +57,11 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+def sentences_of(text: str) -> list[list[str]]:
+    """The words of each sentence; sentences end at ``.``, ``!`` or ``?`` before white space, and at line ends."""
+    return [words for s in _SENTENCE.split(text) if (words := words_of(s))]
+
+
 def letters(word: str) -> list[int]:
     """Letter codes between the marks of the word's ends: look-alikes are read as letters, other signs dropped."""
     if any(c.isalpha() for c in word):
@@ -110,15 +122,22 @@ class Landmarks:
 
 class Model:
     """Margin of a word: ``weights`` of its subsequences over its norm, plus ``bias``. Score of a text: logistic in ``curve``
-    over the margins of its ``TOP`` worst words; for missing ones stands the margin of a word without subsequences."""
+    over the ``TOP`` worst margins in its sentences; for missing ones stands the margin of a word without subsequences."""
 
     def __init__(self, weights: np.ndarray, bias: float, curve: np.ndarray | None = None):
         self.weights, self.bias, self.curve = weights.astype(np.float32), bias, curve
 
-    def margins(self, words: list[str]) -> np.ndarray:
+    def words(self, words: list[str]) -> np.ndarray:
         row, code, weight, norm = features(words)
         return np.bincount(row, weight * self.weights[code], minlength=len(words)) / norm + self.bias
 
+    def known(self, words: list[str]) -> dict[str, float]:
+        return {w: v for part in _parts(words, 20_000) for w, v in zip(part, self.words(part).tolist())}
+
+    @staticmethod
+    def margins(sentences: list[list[str]], known: dict[str, float]) -> list[float]:
+        return [known[w] for s in sentences for w in s]
+
     def worst(self, margins: list[float]) -> list[float]:
         return heapq.nlargest(TOP, margins + [self.bias] * (TOP - len(margins)) if len(margins) < TOP else margins)
 
@@ -152,36 +171,38 @@ def fit(toxic: list[str], clean: list[str], seed: int = 7) -> Model | None:
     tested = sum(1 for w, k in df_toxic.items() if k >= 3)
     limit = math.log(0.5 / max(1, tested))
 
+    def tail(w: str, k: int) -> float:
+        return log_binomial_tail(df_clean[w], k + df_clean[w], 1 - share)
+
     def tells(w: str, k: int) -> bool:
-        n = k + df_clean[w]
-        return k >= 3 and k > n * share and len(w) >= 3 and log_binomial_tail(n - k, n, 1 - share) <= limit
+        return k >= 3 and k > (k + df_clean[w]) * share and len(w) >= 3 and tail(w, k) <= limit
 
-    marked = {w for w, k in df_toxic.items() if tells(w, k)}
-    bad = sorted({w for t in toxic for s in _SENTENCE.split(t) for w in words_of(s) if w in marked})
-    if not bad:
+    marked = {w: tail(w, k) for w, k in df_toxic.items() if tells(w, k)}
+    toxic_sentences = [s for t in toxic for s in sentences_of(t) if not marked.keys().isdisjoint(s)]
+    clean_sentences = [s for t in clean for s in sentences_of(t)]
+    if not toxic_sentences or not clean_sentences:
         return None
     rng = np.random.default_rng(seed)
-    common = [w for w, _ in sorted(df_clean.items(), key=lambda x: (-x[1], x[0]))[:2000]]
-    rare = sorted(df_clean.keys() - set(common))
-    rest = [rare[i] for i in sorted(rng.choice(len(rare), min(len(rare), 8000), replace=False))]
-    good = [w for w in common + rest if w not in marked]
-    bad = bad if len(bad) <= 2000 else [bad[i] for i in sorted(rng.choice(len(bad), 2000, replace=False))]
-    marks = [bad[i] for i in sorted(rng.choice(len(bad), min(len(bad), LANDMARKS // 2), replace=False))]
-    marks += [good[i] for i in sorted(rng.choice(len(good), min(len(good), LANDMARKS - len(marks)), replace=False))]
-    features_of, negatives = Landmarks(marks), good
-    model = Model(np.zeros(_CODES**3), 0.0)
-    for _ in range(3):
-        z = features_of(bad + negatives)
-        y = np.concatenate([np.ones(len(bad)), -np.ones(len(negatives))])
-        seen = np.array([df_toxic[w] for w in bad] + [1 + df_clean[w] for w in negatives], dtype=float)
-        w, b = _svm(z, y, np.log2(1 + seen) * np.where(y > 0, len(negatives) / len(bad), 1.0))
+    pick = lambda items, n: [items[i] for i in sorted(rng.choice(len(items), min(len(items), n), replace=False))]
+    in_clean = Counter(w for s in clean_sentences for w in set(s))
+    common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:2000]]
+    good = common + pick(sorted(in_clean.keys() - set(common)), N_CLEAN)
+    witness = Counter(min(marked.keys() & set(s), key=lambda w: (marked[w], w)) for s in toxic_sentences)
+    features_of = Landmarks(pick(sorted(witness), LANDMARKS // 2) + pick([w for w in good if w not in witness], LANDMARKS // 2))
+    for _ in range(ROUNDS):
+        bad = sorted(witness)
+        z = features_of(bad + good)
+        y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
+        seen = np.array([witness[w] for w in bad] + [1 + in_clean[w] for w in good], dtype=float)
+        w, b = _svm(z, y, np.log2(1 + seen) * np.where(y > 0, len(good) / len(bad), 1.0))
         model = Model(features_of.fold(w), b)
-        # the clean words that the machine finds worst join the clean side
-        others = sorted(df_clean.keys() - set(negatives) - marked)
-        margin = np.concatenate([model.margins(part) for part in _parts(others, 20_000)]) if others else np.zeros(0)
-        negatives = negatives + [others[i] for i in np.argsort(-margin, kind="stable")[:1500] if margin[i] > -0.5]
-    worst = [model.worst(model.margins(words_of(t)).tolist()) for t in toxic + clean]
-    model.curve = _logistic(np.array(worst), np.array([1.0] * len(toxic) + [0.0] * len(clean)))
+        margin = model.known(sorted({w for s in toxic_sentences for w in s} | in_clean.keys()))
+        witness = Counter(max(s, key=lambda w: (margin[w], w)) for s in toxic_sentences)
+        rest = sorted((w for w in in_clean.keys() - set(good) if margin[w] > -0.5), key=lambda w: (-margin[w], w))
+        good = good + rest[:1500]
+    known = model.known(sorted(df_toxic.keys() | df_clean.keys()))
+    found = [model.worst(model.margins(sentences_of(t), known)) for t in toxic + clean]
+    model.curve = _logistic(np.array(found), np.array([1.0] * len(toxic) + [0.0] * len(clean)))
     return model
 
 
@@ -246,20 +267,18 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
         for b in batches:
             out: list[float] = []
             worst: list[str | None] = []
-            block: list[list[str]] = []
+            block: list[list[list[str]]] = []
 
             def flush() -> None:
                 nonlocal known
-                distinct = set().union(*block)
+                distinct = {w for sentences in block for s in sentences for w in s}
                 if len(known) > KEEP_WORDS:
                     known = {w: known[w] for w in distinct & known.keys()}
-                missing = sorted(distinct - known.keys())
-                for part in _parts(missing, 20_000):
-                    known.update(zip(part, model.margins(part).tolist()))
-                for found in block:
-                    top = model.worst([known[w] for w in found])
-                    out.append(model.score(top))
-                    worst.append(next((w for w in found if known[w] == top[0]), None))
+                known.update(model.known(sorted(distinct - known.keys())))
+                for sentences in block:
+                    margins = model.margins(sentences, known)
+                    out.append(model.score(model.worst(margins)))
+                    worst.append(max((w for s in sentences for w in s), key=known.__getitem__, default=None))
                 block.clear()
 
             chars = 0
@@ -269,7 +288,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     out.append(0.0)
                     worst.append(None)
                     continue
-                block.append(words_of(text))
+                block.append(sentences_of(text))
                 chars += len(text)
                 if chars > 1 << 21:
                     flush()

@@ -273,19 +273,49 @@ def test_toxicity_held_out_accuracy():
     texts, marks = corpus(600, 1)
     model = toxicity.fit([t for t, y in zip(texts, marks) if y], [t for t, y in zip(texts, marks) if not y])
     held, truth = corpus(200, 2)
-    got = [model.score(model.worst(model.margins(toxicity.words_of(t)).tolist())) >= 0.5 for t in held]
+
+    def score(text):
+        found = toxicity.sentences_of(text)
+        return model.score(model.worst(model.margins(found, model.known(sorted({w for x in found for w in x})))))
+
+    got = [score(t) >= 0.5 for t in held]
     assert sum(a == bool(b) for a, b in zip(got, truth)) >= 194
-    m = dict(zip(("blorgnak", "bl.orgnak", "blorgxnak", "table"), model.margins(["blorgnak", "bl.orgnak", "blorgxnak", "table"])))
+    m = model.known(["blorgnak", "bl.orgnak", "blorgxnak", "table"])
     assert m["bl.orgnak"] == pytest.approx(m["blorgnak"]) and m["blorgxnak"] > 0 > m["table"]
 
 
-def test_kernel_is_an_inner_product_of_gapped_subsequences():
-    row, code, weight, norm = toxicity.features(["abc", "axbc"])
-    common = {}
-    for r, c, w in zip(row, code, weight):
-        common.setdefault(c, [0.0, 0.0])[r] += w
-    assert sum(a * b for a, b in common.values()) > 0
-    assert (norm > 0).all()
+def naive_kernel(a, b):
+    """Sum over all pairs of equal subsequences of three letters, each weighted by DECAY to the length it spans, within SPAN."""
+
+    def subsequences(word):
+        x = toxicity.letters(word)
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
+                    yield (x[i], x[j], x[k]), toxicity.DECAY ** (k - i + 1)
+
+    return sum(u * v for s, u in subsequences(a) for t, v in subsequences(b) if s == t)
+
+
+def test_kernel_matches_naive_gapped_subsequences():
+    words = ["abc", "axbc", "idiot", "i.d1ot", "idxiot", "été", "a", "", "aaaaaaa", "Ωmega"]
+    row, code, weight, norm = toxicity.features(words)
+    for i, a in enumerate(words):
+        phi = {}
+        for c, w in zip(code[row == i], weight[row == i]):
+            phi[c] = phi.get(c, 0.0) + w
+        for j, b in enumerate(words):
+            got = sum(w * phi.get(c, 0.0) for c, w in zip(code[row == j], weight[row == j]))
+            assert got == pytest.approx(naive_kernel(a, b))
+    assert naive_kernel("idiot", "idxiot") > 0.3 * naive_kernel("idiot", "idiot")
+
+
+def test_margins_are_kernel_sums_over_the_landmarks():
+    marks = toxicity.Landmarks(["idiot", "table", "stupid", "tisch"])
+    z = marks(["idiot", "idxiot", "table"])
+    w = np.arange(1.0, z.shape[1] + 1)
+    model = toxicity.Model(marks.fold(w), -0.25)
+    assert list(model.known(["idiot", "idxiot", "table"]).values()) == pytest.approx((z @ w - 0.25).tolist(), rel=1e-4)
 
 
 def test_toxicity_table(spark):
@@ -298,6 +328,7 @@ def test_toxicity_table(spark):
     assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
     by = {r.doc_id: r.score for r in out}
     assert by[9000] == by[9001] < 0.5 < by[None]
+    assert toxicity.fit(["a b c d. blorgnak e f"] * 9 + ["plain words"], []) is None  # one label alone
     assert toxicity.train(df, labels.where("false")) is None
     assert {r.score for r in toxicity.score(df, None).collect()} == {0.0}
     assert toxicity.score(df.where("false"), model).count() == 0
