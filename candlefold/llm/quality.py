@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlefold.llm.common import stored
+from candlefold.llm.common import scratch, stored
 
 SYMBOLS = b"#*$%&|<>"
 #: Rules and their cutoffs from the loosest to the strictest.
@@ -204,8 +204,9 @@ def judge(
 def keep(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA, target: float = TARGET
 ) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns. The rows are written with their counts, so that texts are measured once."""
-    row = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row")
-    rows = stored(docs.select(row, _stratum(stratum_col).alias("stratum"), counts(F.col(f"`{text_col}`")).alias("c")), "quality-rows")
-    measured = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), "stratum", "c")
-    return _with_cutoffs(rows, select_cutoffs(measured, labels, alpha, delta, target)).where(_kept(F.col("c"))).select("row.*")
+    """The rows of ``docs`` that ``judge`` keeps, all columns. The texts are measured a second time rather than stored or shuffled."""
+    with scratch(docs.sparkSession):
+        measured = stored(docs.select(F.col(f"`{id_col}`").alias("doc_id"), _stratum(stratum_col).alias("stratum"), counts(F.col(f"`{text_col}`")).alias("c")), "quality-counts")
+        cutoffs = stored(select_cutoffs(measured, labels, alpha, delta, target), "quality-chosen", keep=True)
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), _stratum(stratum_col).alias("stratum"), counts(F.col(f"`{text_col}`")).alias("c"))
+    return _with_cutoffs(rows, cutoffs).where(_kept(F.col("c"))).select("row.*")

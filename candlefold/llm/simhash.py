@@ -167,13 +167,16 @@ def hex_digits(fp: Column) -> Column:
 
 # ---- near-duplicates by similarity ---------------------------------------------------------------------------------
 # At a similarity of 0.8 on five-word shingles some 2 % of the words differ. Fingerprints of the shingles then differ in
-# about nine of 64 bits, too many for exact multi-index hashing; fingerprints of 192 bits over the distinct words differ in
-# about 14 of 192. Their six segments of 32 bits are looked up with a ball of radius one on either side, so segments
-# meet that differ in two bits; what is found is verified on the whole fingerprint and then on the shingles themselves.
+# about nine of 64 bits, too many for exact multi-index hashing; fingerprints of 256 bits over the distinct words differ in
+# about 18 of 256. Their eight segments of 32 bits are looked up with a ball of radius one on either side, in which only
+# unset bits are flipped: segments meet that differ in one bit, or in two that are set in one of them each (half of those
+# that differ in two). What is found is verified on the whole fingerprint and then on the shingles themselves.
 
 #: Numbers of 64 bits in a wide fingerprint, and bits in which near texts may differ.
-WIDTH = 3
-WIDE_DISTANCE = 45
+WIDTH = 4
+WIDE_DISTANCE = 60
+#: Ids whose texts are fetched by a broadcast (a few MB); by a merge join beyond.
+BROADCAST_IDS = 500_000
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -215,31 +218,47 @@ def text_print(text: str | None, shingle_words: int = 5) -> tuple[int, list[int]
     return key, prints, np.unique((rolled >> np.uint64(32)).astype(np.uint32))
 
 
-def text_prints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``doc_id``, ``t`` (key of the text), ``f`` (wide fingerprint), ``n`` and ``s`` (number and set of shingles) of rows with an id."""
+def _rows(docs: DataFrame, id_col: str, text_col: str, view: int) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").try_cast("long").alias("doc_id"), F.lit(view).alias("view"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
+
+
+def text_prints(rows: DataFrame, shingle_words: int) -> DataFrame:
+    """``doc_id``, ``view``, ``t`` (key of the text), ``f`` (wide fingerprint) and ``n`` (number of its shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, prints, n = [], [], []
+            for text in batch.column(2):
+                t, f, s = text_print(text.as_py(), shingle_words)
+                key.append(t)
+                prints.append(f)
+                n.append(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["doc_id", "view", "t", "f", "n"])
+
+    return rows.mapInArrow(run, "doc_id long, view int, t long, f array<long>, n long")
+
+
+def shingle_sets(rows: DataFrame, holders: DataFrame, shingle_words: int) -> DataFrame:
+    """``t`` and the set ``s`` of its shingles for the texts that ``holders`` (``t``, ``doc_id``, ``view``) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):  # sets of few texts at a time
-                part = batch.slice(at, 500)
-                found = [text_print(t.as_py(), shingle_words) for t in part.column(1)]
-                sets = pa.array([x[2].view(np.int32) for x in found], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([len(x[2]) for x in found], pa.int64()), sets],
-                    ["doc_id", "t", "f", "n", "s"],
-                )
+                found = [text_print(t.as_py(), shingle_words) for t in batch.slice(at, 500).column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[2].view(np.int32) for x in found], pa.list_(pa.int32()))], ["t", "s"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, t long, f array<long>, n long, s array<int>")
+    named = F.broadcast(holders) if holders.count() <= BROADCAST_IDS else holders.hint("merge")
+    found = rows.join(named.select("doc_id", "view"), ["doc_id", "view"], "left_semi").select("text").mapInArrow(run, "t long, s array<int>")
+    return found.dropDuplicates(["t"])  # rows of one id with several texts all come
 
 
 def slots(texts: DataFrame) -> DataFrame:
-    """``slot``, ``t``, ``own``: the table slots of every text, the ball of radius one around each segment of its
-    fingerprint; ``own`` for the segment as it is."""
+    """``slot``, ``t``, ``own``: the table slots of every text, each segment of its fingerprint as it is (``own``) and with
+    one unset bit flipped."""
     halves = [h for i in range(WIDTH) for h in _segments(F.col("f")[i])]
     segments = texts.select("t", F.posexplode(F.array(*halves)).alias("seg", "val"))
-    ball = segments.select("t", "seg", "val", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i"))
-    return ball.select(F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val ^ shiftleft(1L, i) end").alias("slot"), "t", (F.col("i") < 0).alias("own"))
+    ball = segments.select("t", "seg", "val", F.explode(F.sequence(F.lit(-1), F.lit(31))).alias("i")).where("i < 0 or val & shiftleft(1L, i) = 0")
+    return ball.select(F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val | shiftleft(1L, i) end").alias("slot"), "t", (F.col("i") < 0).alias("own"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -301,11 +320,10 @@ def near_components(
     are in one component or are not similar, and neither a large group around one text nor one of texts that are near
     by fingerprint but not similar comes to its pairs.
     """
-    prints = text_prints(docs, id_col, text_col, shingle_words).withColumn("view", F.lit(0))
+    rows = _rows(docs, id_col, text_col, 0)
     if earlier is not None:
-        prints = prints.unionByName(text_prints(earlier, id_col, text_col, shingle_words).withColumn("view", F.lit(1)))
-    prints = stored(prints, "near-prints")
-    light = prints.select("doc_id", "view", "t", "f", "n")
+        rows = rows.unionByName(_rows(earlier, id_col, text_col, 1))
+    light = stored(text_prints(rows, shingle_words), "near-prints")
     if earlier is not None:
         ids = light.where("view = 0").select("doc_id").distinct()
         light = stored(light.hint("merge").join(ids, "doc_id", "left_semi"), "near-light")
@@ -317,8 +335,8 @@ def near_components(
     members = stored(slots(texts).hint("merge").join(shared, "slot"), "near-members")
     checked = stored(_ordered(members.where("own").select(F.col("lead").alias("a"), F.col("t").alias("b"))), "near-met")
     pairs = stored(_within(checked, texts, similarity), "near-pairs")
-    holders = members.select("t").distinct().hint("merge").join(texts.select("t", "at.*"), "t").select("t", "doc_id", "view")
-    sets = stored(prints.select("doc_id", "view", "t", "s").hint("merge").join(holders, ["doc_id", "view", "t"], "left_semi").select("t", "s").dropDuplicates(["t"]), "near-shingles")
+    holders = stored(members.select("t").distinct().hint("merge").join(texts.select("t", "at.*"), "t").select("t", "doc_id", "view"), "near-holders")
+    sets = stored(shingle_sets(rows, holders, shingle_words), "near-shingles")
     edges = stored(similar_pairs(pairs, sets, similarity).unionByName(versions), "near-edges")
     roots = connected_components(edges, "a", "b", "near-cc")
     placed = members.select("slot", "t").hint("merge").join(roots.withColumnRenamed("node", "t"), "t", "left").select("slot", "t", F.coalesce("root", "t").alias("root"))
