@@ -50,11 +50,11 @@ def a04(s, d):
     return hygiene.upsert_live(b.drop("sector"), q).select("sym", "date", "close", "live")
 
 
-@query("a05_universe_document", "SELECT sym, count(*) AS n, round(sum(close), 4) AS total FROM bars WHERE date >= DATE '1998-01-01' GROUP BY sym")
+@query("a05_universe_document", "SELECT sym, count(*) AS n, round(sum(close), 4) AS total FROM bars GROUP BY sym")
 def a05(s, d):
     """Bars to one JSON map per symbol and back through the document reader's schema."""
-    recent = bars(s, d).where("date >= date'1998-01-01'").select("sym", F.struct(C("date").cast("string").alias("date"), "open", "high", "low", "close", "volume").alias("b"))
-    docs = recent.groupBy("sym").agg(F.to_json(F.struct(F.create_map(F.first("sym"), F.collect_list("b")).alias("histBySym"))).alias("doc"))
+    each = bars(s, d).select("sym", F.struct(C("date").cast("string").alias("date"), "open", "high", "low", "close", "volume").alias("b"))
+    docs = each.groupBy("sym").agg(F.to_json(F.struct(F.create_map(F.first("sym"), F.collect_list("b")).alias("histBySym"))).alias("doc"))
     bar = "struct<date:string,open:double,high:double,low:double,close:double,volume:double>"
     read = docs.select(F.from_json("doc", f"histBySym map<string, array<{bar}>>").alias("d")).select(F.explode("d.histBySym").alias("sym", "bars")).select("sym", F.explode("bars").alias("b"))
     return read.groupBy("sym").agg(F.count("*").alias("n"), F.round(F.sum("b.close"), 4).alias("total"))

@@ -37,11 +37,10 @@ simple("d24_money_flow", "flow10")
 
 @query("d03_wilder_atr", """, t AS (SELECT sym, date, tr, row_number() OVER (PARTITION BY sym ORDER BY date) AS k FROM ind WHERE tr IS NOT NULL),
 seed AS (SELECT sym, avg(tr) AS v FROM t WHERE k <= 14 GROUP BY sym HAVING count(*) = 14),
-w AS (SELECT t.sym, t.date, (seed.v * power(13/14.0, t.k - 14) + coalesce((SELECT sum(u.tr * power(13/14.0, t.k - u.k)) FROM t u WHERE u.sym = t.sym AND u.k BETWEEN 15 AND t.k), 0) / 14) AS atr
-  FROM t JOIN seed USING (sym) WHERE t.k BETWEEN 14 AND 120)
-SELECT sym, date, round(atr, 4) AS atr FROM w""")
+w AS (SELECT t.sym, t.date, t.k, power(13/14.0, t.k - 14) * (seed.v + coalesce(sum(CASE WHEN t.k >= 15 THEN t.tr * power(14/13.0, t.k - 14) END) OVER (PARTITION BY t.sym ORDER BY t.k), 0) / 14) AS atr FROM t JOIN seed USING (sym))
+SELECT sym, date, round(atr, 4) AS atr FROM w WHERE k >= 14""")
 def d03(s, d):
-    """All sessions; the SQL holds the closed form of the recursion over each symbol's first 120 ranges only."""
+    """All sessions; the SQL holds the closed form of the recursion, whose powers stay in range for some 12,000 sessions."""
     return indicators.wilder(bars(s, d)).select("sym", "date", r("atr"))
 
 
@@ -56,11 +55,12 @@ def d05(s, d):
 
 @query("d07_rsi2_smoothed", """, g AS (SELECT sym, date, gain, loss, rn - 1 AS k FROM ind WHERE pc IS NOT NULL),
 s AS (SELECT sym, avg(gain) AS ga, avg(loss) AS la FROM g WHERE k <= 2 GROUP BY sym HAVING count(*) = 2),
-w AS (SELECT g.sym, g.date, s.ga * power(0.5, g.k - 2) + coalesce((SELECT sum(u.gain * power(0.5, g.k - u.k)) FROM g u WHERE u.sym = g.sym AND u.k BETWEEN 3 AND g.k), 0) / 2 AS a,
-  s.la * power(0.5, g.k - 2) + coalesce((SELECT sum(u.loss * power(0.5, g.k - u.k)) FROM g u WHERE u.sym = g.sym AND u.k BETWEEN 3 AND g.k), 0) / 2 AS b FROM g JOIN s USING (sym) WHERE g.k BETWEEN 2 AND 80)
+w AS (SELECT g.sym, g.date, s.ga * power(0.5, g.k - 2) + coalesce((SELECT sum(u.gain * power(0.5, g.k - u.k)) FROM g u WHERE u.sym = g.sym AND u.k BETWEEN greatest(3, g.k - 60) AND g.k), 0) / 2 AS a,
+  s.la * power(0.5, g.k - 2) + coalesce((SELECT sum(u.loss * power(0.5, g.k - u.k)) FROM g u WHERE u.sym = g.sym AND u.k BETWEEN greatest(3, g.k - 60) AND g.k), 0) / 2 AS b FROM g JOIN s USING (sym) WHERE g.k >= 2)
 SELECT sym, date, round(CASE WHEN b = 0 THEN 100 ELSE 100 - 100 / (1 + a / b) END, 4) AS rsi FROM w""")
 def d07(s, d):
-    """Smoothed RSI(2): average gain and loss are halved and half of the new one added. All sessions; the SQL holds the first 81 bars only."""
+    """Smoothed RSI(2): average gain and loss are halved and half of the new one added. All sessions; in the SQL's closed form terms older than 60
+    bars, of weight 2^-60, are left out."""
     g = indicators.with_ranges(bars(s, d)).where("pc is not null")
     gain = indicators.wilder_of(g, "gain", 2).withColumnRenamed("v", "a")
     loss = indicators.wilder_of(g, "loss", 2).withColumnRenamed("v", "b")

@@ -114,12 +114,12 @@ def c12(s, d):
     return losers.join(good, "sym", "left_semi")
 
 
-@query("c13_first_cross_after_entry", """, e AS (SELECT sym, date AS entry_date, date + 120 AS stop_date FROM ind WHERE pctb <= 0.15 AND date >= DATE '1996-01-01'),
+@query("c13_first_cross_after_entry", """, e AS (SELECT sym, date AS entry_date, date + 120 AS stop_date FROM ind WHERE pctb <= 0.15),
 x AS (SELECT date FROM (SELECT date, close < sma200 AS below, lag(close < sma200) OVER (ORDER BY date) AS was FROM ix WHERE rn >= 200) WHERE below AND was IS NOT NULL AND NOT was)
 SELECT e.sym, entry_date, min(x.date) AS cross_date, (SELECT min(b.date) FROM bars b WHERE b.sym = e.sym AND b.date >= min(x.date)) AS exit_bar FROM e LEFT JOIN x ON x.date > entry_date AND x.date <= stop_date GROUP BY e.sym, entry_date""")
 def c13(s, d):
     x = indicators.indicators(bars(s, d))
-    e = x.where("pctb <= 0.15 and date >= date'1996-01-01'").select("sym", C("date").alias("entry_date"), F.date_add("date", 120).alias("stop_date"))
+    e = x.where("pctb <= 0.15").select("sym", C("date").alias("entry_date"), F.date_add("date", 120).alias("stop_date"))
     i = index_ind(s, d).where("rn >= 200").select("date", (C("close") < C("sma200")).alias("below"))
     cross = i.withColumn("was", F.lag("below").over(Window.orderBy("date"))).where("below and not was").select("date")  # one series
     first = asof.first_after(e, cross, C("entry_date"), C("stop_date"), "cross_date")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from candlefold.operators import indicators, scoring, stats
 from candlefold.plans.base import C, bars, index_ind, query, r, regime, swing
 from candlefold.sources import tables
+from candlefold.sources.shared import kept
 
 #: Every swing bar with its truncated 21-bar forward return in percent and the index's.
 FWD = """, f AS (SELECT sw.*, fw.fwd, fw.edge, year(sw.date) AS yr, hash_id FROM sw JOIN (SELECT sym, date, rn || '' AS hash_id, (lead(close, 21) OVER w / close - 1) * 100 AS fwd,
@@ -150,29 +151,32 @@ def f18(s, d):
 
 
 UNIFORM = "(('0x' || substr(md5('7_' || rep || '_' || id), 1, 8))::BIGINT / 4294967296.0)"
-BOOT = FWD + f""", b AS (SELECT sym || '_' || rn AS id, fwd, unnest(generate_series(1, 200)) AS rep FROM f WHERE core >= 8 AND yr = 1997), w AS (SELECT rep, fwd, {UNIFORM} AS u FROM b),
+BOOT = FWD + f""", b AS (SELECT sym || '_' || rn AS id, fwd, unnest(generate_series(1, 2000)) AS rep FROM f WHERE core >= 8), w AS (SELECT rep, fwd, {UNIFORM} AS u FROM b),
 m AS (SELECT rep, sum(fwd * k) / sum(k) AS mean FROM (SELECT rep, fwd, (u >= 0.36787944117144233)::INT + (u >= 0.7357588823428847)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.9810118431238462)::INT + (u >= 0.9963401531726563)::INT + (u >= 0.9994058151824183)::INT AS k FROM w) GROUP BY rep)"""
 
 
 @query("f19_bootstrap_ci", BOOT + " SELECT count(*) AS reps, round(quantile_disc(mean, 0.025), 4) AS lo, round(avg(mean), 4) AS mid, round(quantile_disc(mean, 0.975), 4) AS hi FROM m")
 def f19(s, d):
-    x = fwd(s, d).where("core >= 8 and yr = 1997").select(F.concat_ws("_", "sym", "rn").alias("id"), "fwd")
-    m = stats.bootstrap_means(x, "fwd", "id", 200)
+    x = fwd(s, d).where("core >= 8").select(F.concat_ws("_", "sym", "rn").alias("id"), "fwd")
+    m = stats.bootstrap_means(x, "fwd", "id", 2000)
     q = lambda p: F.expr(f"percentile_disc({p}) within group (order by mean)")
     return m.agg(F.count("*").alias("reps"), F.round(q(0.025), 4).alias("lo"), F.round(F.avg("mean"), 4).alias("mid"), F.round(q(0.975), 4).alias("hi"))
 
 
-@query("f20_random_baskets", FWD + """, p AS (SELECT fwd, row_number() OVER (ORDER BY sym, date) - 1 AS i, count(*) OVER () AS n FROM f WHERE yr = 1997),
+@query("f20_random_baskets", FWD + """, p AS (SELECT fwd, row_number() OVER (ORDER BY sym, date) - 1 AS i, count(*) OVER () AS n FROM f),
 g AS (SELECT rep, slot, ('0x' || substr(md5('7_' || rep || '_' || slot), 1, 8))::BIGINT AS h FROM (SELECT unnest(generate_series(1, 100)) AS rep), (SELECT unnest(generate_series(1, 20)) AS slot)),
-b AS (SELECT rep, avg(fwd) AS m FROM g JOIN p ON p.i = g.h % p.n GROUP BY rep) SELECT count(*) AS reps, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS sd, round(((SELECT avg(fwd) FROM f WHERE yr = 1997 AND core >= 8) - avg(m)) / stddev_samp(m), 4) AS z FROM b""")
+b AS (SELECT rep, avg(fwd) AS m FROM g JOIN p ON p.i = g.h % p.n GROUP BY rep) SELECT count(*) AS reps, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS sd, round(((SELECT avg(fwd) FROM f WHERE core >= 8) - avg(m)) / stddev_samp(m), 4) AS z FROM b""")
 def f20(s, d):
-    """Baskets of 20 of one year's bars; positions come from the sorted year, numbered in one pass after the filter."""
-    x = fwd(s, d).where("yr = 1997").select("sym", "date", "fwd", "core")
-    n = x.count()
-    p = x.select("fwd", (F.row_number().over(Window.orderBy("sym", "date")) - 1).alias("i"))
-    g = s.range(1, 101).select(C("id").alias("rep")).crossJoin(s.range(1, 21).select(C("id").alias("slot")))
-    h = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit("7"), C("rep").cast("string"), C("slot").cast("string"))), 1, 8), 16, 10).cast("long") % n
-    b = g.select("rep", h.alias("i")).join(p.hint("merge"), "i").groupBy("rep").agg(F.avg("fwd").alias("m"))
+    """Baskets of 20 bars; positions count on from symbol to symbol, so only the list of symbols is numbered in one pass."""
+    x = kept(fwd(s, d).select("sym", "date", "fwd", "core"))
+    sizes = x.groupBy("sym").agg(F.count("*").alias("n"))
+    order = Window.orderBy("sym")
+    starts = sizes.select("sym", (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - C("n")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("sym").orderBy("date")) - 1
+    p = x.withColumn("k", within).hint("merge").join(starts, "sym").select("fwd", (C("start") + C("k")).alias("i"))
+    g = s.range(1, 101).select(C("id").alias("rep"), F.explode(F.sequence(F.lit(1), F.lit(20))).alias("slot")).crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("n"))))
+    h = F.conv(F.substring(F.md5(F.concat_ws("_", F.lit("7"), C("rep").cast("string"), C("slot").cast("string"))), 1, 8), 16, 10).cast("long") % C("n")
+    b = g.select("rep", h.alias("i")).hint("merge").join(p.hint("merge"), "i").groupBy("rep").agg(F.avg("fwd").alias("m"))
     seen = x.where("core >= 8").agg(F.avg("fwd").alias("o"))
     a = b.agg(F.count("*").alias("reps"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd")).crossJoin(F.broadcast(seen))
     return a.select("reps", r("mean"), r("sd"), r((C("o") - C("mean")) / C("sd"), 4, "z"))

@@ -116,7 +116,7 @@ def i04r(s, d):
     return done.select("sym", "entry_date", "label", "reason", "hold", r("pnl"))
 
 
-HOLDS = [(f"hold{n}", "none", None, n, None, None, None, False) for n in range(63, 253, 63)]
+HOLDS = [(f"hold{n}", "none", None, n, None, None, None, False) for n in range(63, 253, 21)]
 
 
 @query("i07_hold_sweep", SW + exits_sql("sside", S_ENTRIES, HOLDS, 252, "atr14") + " SELECT label, nf >= 252 AS full_runway, count(*) AS n, round(avg(pnl), 4) AS expectancy FROM done JOIN (SELECT DISTINCT sym, rn, nf FROM fw) USING (sym, rn) GROUP BY ALL")
@@ -125,17 +125,21 @@ def i07(s, d):
     x = swing_bars(s, d)
     e = trades.fresh(x)
     last = x.groupBy("sym").agg(F.max("rn").alias("m"))
-    done = trades.exits(e, x, trades.rule_table(s, HOLDS), 252).join(F.broadcast(last), "sym")
+    done = trades.exits(e, x, trades.rule_table(s, HOLDS), 252).hint("merge").join(last, "sym")
     g = done.groupBy("label", (C("m") - C("rn") >= 252).alias("full_runway")).agg(F.count("*").alias("n"), F.avg("pnl").alias("expectancy"))
     return g.select("label", "full_runway", "n", r("expectancy"))
 
 
-BACKSTOP = [(f"cross_{n}", "maCross", None, n, None, 0.4, None, False) for n in (126, 189, 252)]
+BACKSTOP = [(f"cross_{n}", "maCross", None, n, None, 0.4, None, False) for n in range(63, 505, 63)]
 
 
-@query("i08_backstop_sweep", SW + exits_sql("sside", S_ENTRIES, BACKSTOP, 252, "atr14") + f" SELECT {REPORT} FROM done GROUP BY label")
+@query("i08_backstop_sweep", SW + exits_sql("sside", S_ENTRIES, BACKSTOP, 504, "atr14") + f" SELECT {REPORT} FROM done JOIN (SELECT DISTINCT sym, rn FROM fw WHERE nf >= 504) USING (sym, rn) GROUP BY label")
 def i08(s, d):
-    return rounded_report(trades.rule_report(swing_exits(s, d, BACKSTOP, 252)))
+    """Backstops of 63 to 504 sessions, for the entries that have all of 504 sessions ahead."""
+    x = swing_bars(s, d)
+    last = x.groupBy("sym").agg(F.max("rn").alias("m"))
+    full = trades.fresh(x).hint("merge").join(last, "sym").where("m - rn >= 504").drop("m")
+    return rounded_report(trades.rule_report(trades.exits(full, x, trades.rule_table(s, BACKSTOP), 504)))
 
 
 @query("i10_f25_gap_through", SW + exits_sql("sside", S_ENTRIES, SWING_RULES[7:9] + SWING_RULES[-4:], 63, "atr14") + " SELECT label, count(*) FILTER (reason IN ('STOP', 'TRAIL')) AS stops, count(*) FILTER (stopped AND gapped) AS gaps, count(*) FILTER (pnl < -25) AS tail FROM done GROUP BY label")

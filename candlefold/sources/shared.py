@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back; a private folder only where the setting is missing."""
+    """Write ``df`` below ``spark.checkpoint.dir`` and read it back; a private folder only where the setting is missing and the master is local."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}"
