@@ -262,6 +262,7 @@ def slots(texts: DataFrame) -> DataFrame:
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
+    """Each pair of different texts once, the smaller as ``a``."""
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -303,6 +304,14 @@ def _may_reach(similarity: float) -> Column:
     return (left >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)) & (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb"))
 
 
+def _merged(roots: DataFrame, found: DataFrame) -> DataFrame:
+    """``roots`` (``node``, ``root``) after the links ``found`` (``a``, ``b``): only what they connect is walked again."""
+    at = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    between = found.hint("merge").join(at("a"), "a").hint("merge").join(at("b"), "b")
+    moved = connected_components(between, "ra", "rb", "near-cc").select(F.col("node").alias("root"), F.col("root").alias("into"))
+    return roots.hint("merge").join(moved, "root", "left").select("node", F.coalesce("into", "root").alias("root"))
+
+
 def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle_words: int = 5, earlier: DataFrame | None = None, leads: int = 16
 ) -> DataFrame:
@@ -344,6 +353,8 @@ def near_components(
     several = placed.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("slot")
     open_texts = stored(placed.hint("merge").join(several, "slot", "left_semi").select("t").distinct(), "near-open")
     crowded = stored(rare_shingles(sets.hint("merge").join(open_texts, "t", "left_semi"), similarity), "near-rare")
+    every = roots.hint("merge").join(open_texts.hint("merge"), F.col("node") == F.col("t"), "full_outer")
+    roots = stored(every.select(F.coalesce("node", "t").alias("node"), F.coalesce("root", "t").alias("root")), "near-roots")
     while True:
         links = edges.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("links"))
         known = roots.withColumnRenamed("node", "t").hint("merge").join(links, "t", "left")
@@ -363,7 +374,7 @@ def near_components(
         checked = checked.unionByName(new)
         if not found.isEmpty():
             edges = edges.unionByName(found)
-            roots = connected_components(edges, "a", "b", "near-cc")
+            roots = stored(_merged(roots, found), "near-roots")
         if leads >= widest:
             break
         leads *= 8
