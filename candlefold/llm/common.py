@@ -95,32 +95,36 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "componen
     """Columns ``node`` and ``root``, the smallest node that can be reached; one row per node that has an edge.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each round is joins and partial aggregates over
-    the edges, never over pairs of a group; its result is written to the shared folder. Rounds grow with the logarithm
-    of the longest path; edges that are stars around their smallest nodes already need none.
+    the edges, never over pairs of a group; either step's result is written to the shared folder. No step makes more edges
+    than it reads, so repeated ones are left until the end. Rounds grow with the logarithm of the longest path; edges that
+    are stars around their smallest nodes already need none.
     """
-    now = stored(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name
-    )
+    now = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), name)
     for _ in range(max_rounds):
         if _are_stars(now):
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # stored, so that both sides of the join are plain exchanges and the centre of a large star can be split
-        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
-        large = stored(both.hint("merge").join(low.hint("merge"), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), name)
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), name)
-        moved = large.hint("merge").join(low.hint("merge"), "u").where(F.col("v") != F.col("m"))
-        now = stored(
-            moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct(), name
-        )
+        low = _dealt_anew(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = stored(both.hint("merge").join(low, F.col("u") == F.col("key")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), name)
+        low = _dealt_anew(large.groupBy("u").agg(F.min("v").alias("m")))
+        met = large.hint("merge").join(low, F.col("u") == F.col("key"))
+        # the edge to the smallest stays, every other one moves to it
+        now = stored(met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), name)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root"))))
+    return now.select(ends.alias("e")).select("e.*").distinct()
+
+
+def _dealt_anew(low: DataFrame) -> DataFrame:
+    """``key`` and ``m`` for the ``u`` and ``m`` of an aggregate by ``u``, dealt out by the join itself.
+
+    A join that found its rows dealt out by the aggregate could not split the centre of a large star over tasks.
+    """
+    return low.select(F.col("u").bitwiseXOR(F.lit(0)).alias("key"), "m").hint("merge")
 
 
 def _are_stars(edges: DataFrame) -> bool:
-    """Whether every ``u`` of the distinct edges (``u`` > ``v``) has one ``v``, which is no ``u`` itself."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
-    nodes = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
-    return not nodes.agg(F.max((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("least") == 0)))).first()[0]
+    """Whether every ``u`` of the edges (``u`` > ``v``; they may repeat) has one ``v``, which is no ``u`` itself."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("to")), F.struct(F.col("v").alias("x"), F.col("v").alias("to")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.min("to").alias("least"), F.max("to").alias("most")).where("least < most").isEmpty()
