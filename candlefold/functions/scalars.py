@@ -85,6 +85,33 @@ def eastern(ts: Column) -> Column:
     return F.from_utc_timestamp(ts, "America/New_York")
 
 
+def good_friday(day: Column) -> Column:
+    """Good Friday of the date's year (1900 to 2099), two days before Easter by Gauss's rule."""
+    y = F.year(day)
+    d = (19 * (y % 19) + 24) % 30
+    e = (2 * (y % 4) + 4 * (y % 7) + 6 * d + 5) % 7
+    late = (d + e == 35) | ((d == 28) & (e == 6) & (y % 19 > 10))
+    return F.date_add(F.make_date(y, F.lit(3), F.lit(20)), (d + e - F.when(late, 7).otherwise(0)).cast("int"))
+
+
+def is_market_holiday(day: Column) -> Column:
+    """Full closures of the New York exchange by rule. A Saturday's holiday is kept on Friday, but for New Year's Day; a
+    Sunday's on Monday. Juneteenth counts from 2022, Martin Luther King's birthday from 1998. Null stays null."""
+    y, month, dom, dow = F.year(day), F.month(day), F.dayofmonth(day), F.dayofweek(day)  # 1 is Sunday
+    nth = lambda m, weekday, first: (month == m) & (dow == weekday) & dom.between(first, first + 6)
+    kept = lambda m, on: (month == m) & (((dom == on) & dow.between(2, 6)) | ((dom == on - 1) & (dow == 6)) | ((dom == on + 1) & (dow == 2)))
+    new_year = (month == 1) & (((dom == 1) & dow.between(2, 6)) | ((dom == 2) & (dow == 2)))
+    floating = (nth(1, 2, 15) & (y >= 1998)) | nth(2, 2, 15) | nth(5, 2, 25) | nth(9, 2, 1) | nth(11, 5, 22)
+    return new_year | floating | (day == good_friday(day)) | (kept(6, 19) & (y >= 2022)) | kept(7, 4) | kept(12, 25)
+
+
+def is_half_day(day: Column) -> Column:
+    """Early closes: the day after Thanksgiving, and the days before Independence Day and Christmas from Monday to Thursday."""
+    month, dom, dow = F.month(day), F.dayofmonth(day), F.dayofweek(day)
+    eve = ((month == 7) & (dom == 3)) | ((month == 12) & (dom == 24))
+    return ((month == 11) & (dow == 6) & dom.between(23, 29)) | (eve & dow.between(2, 5))
+
+
 def minute_of_day(ts: Column) -> Column:
     return F.hour(ts) * 60 + F.minute(ts)
 

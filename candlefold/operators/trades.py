@@ -91,11 +91,21 @@ def exits(entries: DataFrame, bars: DataFrame, rules: DataFrame, horizon: int, a
     return first.select(*key, "entry_date", "side", "label", F.array(*map(F.lit, REASONS))[C("code")].alias("reason"), "hold", "pnl", "exit_date")
 
 
+def with_index(done: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds ``index_pnl``: the return of the index (``date``, ``close``; one row a day) in percent from the close of the entry
+    to that of the exit, whatever the side; null where either day has none."""
+    at = lambda day, name: F.broadcast(index.select(C("date").alias(day), C("close").alias(name)))
+    x = done.join(at("entry_date", "_i0"), "entry_date", "left").join(at("exit_date", "_i1"), "exit_date", "left")
+    return x.withColumn("index_pnl", F.when(C("_i0") > 0, (C("_i1") / C("_i0") - 1) * 100)).drop("_i0", "_i1")
+
+
 def rule_report(done: DataFrame, *by: str) -> DataFrame:
-    """Per rule: n, expectancy, win rate, profit factor, holds, extremes, per-day expectancy."""
+    """Per rule: n, expectancy, win rate, profit factor, holds, extremes, per-day expectancy; with a column ``index_pnl``
+    (the index over the same days, see ``with_index``) also its average and the edge over it."""
     win, loss = F.sum(F.when(C("pnl") > 0, C("pnl"))), F.sum(F.when(C("pnl") <= 0, -C("pnl")))
+    beside = [F.avg("index_pnl").alias("avg_index"), (F.avg("pnl") - F.avg("index_pnl")).alias("edge")] if "index_pnl" in done.columns else []
     return done.groupBy("label", *by).agg(
-        F.count("*").alias("n"), F.avg("pnl").alias("expectancy"), F.avg((C("pnl") > 0).cast("double")).alias("win_rate"),
+        *beside, F.count("*").alias("n"), F.avg("pnl").alias("expectancy"), F.avg((C("pnl") > 0).cast("double")).alias("win_rate"),
         F.when(loss > 0, F.coalesce(win, F.lit(0.0)) / loss).alias("profit_factor"), F.avg("hold").alias("avg_hold"),
         F.expr("percentile_disc(0.5) within group (order by hold)").alias("med_hold"), F.min("pnl").alias("worst"), F.max("pnl").alias("best"),
         (F.avg("pnl") / F.avg("hold")).alias("exp_per_day"), F.count_if(C("reason").isin("STOP", "TRAIL")).alias("n_stop"), F.count_if(C("reason") == "TARGET").alias("n_target"),

@@ -196,14 +196,21 @@ def b11(s, d):
     return hygiene.rescan_set(rows, F.lit("2024-01-31 12:00:00").cast("timestamp"), 2, e.where("value < 0.01").select(C("user_id").alias("sym")))
 
 
-CAL = """cal AS (SELECT date, dayofweek(date) IN (0, 6) AS weekend, (month(date) = 1 AND day(date) = 1) OR (month(date) = 12 AND day(date) = 25) OR (month(date) = 7 AND day(date) = 4) AS holiday, (month(date) = 12 AND day(date) = 24) OR (month(date) = 7 AND day(date) = 3) AS half FROM index_bars),
+DOW, DOM = "dayofweek(date)", "day(date)"  # Sunday is 0
+EASTER = "SELECT date, y, d, (2 * (y % 4) + 4 * (y % 7) + 6 * d + 5) % 7 AS e FROM (SELECT date, year(date) AS y, (19 * (year(date) % 19) + 24) % 30 AS d FROM index_bars)"
+KEPT = "OR (strftime(date, '%m-%d') = '{0}' AND {d} BETWEEN 1 AND 5) OR (strftime(date, '%m-%d') = '{1}' AND {d} = 5) OR (strftime(date, '%m-%d') = '{2}' AND {d} = 1)"
+CAL = f"""gf AS (SELECT date, (make_date(y, 3, 22) + (d + e - CASE WHEN d + e = 35 OR (d = 28 AND e = 6 AND y % 19 > 10) THEN 7 ELSE 0 END)::INT - 2)::DATE AS friday FROM ({EASTER})),
+cal AS (SELECT date, {DOW} IN (0, 6) AS weekend, date = friday OR (strftime(date, '%m-%d') = '01-01' AND {DOW} BETWEEN 1 AND 5) OR (strftime(date, '%m-%d') = '01-02' AND {DOW} = 1)
+  OR ({DOW} = 1 AND ((month(date) = 1 AND {DOM} BETWEEN 15 AND 21 AND year(date) >= 1998) OR (month(date) = 2 AND {DOM} BETWEEN 15 AND 21) OR (month(date) = 5 AND {DOM} >= 25) OR (month(date) = 9 AND {DOM} <= 7)))
+  OR ({DOW} = 4 AND month(date) = 11 AND {DOM} BETWEEN 22 AND 28) {KEPT.format("07-04", "07-03", "07-05", d=DOW)} {KEPT.format("12-25", "12-24", "12-26", d=DOW)} AS holiday,
+  (month(date) = 11 AND {DOW} = 5 AND {DOM} BETWEEN 23 AND 29) OR (strftime(date, '%m-%d') IN ('07-03', '12-24') AND {DOW} BETWEEN 1 AND 4) AS half FROM gf),
 td AS (SELECT *, NOT weekend AND NOT holiday AS trading FROM cal)"""
 
 
 def calendar(s, d):
     t = tables.index_bars(s, d).select("date")
-    md = F.date_format("date", "MM-dd")
-    return t.select("date", scalars.is_weekend(C("date")).alias("weekend"), md.isin("01-01", "12-25", "07-04").alias("holiday"), md.isin("12-24", "07-03").alias("half")).withColumn("trading", ~C("weekend") & ~C("holiday"))
+    day = C("date")
+    return t.select("date", scalars.is_weekend(day).alias("weekend"), scalars.is_market_holiday(day).alias("holiday"), scalars.is_half_day(day).alias("half")).withColumn("trading", ~C("weekend") & ~C("holiday"))
 
 
 @query("b12_b13_calendar", f""", {CAL}, p AS (SELECT *, max(CASE WHEN trading THEN date END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM td)

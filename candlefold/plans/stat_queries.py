@@ -125,12 +125,18 @@ def f15(s, d):
     return rounded(k.groupBy("sym", "in_sample", "fold").agg(F.count("*").alias("n"), F.avg("fwd").alias("avg_fwd")), "sym", "in_sample", "fold", ints=("n",))
 
 
-@query("f16_splits", FWD + " SELECT yr::INT AS yr, sector, favorable, count(*) AS n, round(avg(fwd), 4) AS avg_fwd FROM f LEFT JOIN (SELECT date, favorable FROM regime) USING (date) GROUP BY GROUPING SETS ((yr), (sector), (favorable), ())")
+#: Market crises within the years of the bars, as named windows (first and last day).
+CRISES = (("tequila", "1994-12-20", "1995-03-31"), ("asia", "1997-07-02", "1997-12-31"), ("russia", "1998-07-20", "1998-10-08"))
+CRISIS_SQL = " ".join(f"WHEN date BETWEEN DATE '{a}' AND DATE '{z}' THEN '{k}'" for k, a, z in CRISES)
+
+
+@query("f16_splits", FWD + f", x AS (SELECT *, CASE {CRISIS_SQL} END AS crisis FROM f) SELECT yr::INT AS yr, sector, favorable, crisis, count(*) AS n, round(avg(fwd), 4) AS avg_fwd FROM x LEFT JOIN (SELECT date, favorable FROM regime) USING (date) GROUP BY GROUPING SETS ((yr), (sector), (favorable), (crisis), ())")
 def f16(s, d):
     x = fwd(s, d).join(F.broadcast(regime(s, d).select("date", "favorable")), "date", "left")
-    keys = [C("yr"), C("sector"), C("favorable")]
-    g = x.groupingSets([[keys[0]], [keys[1]], [keys[2]], []], *keys).agg(F.count("*").alias("n"), F.avg("fwd").alias("avg_fwd"))
-    return rounded(g, "yr", "sector", "favorable", ints=("n",))
+    crisis = F.coalesce(*[F.when(C("date").between(F.lit(a).cast("date"), F.lit(z).cast("date")), k) for k, a, z in CRISES])
+    keys = [C("yr"), C("sector"), C("favorable"), C("crisis")]
+    g = x.withColumn("crisis", crisis).groupingSets([[k] for k in keys] + [[]], *keys).agg(F.count("*").alias("n"), F.avg("fwd").alias("avg_fwd"))
+    return rounded(g, "yr", "sector", "favorable", "crisis", ints=("n",))
 
 
 @query("f17_regime_classes", """, v AS (SELECT date, close >= sma200 AS bull, sd20 FROM ix WHERE rn >= 200), c AS (SELECT list_sort(list(sd20)) AS l FROM v)
@@ -314,15 +320,21 @@ def f37(s, d):
     return rounded(g, "bull", ints=("n",))
 
 
-@query("f38_f42_robust_combinations", IDX.replace("fwd IS NOT NULL)", "fwd IS NOT NULL)") + ", g AS (" + " UNION ALL ".join(f"SELECT '{k}' AS combo, ({v}) AS hit, fwd - ifwd AS ed, date, core FROM e" for k, v in GATES.items()) + """)
-SELECT combo, count(*) FILTER (hit) AS n, round(avg(ed) FILTER (hit AND date < DATE '1997-01-01'), 4) AS in_edge, round(avg(ed) FILTER (hit AND date >= DATE '1997-01-01'), 4) AS out_edge, round(quantile_disc(ed, 0.5) FILTER (hit), 4) AS med, round(avg((ed > 0)::INT) FILTER (hit), 4) AS beats,
-round(least(avg(ed) FILTER (hit AND date >= DATE '1997-01-01'), avg(ed) FILTER (hit AND date < DATE '1997-01-01')), 4) AS robust FROM g GROUP BY combo""")
+@query("f38_f42_robust_combinations", IDX.replace("fwd IS NOT NULL)", "fwd IS NOT NULL)") + ", g AS (" + " UNION ALL ".join(f"SELECT '{k}' AS combo, ({v}) AS hit, fwd - ifwd AS ed, date, uptrend FROM e LEFT JOIN (SELECT date, uptrend FROM regime) USING (date)" for k, v in GATES.items()) + """), c AS (SELECT combo, count(*) FILTER (hit) AS n, avg(ed) FILTER (hit AND date < DATE '1997-01-01') AS i, avg(ed) FILTER (hit AND date >= DATE '1997-01-01') AS o, avg(ed) FILTER (hit AND NOT uptrend) AS b, count(*) FILTER (hit AND NOT uptrend) AS bear_n, quantile_disc(ed, 0.5) FILTER (hit) AS med, avg((ed > 0)::INT) FILTER (hit) AS beats FROM g GROUP BY combo)
+SELECT combo, n, bear_n, round(i, 4) AS in_edge, round(o, 4) AS out_edge, round(b, 4) AS bear_edge, round(med, 4) AS med, round(beats, 4) AS beats, round(least(coalesce(o, -99), coalesce(b, -99)), 4) AS robust, coalesce(n >= 300 AND i > 0 AND o > 0 AND b > 0, false) AS strict FROM c""")
 def f38(s, d):
+    """Combinations by the worse of their edge out of sample and in bear markets; strict ones have 300 rows and no edge below zero."""
     rows = F.array(*[F.struct(F.lit(k).alias("combo"), F.expr(v).alias("hit")) for k, v in GATES.items()])
-    g = edge(s, d).select("date", (C("fwd") - C("ifwd")).alias("ed"), F.explode(rows).alias("g")).select("date", "ed", "g.*").where("hit")
-    early = C("date") < F.lit("1997-01-01").cast("date")
-    a = g.groupBy("combo").agg(F.count("*").alias("n"), F.avg(F.when(early, C("ed"))).alias("in_edge"), F.avg(F.when(~early, C("ed"))).alias("out_edge"), F.expr("percentile_disc(0.5) within group (order by ed)").alias("med"), F.avg((C("ed") > 0).cast("double")).alias("beats"))
-    return rounded(a.withColumn("robust", F.least("in_edge", "out_edge")), "combo", ints=("n",))
+    x = edge(s, d).join(F.broadcast(regime(s, d).select("date", "uptrend")), "date", "left")  # one row a day
+    g = x.select("date", "uptrend", (C("fwd") - C("ifwd")).alias("ed"), F.explode(rows).alias("g")).select("date", "uptrend", "ed", "g.*").where("hit")
+    early, bear = C("date") < F.lit("1997-01-01").cast("date"), ~C("uptrend")
+    a = g.groupBy("combo").agg(
+        F.count("*").alias("n"), F.count_if(bear).alias("bear_n"), F.avg(F.when(early, C("ed"))).alias("in_edge"), F.avg(F.when(~early, C("ed"))).alias("out_edge"), F.avg(F.when(bear, C("ed"))).alias("bear_edge"),
+        F.expr("percentile_disc(0.5) within group (order by ed)").alias("med"), F.avg((C("ed") > 0).cast("double")).alias("beats"),
+    )
+    worse = F.least(F.coalesce("out_edge", F.lit(-99.0)), F.coalesce("bear_edge", F.lit(-99.0)))
+    strict = F.coalesce((C("n") >= 300) & (C("in_edge") > 0) & (C("out_edge") > 0) & (C("bear_edge") > 0), F.lit(False))
+    return rounded(a.withColumn("robust", worse).withColumn("strict", strict), "combo", "strict", ints=("n", "bear_n"))
 
 
 @query("f41_sector_report", IDX + ", q AS (SELECT sector, count(*) AS n, avg(fwd - ifwd) AS ed FROM e WHERE core >= 7 GROUP BY sector HAVING count(*) >= 60) SELECT sector, n, round(ed, 4) AS edge, ed > 0 AS kept FROM q")

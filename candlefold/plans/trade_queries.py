@@ -40,7 +40,9 @@ done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sym, rn, label
 REPORT = """label, count(*) AS n, round(avg(pnl), 4) AS expectancy, round(avg((pnl > 0)::INT), 4) AS win_rate, round(CASE WHEN sum(CASE WHEN pnl <= 0 THEN -pnl END) > 0 THEN coalesce(sum(CASE WHEN pnl > 0 THEN pnl END), 0) / sum(CASE WHEN pnl <= 0 THEN -pnl END) END, 4) AS profit_factor,
 round(avg(day), 4) AS avg_hold, quantile_disc(day, 0.5)::DOUBLE AS med_hold, round(min(pnl), 4) AS worst, round(max(pnl), 4) AS best, round(avg(pnl) / avg(day), 4) AS exp_per_day, count(*) FILTER (reason IN ('STOP', 'TRAIL')) AS n_stop, count(*) FILTER (reason = 'TARGET') AS n_target,
 count(*) FILTER (reason = 'FLIP') AS n_flip, count(*) FILTER (reason = 'TIME') AS n_time, count(*) FILTER (reason = 'EOD') AS n_eod"""
-FLOATS = ("expectancy", "win_rate", "profit_factor", "avg_hold", "worst", "best", "exp_per_day")
+FLOATS = ("expectancy", "win_rate", "profit_factor", "avg_hold", "worst", "best", "exp_per_day", "avg_index", "edge")
+EDGE = "round(avg((z.close / a.close - 1) * 100), 4) AS avg_index, round(avg(pnl) - avg((z.close / a.close - 1) * 100), 4) AS edge"
+WITH_INDEX = "done LEFT JOIN index_bars a ON a.date = done.entry_date LEFT JOIN index_bars z ON z.date = done.fdate"
 
 BV = ", bside AS (SELECT *, CASE verdict WHEN 'BUY' THEN 'long' WHEN 'SELL' THEN 'short' END AS side FROM bv WHERE rn >= 200)"
 B_ENTRIES = "SELECT sym, rn, date AS entry_date, close AS entry, side, atr5 AS ea FROM (SELECT *, lag(side) OVER (PARTITION BY sym ORDER BY date) AS before FROM bside) WHERE side IS NOT NULL AND side IS DISTINCT FROM before"
@@ -104,9 +106,9 @@ def i04(s, d):
     return rounded_report(trades.rule_report(bounce_exits(s, d)))
 
 
-@query("i05_f08_swing_exit_grid", SW + exits_sql("sside", S_ENTRIES, SWING_RULES, 63, "atr14") + f" SELECT {REPORT} FROM done GROUP BY label")
+@query("i05_f08_swing_exit_grid", SW + exits_sql("sside", S_ENTRIES, SWING_RULES, 63, "atr14") + f" SELECT {REPORT}, {EDGE} FROM {WITH_INDEX} GROUP BY label")
 def i05(s, d):
-    return rounded_report(trades.rule_report(swing_exits(s, d)))
+    return rounded_report(trades.rule_report(trades.with_index(swing_exits(s, d), tables.index_bars(s, d))))
 
 
 @query("i04_bounce_exits_rows", BV + exits_sql("bside", B_ENTRIES, BOUNCE_RULES[:6], 10, "atr5") + " SELECT sym, entry_date, label, reason, day::INT AS hold, round(pnl, 4) AS pnl FROM done")
@@ -130,6 +132,32 @@ def i07(s, d):
     return g.select("label", "full_runway", "n", r("expectancy"))
 
 
+FILTERS = {"all": "true", "core9": "core >= 9", "core10": "core >= 10", "mom3": "mom_buy >= 3", "trend3": "trend_buy >= 3", "sector2": "sec_buy >= 2", "volume2": "vol_buy >= 2", "liquid": "adv >= 120000", "leader": "trend_buy >= 3 AND mom_buy >= 2 AND sec_buy >= 2"}
+_F42 = " UNION ALL ".join(f"SELECT '{k}' AS filter, * FROM ed WHERE {v}" for k, v in FILTERS.items())
+
+
+@query("f42_entry_filters", SW + f""", le AS (SELECT *, lag(side) OVER w AS before, lead(close, 63) OVER w AS ahead63, lead(close, 126) OVER w AS ahead126, lead(date, 63) OVER w AS d63, lead(date, 126) OVER w AS d126 FROM sside WINDOW w AS (PARTITION BY sym ORDER BY date)),
+ed AS (SELECT le.*, (ahead126 / le.close - 1) * 100 AS p126, (ahead63 / le.close - 1) * 100 - (y.close / x.close - 1) * 100 AS e63, (ahead126 / le.close - 1) * 100 - (z.close / x.close - 1) * 100 AS e126
+  FROM le LEFT JOIN index_bars x ON x.date = le.date LEFT JOIN index_bars y ON y.date = d63 LEFT JOIN index_bars z ON z.date = d126 WHERE side = 'long' AND side IS DISTINCT FROM before AND ahead126 IS NOT NULL), al AS ({_F42})
+SELECT filter, count(*) AS n, round(avg(e63), 4) AS edge63, round(avg(e126), 4) AS edge126, round(avg(p126), 4) AS avg126, round(avg((p126 > 0)::INT), 4) AS win126, round(avg((e126 > 0)::INT), 4) AS beats,
+  round(avg(e126) FILTER (date < DATE '1997-01-01'), 4) AS in_edge, round(avg(e126) FILTER (date >= DATE '1997-01-01'), 4) AS out_edge FROM al GROUP BY filter""")
+def f42(s, d):
+    """Filters of long entries that have 126 sessions ahead: edge over the index after 63 and 126, share beating it, in and out of sample."""
+    w, ix = Window.partitionBy("sym").orderBy("date"), tables.index_bars(s, d)
+    ahead = [F.lead(c, n).over(w).alias(f"{c[0]}{n}") for c in ("close", "date") for n in (63, 126)]
+    e = swing_sides(s, d).select("*", F.lag("side").over(w).alias("before"), *ahead).where("side = 'long' and not (side <=> before) and c126 is not null")
+    for day, name in (("date", "x"), ("d63", "y"), ("d126", "z")):  # one row a day
+        e = e.join(F.broadcast(ix.select(C("date").alias(day), C("close").alias(name))), day, "left")
+    back = lambda n, to: (C(f"c{n}") / C("close") - 1) * 100 - (C(to) / C("x") - 1) * 100
+    named = F.explode(F.array_compact(F.array(*[F.when(F.expr(v), F.lit(k)) for k, v in FILTERS.items()])))
+    e = e.select("date", ((C("c126") / C("close") - 1) * 100).alias("p126"), back(63, "y").alias("e63"), back(126, "z").alias("e126"), named.alias("filter"))
+    early = C("date") < F.lit("1997-01-01").cast("date")
+    return e.groupBy("filter").agg(
+        F.count("*").alias("n"), r(F.avg("e63"), 4, "edge63"), r(F.avg("e126"), 4, "edge126"), r(F.avg("p126"), 4, "avg126"), r(F.avg((C("p126") > 0).cast("double")), 4, "win126"),
+        r(F.avg((C("e126") > 0).cast("double")), 4, "beats"), r(F.avg(F.when(early, C("e126"))), 4, "in_edge"), r(F.avg(F.when(~early, C("e126"))), 4, "out_edge"),
+    )
+
+
 BACKSTOP = [(f"cross_{n}", "maCross", None, n, None, 0.4, None, False) for n in range(63, 505, 63)]
 
 

@@ -263,3 +263,27 @@ def test_smoothed_indicators_cover_all_sessions(spark, name, n, col, new):
     got = {(x.sym, x.date): x[col] for x in __spark_entry__.queries()[name](spark, SF).collect()}
     assert got.keys() == want.keys() and len(got) > 5000
     assert all(got[k] == pytest.approx(want[k], abs=1e-3, rel=1e-6) for k in want)
+
+
+# The exchange's published closures and early closes of two years.
+CLOSED = "2026-01-01 2026-01-19 2026-02-16 2026-04-03 2026-05-25 2026-06-19 2026-07-03 2026-09-07 2026-11-26 2026-12-25 2027-01-01 2027-01-18 2027-02-15 2027-03-26 2027-05-31 2027-06-18 2027-07-05 2027-09-06 2027-11-25 2027-12-24"
+HALF = "2026-11-27 2026-12-24 2027-11-26"
+
+
+def test_calendar_by_rule(spark):
+    days = spark.sql("SELECT explode(sequence(DATE '2026-01-01', DATE '2027-12-31')) AS day")
+    on = lambda c: " ".join(str(x.day) for x in days.where(c).orderBy("day").collect())
+    assert on(scalars.is_market_holiday(C("day")) & ~scalars.is_weekend(C("day"))) == CLOSED
+    assert on(scalars.is_half_day(C("day"))) == HALF
+    easter = {1981: "04-17", 1997: "03-28", 2000: "04-21", 2049: "04-16", 2076: "04-17"}
+    rows = spark.createDataFrame([(dt.date(y, 6, 1),) for y in easter], "day date").select(scalars.good_friday(C("day")).alias("f")).collect()
+    assert {x.f.year: x.f.strftime("%m-%d") for x in rows} == easter
+
+
+def test_report_with_the_index_over_the_same_days(spark):
+    day = lambda i: DAY + dt.timedelta(i)
+    done = spark.createDataFrame([("A", 1, day(0), "long", "x", "TIME", 2, 10.0, day(2)), ("B", 1, day(1), "short", "x", "TIME", 1, 4.0, day(2)), ("C", 1, day(0), "long", "x", "EOD", 9, 1.0, day(9))], "sym string, rn int, entry_date date, side string, label string, reason string, hold int, pnl double, exit_date date")
+    index = spark.createDataFrame([(day(0), 100.0), (day(1), 110.0), (day(2), 121.0)], "date date, close double")
+    row = trades.rule_report(trades.with_index(done, index)).first()
+    assert row.n == 3 and row.avg_index == pytest.approx((21 + 10) / 2) and row.edge == pytest.approx(5 - 15.5)
+    assert "edge" not in trades.rule_report(done).columns
