@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlefold.llm import htmltext, linededup, mtree, oracles, packing, quality, secrets, simhash, toxicity, triebpe, warc
+from candlefold.llm import conversations, htmltext, jaccard, linededup, mtree, oracles, packing, quality, resample, secrets, simhash, toxicity, triebpe, warc
 from candlefold.llm.common import documents, ship_package
 
 
@@ -67,6 +67,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return conversations.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_secrets": op2_secrets,
@@ -78,5 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_conversations": op11_conversations,
+    "op12_resample": op12_resample,
+    "op13_jaccard": op13_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {"op2_secrets": oracles.SECRETS, "op3_quality": oracles.QUALITY, "op6_mtree": oracles.TOP_K, "op7_warc": oracles.WARC, "op9_line_dedup": oracles.LINES}
