@@ -13,6 +13,8 @@ leads, until each is one component or all its texts have led: a family of copies
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from candlefold.llm.common import connected_components, scratch, stored, word_bl
 
 SEED = 42
 #: Cells of the sketch, pieces it is shuffled in, and estimated texts from which a token's slot is dealt to many tasks.
-CELLS, PIECES, HOT = 1 << 21, 16, 2048
+CELLS, PIECES, HOT = 1 << 21, 64, 2048
 #: Ids that are broadcast (a few MB) to fetch their texts; a merge join beyond.
 BROADCAST_IDS = 500_000
 _SALTS = 32
@@ -102,7 +104,7 @@ def described(rows: DataFrame, shingle_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if sketch.any():
             empty = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(range(PIECES), pa.int32()), pa.array([sketch[i * width : (i + 1) * width].tobytes() for i in range(PIECES)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in range(PIECES)], pa.binary())], names)
 
     return rows.mapInArrow(run, "doc_id long, t long, n long, piece int, counts binary")
 
@@ -112,16 +114,15 @@ def summed(pieces: DataFrame) -> np.ndarray:
     width = CELLS // PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(width, np.uint64))
         for batch in batches:
             for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                total[piece] = total.get(piece, 0) + np.frombuffer(counts.as_py(), np.uint32).astype(np.uint64)
+                total[piece] += np.frombuffer(zlib.decompress(counts.as_py()), np.uint32)
         for piece, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], ["piece", "counts"])
 
     out = np.zeros(CELLS, np.uint32)
-    salted = pieces.select("piece", "counts").repartition(PIECES * 4).mapInArrow(run, "piece int, counts binary")  # first within a part
-    for row in salted.repartition(PIECES, "piece").mapInArrow(run, "piece int, counts binary").collect():
+    for row in pieces.select("piece", "counts").repartition(PIECES, "piece").mapInArrow(run, "piece int, counts binary").collect():
         out[row.piece * width : (row.piece + 1) * width] = np.frombuffer(row.counts, np.uint32)
     return out
 
@@ -173,20 +174,41 @@ def meeting(rows: DataFrame, sketch, shingle_words: int, percent: int) -> DataFr
     return posted.repartition("slot", "salt").sortWithinPartitions("slot", "t").mapInArrow(shared, ", ".join(f"{n} long" for n in names[:4]))
 
 
-def full_sets(rows: DataFrame, holders: DataFrame, sketch, shingle_words: int, percent: int) -> DataFrame:
-    """``t``, ``p2`` and ``p3`` (prefixes under the second and third order) and ``s`` (the set) of the texts that ``holders`` name."""
-    schema = pa.schema([("t", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("p2", "p3", "s")]])
+class Sets:
+    """Fetches sets on demand: a text's prefixes and set are made when its first candidate pair has passed the cheap filters."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 200):
-                sets = [tokens(x.as_py(), shingle_words) for x in batch.slice(at, 200).column(0)]
-                lists = [[prefix(s, sketch.value, i, percent).view(np.int64) for s in sets] for i in (1, 2)] + [[s.view(np.int64) for s in sets]]
-                yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in sets], pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in lists]], schema=schema)
+    def __init__(self, rows: DataFrame, light: DataFrame, sketch, shingle_words: int, percent: int):
+        self.rows, self.sketch, self.shingle_words, self.percent = rows, sketch, shingle_words, percent
+        self.holders = stored(light.groupBy("t").agg(F.min("doc_id").alias("doc_id")), "jaccard-holders")
+        self.repeated = not light.groupBy("doc_id").count().where("count > 1").isEmpty()
+        self.table: DataFrame | None = None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """``t``, ``p2`` and ``p3`` (prefixes under the second and third order) and ``s`` (the set), of the pairs' texts at least."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+        if self.table is not None:
+            wanted = wanted.hint("merge").join(self.table.select("t").hint("merge"), "t", "left_anti")
+        ids = stored(wanted.hint("merge").join(self.holders.hint("merge"), "t").select("doc_id", F.col("t").alias("want")), "jaccard-wanted")
+        new = stored(self._made(ids), "jaccard-sets")
+        self.table = new if self.table is None else self.table.unionByName(new)
+        return self.table
+
+    def _made(self, ids: DataFrame) -> DataFrame:
+        sketch, shingle_words, percent = self.sketch, self.shingle_words, self.percent
+        schema = pa.schema([("t", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("p2", "p3", "s")]])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 200):
+                    part = batch.slice(at, 200)
+                    sets = [tokens(x.as_py(), shingle_words) for x in part.column(0)]
+                    sets = [s for s, want in zip(sets, part.column(1).to_pylist()) if _identity(s) == want]  # an id may have several texts
+                    lists = [[prefix(s, sketch.value, i, percent).view(np.int64) for s in sets] for i in (1, 2)] + [[s.view(np.int64) for s in sets]]
+                    yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in sets], pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in lists]], schema=schema)
 
-    named = F.broadcast(holders) if holders.count() <= BROADCAST_IDS else holders.hint("merge")
-    found = rows.join(named, "doc_id", "left_semi").select("text").mapInArrow(run, "t long, p2 array<long>, p3 array<long>, s array<long>")
-    return found.dropDuplicates(["t"])  # rows of one id with several texts all come
+        named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+        found = self.rows.join(named, "doc_id").select("text", "want").mapInArrow(run, "t long, p2 array<long>, p3 array<long>, s array<long>")
+        return found.dropDuplicates(["t"]) if self.repeated else found
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,10 +255,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         light = told.where("piece is null").select("doc_id", "t", "n")
         sketch = spark.sparkContext.broadcast(summed(told.where("piece is not null")))
         named = rows.where("doc_id is not null")
-        holders = light.where("doc_id is not null and n > 0").groupBy("t").agg(F.min("doc_id").alias("doc_id"))
         members = stored(meeting(named, sketch, shingle_words, percent), "jaccard-members")
-        met = members.select("t").distinct().hint("merge").join(holders.hint("merge"), "t").select("doc_id").distinct()
-        sets = stored(full_sets(named, stored(met, "jaccard-holders"), sketch, shingle_words, percent), "jaccard-sets")
+        sets = Sets(named, light.where("doc_id is not null and n > 0"), sketch, shingle_words, percent)
         several = light.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("doc_id", "a")
         versions = light.where("n > 0").select("doc_id", F.col("t").alias("b")).hint("merge").join(several.hint("merge"), "doc_id").where("a <> b").select("a", "b").distinct()
         roots = _clustered(members, sets, versions, percent, leads)
@@ -248,7 +268,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return light.hint("merge").join(found.hint("merge"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _clustered(members: DataFrame, sets: DataFrame, versions: DataFrame, percent: int, leads: int) -> DataFrame:
+def _clustered(members: DataFrame, sets: Sets, versions: DataFrame, percent: int, leads: int) -> DataFrame:
     """``node``, ``root`` of every set that has a link."""
     side = lambda x: [F.col("t").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}")]
     edges = stored(versions, "jaccard-edges")
@@ -268,7 +288,7 @@ def _clustered(members: DataFrame, sets: DataFrame, versions: DataFrame, percent
         met = lead.hint("merge").join(crowded.select("slot", *side("b")).hint("merge"), "slot").where((F.col("ra") != F.col("rb")) & _reachable(percent))
         new = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = stored(new if checked is None else new.hint("merge").join(checked.hint("merge"), ["a", "b"], "left_anti"), "jaccard-met")
-        found = stored(_links(new, sets, percent), "jaccard-edges")
+        found = stored(_links(new, sets.of(new), percent), "jaccard-edges")
         checked = new if checked is None else checked.unionByName(new)
         if not found.isEmpty():
             edges = edges.unionByName(found)
