@@ -211,12 +211,20 @@ class Sets:
         return found.dropDuplicates(["t"]) if self.repeated else found
 
 
+def _named(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``table`` (``t``) that the pairs name: no join of theirs has to move the others."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    return table.join(F.broadcast(ids) if pairs.count() <= BROADCAST_IDS // 2 else ids.hint("merge"), "t", "left_semi")
+
+
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (``a``, ``b``) those that share prefix tokens under the other orders and then have the similarity."""
-    side = lambda x, *cols: sets.select(F.col("t").alias(x), *[F.col(c).alias(f"{c}{x}") for c in cols]).hint("merge")
-    both = pairs.hint("merge").join(side("a", "p2", "p3"), "a").hint("merge").join(side("b", "p2", "p3"), "b")
+    side = lambda table, x, *cols: table.select(F.col("t").alias(x), *[F.col(c).alias(f"{c}{x}") for c in cols]).hint("merge")
+    some = _named(sets, pairs)
+    both = pairs.hint("merge").join(side(some, "a", "p2", "p3"), "a").hint("merge").join(side(some, "b", "p2", "p3"), "b")
     likely = stored(both.where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b"), "jaccard-likely")
-    both = likely.hint("merge").join(side("a", "s"), "a").hint("merge").join(side("b", "s"), "b")
+    some = _named(sets, likely)
+    both = likely.hint("merge").join(side(some, "a", "s"), "a").hint("merge").join(side(some, "b", "s"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
