@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from candlefold.plans.base import C, bars, bounce, query, r, regime
 from candlefold.sources import tables
 from candlefold.sources.shared import kept, ship_package
-from candlefold.streaming import jobs
+from candlefold.streaming import jobs, state
 
 
 def events_stream(s: SparkSession, d: str) -> DataFrame:
@@ -90,12 +90,53 @@ def s06(s, d):
 
 @query("s07_sticky_stream")
 def s07(s, d):
-    """The sticky verdict over the rows a stream has delivered; the fold is that of the batch query."""
-    from candlefold.operators import trades
-
+    """The sticky verdict with the held side in keyed state, a row out for each row in; equals the batch query (tested)."""
+    ship_package(s)
     scored = kept(bounce(s, d).select("sym", "date", "verdict", "buy_score", "sell_score"))
-    path = scored.inputFiles()[0].rsplit("/", 1)[0]
-    return trades.sticky(run(s.readStream.schema(scored.schema).parquet(path)))
+    with state.keyed_state(s):
+        return run(state.sticky_stream(s.readStream.schema(scored.schema).parquet(scored.inputFiles()[0].rsplit("/", 1)[0])))
+
+
+@query("s04_watchdog_stream", """WITH e AS (SELECT DISTINCT user_id, date_trunc('millisecond', ts) AS ts FROM events), g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS nxt, ts + CASE WHEN hour(ts) BETWEEN 16 AND 19 THEN INTERVAL 32 HOUR ELSE INTERVAL 16 HOUR END AS due FROM e)
+SELECT CAST(user_id AS VARCHAR) AS source, ts AS beat, due FROM g WHERE nxt > due OR (nxt IS NULL AND due < (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events))""", views=False)
+def s04w(s, d):
+    """The watchdog replayed on the events' own clock, timers by event time; the tables' sources beat a few times a day, so its limits are hours."""
+    ship_package(s)
+    beats = events_stream(s, d).select("user_id", F.date_trunc("millisecond", "ts").alias("ts"))
+    with state.keyed_state(s):
+        found = run(state.watchdog(beats, "user_id", 16 * 3600, 32 * 3600, by_event=True))
+    return found.select("source", *[C(c).cast("timestamp_ntz").alias(c) for c in ("beat", "due")])
+
+
+S05 = "WITH " + HOUR.format(w="1 HOUR") + """, sn AS (SELECT sym, start, close, CASE WHEN close > open * 1.2 THEN 'BUY' WHEN close < open * 0.8 THEN 'SELL' ELSE 'NEUTRAL' END AS verdict FROM h),
+mk AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, avg(value) AS idx, stddev_samp(value) AS vix, avg(value) > 50 AS regime FROM events GROUP BY 1),
+hr AS (SELECT start, lag(start) OVER w AS p_start, (idx / lag(idx) OVER w - 1) * 100 AS index_pct, vix - lag(vix) OVER w AS vix_delta, lag(start) OVER w IS NOT NULL AND regime IS DISTINCT FROM lag(regime) OVER w AS regime_changed FROM mk WINDOW w AS (ORDER BY start)),
+ch AS (SELECT hr.start, count(*) FILTER (abs(a.close / b.close - 1) * 100 >= 1 AND b.close > 0) AS movers, count(*) FILTER (a.verdict IS DISTINCT FROM b.verdict) AS verdict_changes FROM hr JOIN sn a ON a.start = hr.start JOIN sn b ON b.sym = a.sym AND b.start = hr.p_start GROUP BY hr.start)
+SELECT hr.start, coalesce(movers, 0) AS movers, coalesce(verdict_changes, 0) AS verdict_changes, regime_changed, round(index_pct, 4) AS index_pct, round(vix_delta, 4) AS vix_delta,
+  p_start IS NOT NULL AND coalesce(movers, 0) = 0 AND coalesce(verdict_changes, 0) = 0 AND NOT regime_changed AND coalesce(abs(index_pct) < 0.4, true) AND coalesce(abs(vix_delta) < 1, true) AS quiet FROM hr LEFT JOIN ch USING (start)"""
+
+
+def hourly_rows(s, d):
+    """Hourly snapshot rows with the market's figures: the mean of all prices as index, their spread as volatility index."""
+    q = tables.quotes(s, d).withColumn("start", F.date_trunc("hour", "ts"))
+    market = q.groupBy("start").agg(F.avg("price").alias("index"), F.stddev_samp("price").alias("vix"), (F.avg("price") > 50).cast("string").alias("regime"))
+    h = jobs.tick_bars(tables.quotes(s, d))
+    verdict = F.when(C("close") > C("open") * 1.2, "BUY").when(C("close") < C("open") * 0.8, "SELL").otherwise("NEUTRAL")
+    return h.select("start", "sym", "close", verdict.alias("verdict")).join(market.hint("merge"), "start")
+
+
+@query("s05_hourly_summary_stream", S05, views=False)
+def s05h(s, d):
+    """The hour's changes and the quiet rule in micro-batches against a snapshot table by batch number."""
+    rows = kept(hourly_rows(s, d).withColumn("week", F.floor(F.dayofmonth("start") / 8)))
+    path = f"{rows.inputFiles()[0].rsplit('/', 1)[0]}-weeks"
+    for week in range(4):  # a stream reads files in the order they were written
+        rows.where(C("week") == week).drop("week").coalesce(1).write.mode("append").parquet(path)
+    rows, summary = rows.drop("week"), state.HourlySummary(f"{path}-summary")
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = stream.writeStream.foreachBatch(summary).option("checkpointLocation", f"{path}-summary/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return summary.summaries(s).select("start", "movers", "verdict_changes", "regime_changed", r("index_pct"), r("vix_delta"), "quiet")
 
 
 @query("s08_stream_static", ", d AS (SELECT event_type AS sym, CAST(ts AS DATE) AS day, DATE '1996-01-01' + (CAST(ts AS DATE) - DATE '2024-01-01')::INT AS ref FROM events) SELECT sym, day, coalesce(favorable, false) AS favorable, count(*) AS n FROM d LEFT JOIN regime ON regime.date = ref GROUP BY ALL")
