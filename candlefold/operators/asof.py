@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,22 +45,59 @@ def forward_bars(entries: DataFrame, bars: DataFrame, horizon: int, columns: tup
 
 
 def point_in_time(checks: DataFrame, statements: DataFrame, k: int = 4) -> DataFrame:
-    """For each (sym, date): the newest ``k`` statements published by then, as (``nth``, statement columns) rows."""
-    s = statements.select(F.col("sym").alias("_s"), *[c for c in statements.columns if c != "sym"])
-    both = checks.join(s, (F.col("sym") == F.col("_s")) & (F.col("accepted_date") <= F.col("date")))
-    newest = Window.partitionBy("sym", "date").orderBy(F.desc("period_end"))
-    return both.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= k).drop("_s")
+    """For each (sym, date): the newest ``k`` statements (by ``period_end``) published by then, as (``nth``, statement columns) rows.
+
+    Checks and statements are sorted by symbol and date once; a pass over a symbol keeps the newest ``k`` statements seen so
+    far and nothing else, so no check meets all statements before it, and a late statement of an old period finds its place.
+    """
+    names = [c for c in statements.columns if c != "sym"]
+    s = statements.select("sym", F.col("accepted_date").alias("date"), F.lit(0).alias("_side"), F.struct(*names).alias("_s"))
+    c = checks.select("sym", "date").distinct().select("sym", "date", F.lit(1).alias("_side"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"))
+    kind = s.schema["_s"].dataType
+    period = names.index("period_end")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sym, newest = None, []
+        for batch in batches:
+            out = []
+            for key, date, side, row in zip(batch["sym"], batch["date"], batch["_side"], batch["_s"]):
+                if key != sym:
+                    sym, newest = key, []
+                if side:
+                    out += [(key, date, nth, x) for nth, (_, x) in enumerate(newest, 1)]
+                else:
+                    values = tuple(row.values()) if isinstance(row, dict) else tuple(row)
+                    newest = sorted([*newest, (values[period], row)], key=lambda x: x[0], reverse=True)[:k]
+            yield pd.DataFrame(out, columns=["sym", "date", "nth", "_s"])
+
+    both = s.unionByName(c).repartition("sym").sortWithinPartitions("sym", "date", "_side")
+    found = both.mapInPandas(run, f"sym {checks.schema['sym'].dataType.simpleString()}, date date, nth int, _s {kind.simpleString()}")
+    return found.select("sym", "date", "nth", "_s.*")
 
 
 def back_or_oldest(checks: DataFrame, snaps: DataFrame, value: str, days: int = 60) -> DataFrame:
-    """For each (sym, date): the value ``days`` back, else the oldest, of at least two snapshots at or before the date."""
-    s = snaps.select(F.col("sym").alias("_s"), F.col("date").alias("_d"), F.col(value).alias("_v"))
-    both = checks.join(s, (F.col("sym") == F.col("_s")) & (F.col("_d") <= F.col("date")))
-    old = F.col("_d") <= F.date_sub("date", days)
-    return both.groupBy("sym", "date").agg(
-        F.max_by("_v", "_d").alias("now"),
-        F.when(F.count("*") >= 2, F.coalesce(F.max_by(F.when(old, F.col("_v")), F.when(old, F.col("_d"))), F.min_by("_v", "_d"))).alias("then"),
+    """For each (sym, date): the value ``days`` back, else the oldest, of at least two snapshots at or before the date.
+
+    Range frames over the union of checks and snapshots, one order per symbol.
+    """
+    s = snaps.select("sym", "date", F.lit(0).alias("_side"), F.struct(F.col("date").alias("d"), F.col(value).alias("v")).alias("_s"))
+    c = checks.select("sym", "date").distinct().select("sym", "date", F.lit(1).alias("_side"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"))
+    order = Window.partitionBy("sym").orderBy(F.unix_date("date"))
+    past, far = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(Window.unboundedPreceding, -days)
+    both = s.unionByName(c).select(
+        "sym", "date", "_side", F.max("_s").over(past).alias("now"), F.min("_s").over(past).alias("oldest"), F.count("_s").over(past).alias("n"), F.max("_s").over(far).alias("back")
     )
+    then = F.when(F.col("n") >= 2, F.coalesce(F.col("back.v"), F.col("oldest.v")))
+    return both.where("_side = 1 and n > 0").select("sym", "date", F.col("now.v").alias("now"), then.alias("then"))
+
+
+def series_at(df: DataFrame, series: DataFrame, value: str, date: str = "date") -> DataFrame:
+    """Adds ``value`` of one series without key, as of each row's date: carried forward over the calendar of both sides (one
+    row a day, so the window without key and the broadcast stay small), then met by date."""
+    days = df.select(F.col(date).alias("_day")).distinct().select("_day", F.lit(None).cast(series.schema[value].dataType).alias(value))
+    both = days.unionByName(series.where(F.col(value).isNotNull()).select(F.col("date").alias("_day"), value)).groupBy("_day").agg(F.max(value).alias(value))
+    filled = both.select("_day", F.last(value, ignorenulls=True).over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)).alias(value))
+    return df.join(F.broadcast(filled), F.col(date) == F.col("_day"), "left").drop("_day")
 
 
 def named_interval(df: DataFrame, intervals: DataFrame, date: str = "date") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlefold.functions.scalars import in_range
+from candlefold.functions.scalars import in_range, up
 
 C = F.col
 
@@ -75,6 +75,31 @@ def insider_facts(tx: DataFrame, as_of: Column, sold_since: str, bought_since: s
     return g.select("sym", (~bad).alias("insider_ok"), F.coalesce(C("b") >= F.lit(bought_since).cast("date"), F.lit(False)).alias("insider_buy"))
 
 
+#: Statement factors of the fundamental block with their cuts for 1, 2 and 3 points.
+BLOCK = {"growth_q": (0.0, 0.05, 0.15), "growth_ttm": (0.0, 0.03, 0.10), "pace": (0.9, 1.0, 1.1), "order_value": (0.98, 1.0, 1.02)}
+
+
+def block_inputs(statements: DataFrame) -> DataFrame:
+    """Per symbol and statement: growth by quarter and by year, the quarter's revenue against the mean of the last four, and
+    its revenue an order against theirs; null where the history is too short."""
+    w = Window.partitionBy("sym").orderBy("period_end")
+    four = w.rowsBetween(-3, 0)
+    full = F.count("*").over(four) == 4
+    a = statements.select("*", F.when(full, F.sum("revenue").over(four)).alias("ttm"), F.when(full, F.sum("n_orders").over(four)).alias("orders"), F.lag("revenue", 4).over(w).alias("y_ago"))
+    b = a.select("*", F.lag("ttm", 4).over(w).alias("ttm_ago"))
+    return b.select(
+        "sym", "period_end", "accepted_date", (C("revenue") / C("y_ago") - 1).alias("growth_q"), (C("ttm") / C("ttm_ago") - 1).alias("growth_ttm"), (C("revenue") * 4 / C("ttm")).alias("pace"),
+        F.try_divide(C("revenue") / C("n_orders"), C("ttm") / C("orders")).alias("order_value"),
+    )
+
+
+def block_points(rows: DataFrame, least: int = 3) -> DataFrame:
+    """Adds ``points``, the sum over the block's factors that are present, null if fewer than ``least`` are."""
+    each = {k: up(C(k), *cuts) for k, cuts in BLOCK.items()}
+    present = sum((p.isNotNull().cast("int") for p in each.values()), F.lit(0))
+    return rows.withColumn("points", F.when(present >= least, sum((F.coalesce(p, F.lit(0)) for p in each.values()), F.lit(0))))
+
+
 def labels(rows: DataFrame) -> DataFrame:
     """Text columns: against the sector's mean, forward against trailing, trend arrow, month."""
     a, b = C("ttm") / C("ttm_ago"), C("revenue") / C("y_ago")

@@ -135,19 +135,36 @@ def cross_age(ind: DataFrame) -> DataFrame:
     return d.select("*", F.when(F.col("on") == 1, age).alias("cross_age")).drop("on", "island")
 
 
+#: Values of a symbol whose recursion is closed within one window before chunks are chained.
+CHUNK = 512
+
+
 def wilder_of(df: DataFrame, value: str, n: int) -> DataFrame:
-    """``v``: the mean of a symbol's first ``n`` values, then (previous x (n - 1) + next) / n. One fold per symbol."""
-    each = df.groupBy("sym").agg(F.array_sort(F.collect_list(F.struct("date", F.col(value).alias("x")))).alias("t"))
-    seed = F.aggregate(F.slice("t", 1, n), F.lit(0.0), lambda a, x: a + x["x"]) / n
-    state = F.struct(seed.alias("v"), F.array(F.struct(F.try_element_at("t", F.lit(n))["date"].alias("date"), seed.alias("v"))).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        v = (acc["v"] * (n - 1) + x["x"]) / n
-        return F.struct(v.alias("v"), F.concat(acc["out"], F.array(F.struct(x["date"].alias("date"), v.alias("v")))).alias("out"))
-
-    rest = F.slice("t", F.lit(n + 1), F.size("t"))
-    out = each.where(F.size("t") >= n).select("sym", F.explode(F.aggregate(rest, state, step, lambda a: a["out"])).alias("o"))
-    return out.select("sym", "o.date", "o.v")
+    """``v``: the mean of a symbol's first ``n`` values, then (previous x (n - 1) + next) / n.
+
+    A scan in two steps: each step is an affine map, and the maps of ``CHUNK`` values compose to one, so that a window over
+    the chunk gives every value up to the one that enters it; only one map a chunk is chained per symbol. Values must not
+    be negative: the weights of a chunk then lose no digits.
+    """
+    keep, whole = (n - 1) / n, Window.partitionBy("sym")
+    d = df.select("sym", "date", F.col(value).alias("x")).withColumn("k", F.row_number().over(whole.orderBy("date")))
+    d = d.withColumn("seed", F.avg(F.when(F.col("k") <= n, F.col("x"))).over(whole)).where(F.col("k") >= n)
+    at = F.col("k") - n - 1  # the value at k = n is the seed itself
+    d = d.select("sym", "date", "x", "seed", F.floor(at / CHUNK).alias("c"), F.pmod(at, F.lit(CHUNK)).alias("j"), (F.col("k") == n).alias("first"))
+    within = Window.partitionBy("sym", "c").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(F.col("x") / n * F.pow(F.lit(keep), -F.col("j"))).over(within) * F.pow(F.lit(keep), F.col("j"))
+    d = d.select("sym", "date", "seed", "c", "j", "first", F.when(~F.col("first"), own).alias("own"))
+    ends = d.where((F.col("j") == CHUNK - 1) & ~F.col("first")).groupBy("sym").agg(F.first("seed").alias("s"), F.array_sort(F.collect_list(F.struct("c", "own"))).alias("ends"))
+    start = F.struct(F.col("s").alias("v"), F.array().cast("array<struct<c:bigint,v:double>>").alias("out"))
+
+    def step(acc: Column, e: Column) -> Column:
+        v = acc["v"] * keep**CHUNK + e["own"]
+        return F.struct(v.alias("v"), F.concat(acc["out"], F.array(F.struct((e["c"] + 1).alias("c"), v.alias("v")))).alias("out"))
+
+    entering = ends.select("sym", F.explode(F.aggregate("ends", start, step, lambda a: a["out"])).alias("o")).select("sym", "o.c", F.col("o.v").alias("entering"))
+    met = d.hint("merge").join(entering.hint("merge"), ["sym", "c"], "left")
+    v = F.coalesce("entering", "seed") * F.pow(F.lit(keep), F.col("j") + 1) + F.col("own")
+    return met.select("sym", "date", F.when(F.col("first"), F.col("seed")).otherwise(v).alias("v"))
 
 
 def wilder(bars: DataFrame, n: int = 14) -> DataFrame:

@@ -35,10 +35,22 @@ def digest(df: DataFrame, side: str, order: tuple[Column, ...], n: int = 8) -> D
 def search(names: DataFrame, queries: DataFrame, n: int = 8) -> DataFrame:
     """Per query: exact symbol 0, symbol prefix 1, name prefix 2, name holds it 3; ties by symbol; the first ``n``.
 
-    ``queries`` is a stated, short list; the names are scanned once for it."""
+    An index of the names' pieces: of every length that a query has (``queries`` is a stated, short list), the prefix of the
+    symbol and all pieces of the name, met by the query's text in an equi join; nothing is compared that does not match.
+    """
     d = names.dropDuplicates(["ticker"]).where(~C("ticker").contains("."))
-    q, t, m = F.upper(C("query")), F.upper(C("ticker")), F.upper(C("name"))
+    lengths = sorted(r[0] for r in queries.where("query is not null").select(F.char_length("query")).distinct().collect())
+    t, m = F.upper(C("ticker")), F.coalesce(F.upper(C("name")), F.lit(""))
+    none = F.array().cast("array<string>")
+
+    def cut(k: int) -> Column:
+        return F.when(F.char_length(m) >= k, F.transform(F.sequence(F.lit(1), F.char_length(m) - k + 1), lambda i: m.substr(i, F.lit(k)))).otherwise(none)
+
+    pieces = [F.array(F.substring(t, 1, k)) for k in lengths] + [cut(k) for k in lengths]
+    index = d.select("ticker", "name", F.explode(F.array_distinct(F.concat(*pieces)) if pieces else none).alias("piece"))
+    q = F.upper(C("query"))
     rank = F.when(t == q, 0).when(t.startswith(q), 1).when(m.startswith(q), 2).when(m.contains(q), 3)
-    hit = d.crossJoin(F.broadcast(queries)).select("query", "ticker", "name", rank.alias("match")).where("match is not null")
+    asked = F.broadcast(queries.withColumn("_q", q))  # a stated, short list
+    hit = index.join(asked, C("piece") == C("_q")).select("query", "ticker", "name", rank.alias("match")).where("match is not null")
     w = Window.partitionBy("query").orderBy("match", "ticker")
     return hit.withColumn("rank", F.row_number().over(w)).where(C("rank") <= n)

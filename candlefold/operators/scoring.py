@@ -94,6 +94,25 @@ def bounce_score(f: DataFrame, mask: tuple[str, ...] = ()) -> DataFrame:
     return f.select("*", total("buy").alias("buy_score"), total("sell").alias("sell_score"))
 
 
+#: Factors of the bounce score by the name a mask uses, with their buy and sell columns.
+BOUNCE_FACTORS = {"rsi": ("rsi_buy", "rsi_sell"), "pctb": ("pctb_buy", "pctb_sell"), "clx": ("clx_buy", "clx_sell"), "rs": ("rs_buy", "rs_sell"), "dry": ("dry_pts",) * 2, "exp": ("exp_pts",) * 2}
+
+
+def masked_scores(f: DataFrame, masks: DataFrame) -> DataFrame:
+    """The bounce scores of every row under every mask (``mask``, ``factors``: array of the names left out), in one pass.
+
+    ``masks`` is a stated, short list and is broadcast; adds ``mask``, ``buy_score``, ``sell_score``.
+    """
+    x = f.crossJoin(F.broadcast(masks))
+
+    def total(i: int, tilt: float) -> Column:
+        raw = sum((F.when(F.array_contains("factors", k), 0).otherwise(F.coalesce(C(c[i]), F.lit(0))) for k, c in BOUNCE_FACTORS.items()), F.lit(0))
+        market = F.when(~C("favorable"), tilt).otherwise(1.0)
+        return F.least(F.lit(24), F.floor(raw * C("liq_mult") * C("adr_mult") * F.coalesce(market, F.lit(1.0)) * C("vix_mult") * C("gap_mult") + 0.5)).cast("int")
+
+    return x.select(*f.columns, "mask", total(0, 0.85).alias("buy_score"), total(1, 1.15).alias("sell_score"))
+
+
 def bounce_verdict(s: DataFrame, blocked: Column | None = None) -> DataFrame:
     """Adds ``verdict`` and ``tier``, then applies the conviction gates: BUY only for leaders, SELL only for laggards."""
     b, q, block = C("buy_score") / 24, C("sell_score") / 24, F.coalesce(blocked, F.lit(False)) if blocked is not None else F.lit(False)

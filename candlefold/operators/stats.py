@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,18 +113,35 @@ def significance(df: DataFrame, value: str, tests: Column, *by: str) -> DataFram
     return d.select(*by, "n", "t", p.alias("p"), F.least(F.lit(1.0), p * tests).alias("p_bonferroni"), (p * tests < 0.05).alias("survives"))
 
 
-def hashed_uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that depends on the parts alone."""
-    return F.conv(F.substring(F.md5(F.concat_ws("_", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / 4294967296.0
+#: Distribution function of the Poisson law of mean 1 at 0 to 5.
+POISSON_CUTS = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
 
 
 def bootstrap_means(df: DataFrame, value: str, id_: str, reps: int, seed: int = 7) -> DataFrame:
-    """``rep``, ``mean``: Poisson bootstrap; each row's weight in a replicate follows from a hash, so any partitioning gives it."""
-    u = hashed_uniform(F.lit(seed), C("rep"), C(id_))
-    cuts = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    weight = sum(((u >= c).cast("int") for c in cuts), F.lit(0))
-    each = df.select(id_, value, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("rep", value, weight.alias("w"))
-    return each.groupBy("rep").agg(F.try_divide(F.sum(C(value) * C("w")), F.sum("w")).alias("mean"))
+    """``rep``, ``mean``: Poisson bootstrap; each row's weight in a replicate follows from a hash, so any partitioning gives it.
+
+    A task adds its rows to one array of sums per replicate and hands on the arrays: what is shuffled are ``reps`` sums a
+    task, however many rows there are. Rows without a value have no part.
+    """
+    cuts = np.array([math.ceil(c * 4294967296.0) for c in POISSON_CUTS], np.uint32)  # u >= c for whole numbers u
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads = [f"{seed}_{rep}_".encode() for rep in range(1, reps + 1)]
+        weights, sums = np.zeros(reps, np.int64), np.zeros(reps)
+        for batch in batches:
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if x is None:
+                    continue
+                tail = str(key).encode()
+                u = np.frombuffer(b"".join([hashlib.md5(h + tail).digest()[:4] for h in heads]), ">u4")
+                w = np.searchsorted(cuts, u, side="right")
+                weights += w
+                sums += w * x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, reps + 1), pa.int32()), pa.array(weights), pa.array(sums)], ["rep", "w", "s"])
+
+    rows = df.select(C(id_).cast("string"), C(value).cast("double")).repartition(df.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    each = rows.mapInArrow(run, "rep int, w long, s double")
+    return each.groupBy("rep").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("mean"))
 
 
 def concurrency(trades: DataFrame, entry: str = "entry_date", exit: str = "exit_date") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlefold.operators.asof import forward_bars
+from candlefold.operators.asof import backward, forward_bars
 
 C = F.col
 REASONS = ("STOP", "TRAIL", "TARGET", "FLIP", "TIME", "EOD")
@@ -30,11 +30,23 @@ def swing_rule_rows(horizon: int = 63) -> list[tuple]:
         rows += [(f"{name}{f'_atr{s:g}' if s else ''}", target, None, horizon, s, None, None, False) for s in (None, 3.0, 4.0)]
     rows += [(f"chand{t:g}", "none", None, horizon, None, None, t, False) for t in (3.0, 4.0)] + [("chand3_tb", "trendBreak", None, horizon, None, None, 3.0, False)]
     rows += [(f"pct{int(100 * p)}_atr3", "pct", p, horizon, 3.0, None, None, False) for p in (0.15, 0.20)]
+    rows += [("atr3", "none", None, horizon, 3.0, None, None, False), ("chand4_t40", "none", None, 40, None, None, 4.0, False)]
     rows += [("flip_atr3", "none", None, horizon, 3.0, None, None, True), ("flip_chand3", "none", None, horizon, None, None, 3.0, True)]
     rows += [(f"{n}_cap{int(100 * c)}", t, None, horizon, s, c, None, False) for c in (0.15, 0.20) for n, t, s in (("cross_atr4", "maCross", 4.0), ("hold", "none", None))]
     return rows
 
 
+def extended_rule_rows(horizon: int = 63) -> list[tuple]:
+    """The named rules, then death-cross exits with finer ATR stops and shorter and longer backstops around the shipped rule."""
+    rows = swing_rule_rows(horizon)
+    rows += [(f"cross_atr{a:g}", "maCross", None, horizon, a, None, None, False) for a in (3.0, 3.5, 4.0, 4.5, 5.0)]
+    rows += [(f"cross_t{n}", "maCross", None, n, 4.0, None, None, False) for n in (40, 63, 84)]
+    first: dict[str, tuple] = {}
+    for row in rows:
+        first.setdefault(row[0], row)
+    return list(first.values())
+
+
 def rule_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
@@ -91,6 +103,52 @@ def exits(entries: DataFrame, bars: DataFrame, rules: DataFrame, horizon: int, a
     return first.select(*key, "entry_date", "side", "label", F.array(*map(F.lit, REASONS))[C("code")].alias("reason"), "hold", "pnl", "exit_date")
 
 
+#: Deep exit rules: label, trail in ATRs, whether a close below the 50-bar average or a death cross ends the trade, time stop.
+DEEP_RULES = (
+    ("hold63", None, False, False, 63), ("hold126", None, False, False, 126), ("hold252", None, False, False, 252), ("trend_break", None, True, False, 252), ("ma_cross", None, False, True, 252),
+    ("ma_cross189", None, False, True, 189), ("chand3", 3.0, False, False, 252), ("chand4", 4.0, False, False, 252), ("chand4_tb", 4.0, True, False, 252),
+)
+
+
+def deep_exits(entries: DataFrame, bars: DataFrame, runway: int = 504, hard_stop: float = 0.40, rules: tuple = DEEP_RULES) -> DataFrame:
+    """One row per long entry and rule: ``label``, ``reason``, ``hold``, ``pnl`` (percent), ``exit_date``, ``n_ahead`` (bars within the runway).
+
+    Per bar in this order: the hard stop, the trail (both inside the bar; a gap fills at the open), a close below the 50-bar
+    average, the death cross, time. The trail hangs from the highest high from the entry bar on, which a bar joins only
+    after its own checks; its ATR is the bar's or, where that is missing, the bar's before. Bars or runway run out: ``EOD``.
+    Missing highs, lows and opens are the close. An entry without a bar ahead has no row.
+
+    Every condition's first bar is found once per entry (one aggregation over the runway); the rules then choose among
+    these few days, so their number multiplies entries, not bars. ``bars``: sym, rn, date, OHLC, sma50, sma200, ``atr``.
+    """
+    order = Window.partitionBy("sym").orderBy("rn")
+    ready = bars.select(
+        "sym", "rn", "date", "close", F.coalesce("open", "close").alias("open"), F.coalesce("high", "close").alias("high"), F.coalesce("low", "close").alias("low"), "sma50", "sma200",
+        F.coalesce(C("atr"), F.lag("atr").over(order)).alias("atr"),
+    )
+    e = entries.select("sym", "rn", C("date").alias("entry_date"), C("close").alias("entry"), F.coalesce("high", "close").alias("high0"))
+    fwd = forward_bars(e, ready, runway, ("date", "open", "high", "low", "close", "sma50", "sma200", "atr"))
+    seen = Window.partitionBy("sym", "rn").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    x = fwd.withColumn("top", F.greatest("high0", F.max("f_high").over(seen)))
+    trails = sorted({t for _, t, *_ in rules if t})
+    times = sorted({t for *_, t in rules})
+    lines = {"stop": C("entry") * (1 - hard_stop)} | {f"trail{t:g}": F.when(C("f_atr") > 0, C("top") - t * C("f_atr")) for t in trails}
+    hits = {k: C("f_low") <= line for k, line in lines.items()}
+    prices = {k: F.least("f_open", line) for k, line in lines.items()}
+    hits |= {"trend": C("f_close") < C("f_sma50"), "cross": C("f_sma50") < C("f_sma200")} | {f"time{t}": C("day") >= t for t in times} | {"end": F.lit(True)}
+    facts = lambda k: F.struct(C("day"), prices.get(k, C("f_close")).alias("price"), C("f_date").alias("date"))
+    firsts = [(F.max if k == "end" else F.min)(F.when(hit, facts(k))).alias(k) for k, hit in hits.items()]
+    per_entry = x.groupBy("sym", "rn", "entry_date", "entry").agg(*firsts, F.count("*").alias("n_ahead"))
+
+    def outcome(label: str, trail: float | None, trend: bool, cross: bool, time: int) -> Column:
+        ways = [("stop", "STOP")] + ([(f"trail{trail:g}", "TRAIL")] if trail else []) + [("trend", "TREND")] * trend + [("cross", "MACROSS")] * cross + [(f"time{time}", "TIME"), ("end", "EOD")]
+        days = [F.when(C(k).isNotNull(), F.struct(C(f"{k}.day").alias("hold"), F.lit(i).alias("i"), F.lit(reason).alias("reason"), C(f"{k}.price").alias("price"), C(f"{k}.date").alias("exit_date"))) for i, (k, reason) in enumerate(ways)]
+        return F.struct(F.lit(label).alias("label"), F.array_min(F.array_compact(F.array(*days))).alias("x"))
+
+    each = per_entry.select("sym", "rn", "entry_date", "entry", "n_ahead", F.explode(F.array(*[outcome(*r) for r in rules])).alias("o"))
+    return each.select("sym", "rn", "entry_date", "o.label", "o.x.reason", "o.x.hold", ((C("o.x.price") - C("entry")) / C("entry") * 100).alias("pnl"), "o.x.exit_date", "n_ahead")
+
+
 def with_index(done: DataFrame, index: DataFrame) -> DataFrame:
     """Adds ``index_pnl``: the return of the index (``date``, ``close``; one row a day) in percent from the close of the entry
     to that of the exit, whatever the side; null where either day has none."""
@@ -191,27 +249,41 @@ def closed_trades(folded: DataFrame) -> DataFrame:
 
 
 def sticky(scored: DataFrame, floor: float = 0.20) -> DataFrame:
-    """Verdict memory: a NEUTRAL read keeps the held side while its score share is at least ``floor`` and not below the other's."""
-    rows = scored.groupBy("sym").agg(F.array_sort(F.collect_list(F.struct("date", "verdict", "buy_score", "sell_score"))).alias("rows"))
-    start = F.struct(F.lit("NEUTRAL").alias("v"), F.array().cast("array<struct<date:date,held:string>>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        buy, sell = b["buy_score"] / 24, b["sell_score"] / 24
-        hold = F.when((acc["v"] == "BUY") & (buy >= floor) & (buy >= sell), "BUY").when((acc["v"] == "SELL") & (sell >= floor) & (sell >= buy), "SELL").otherwise("NEUTRAL")
-        v = F.when(b["verdict"] == "NEUTRAL", hold).otherwise(b["verdict"])
-        return F.struct(v.alias("v"), F.concat(acc["out"], F.array(F.struct(b["date"].alias("date"), v.alias("held")))).alias("out"))
+    """Verdict memory: a NEUTRAL read keeps the held side while its score share is at least ``floor`` and not below the other's.
 
-    return rows.select("sym", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("o")).select("sym", "o.date", "o.held")
+    A verdict other than NEUTRAL begins a segment; its side is held up to the segment's first row that fails. Two windows
+    of one order, so time is linear in a symbol's rows.
+    """
+    w = Window.partitionBy("sym").orderBy("date", "verdict", "buy_score", "sell_score").rowsBetween(Window.unboundedPreceding, 0)
+    called = ~C("verdict").eqNullSafe("NEUTRAL")
+    d = scored.select("sym", "date", "verdict", "buy_score", "sell_score", F.sum(called.cast("int")).over(w).alias("_segment"), called.alias("_called"))
+    w = Window.partitionBy("sym", "_segment").orderBy(F.desc("_called"), "date", "verdict", "buy_score", "sell_score").rowsBetween(Window.unboundedPreceding, 0)
+    side, buy, sell = F.first("verdict").over(w), C("buy_score") / 24, C("sell_score") / 24
+    d = d.withColumn("_side", F.when(C("_segment") > 0, side))
+    stays = F.when(C("_side") == "BUY", (buy >= floor) & (buy >= sell)).when(C("_side") == "SELL", (sell >= floor) & (sell >= buy))
+    d = d.withColumn("_lost", F.max((~C("_called") & ~F.coalesce(stays, F.lit(False))).cast("int")).over(w))
+    return d.select("sym", "date", F.when(C("_called"), C("verdict")).when(C("_lost") == 0, C("_side")).otherwise("NEUTRAL").alias("held"))
 
 
 def daily_log(signals: DataFrame, trades: DataFrame, open_: DataFrame, last: int = 15) -> DataFrame:
-    """Action of each of a symbol's last sessions: BUY, SELL (with reason), HOLD, WATCH (strong but not entered), FLAT."""
+    """Action of each of a symbol's last sessions: BUY, SELL (with reason), HOLD, WATCH (strong but not entered), FLAT.
+
+    A symbol's trades do not overlap, so the trade that holds a session is the last one entered by then: a sweep over days
+    and entries in one order. A trade that ends at a session meets it by date, beside one that begins there.
+    """
     t = trades.select("sym", "entry_date", "exit_date", "reason").unionByName(
         open_.where("open is not null").select("sym", C("open.date").alias("entry_date"), F.lit(None).cast("date").alias("exit_date"), F.lit(None).cast("string").alias("reason"))
     )
     newest = Window.partitionBy("sym").orderBy(F.desc("date"))
-    days = signals.withColumn("_k", F.row_number().over(newest)).where(C("_k") <= last).drop("_k")
-    inside = (C("d.sym") == C("t.sym")) & (C("date") >= C("entry_date")) & (C("exit_date").isNull() | (C("date") <= C("exit_date")))
-    hit = days.alias("d").join(t.alias("t"), inside, "left")
-    action = F.when(C("date") == C("exit_date"), "SELL").when(C("date") == C("entry_date"), "BUY").when(C("entry_date").isNotNull(), "HOLD").when(C("watch"), "WATCH").otherwise("FLAT")
-    return hit.select("d.sym", "date", action.alias("action"), F.when(action == "SELL", C("reason")).alias("reason"))
+    days = signals.withColumn("_k", F.row_number().over(newest)).where(C("_k") <= last).select("sym", "date", "watch")
+    entered = t.select("sym", C("entry_date").alias("date"), F.struct("entry_date", "exit_date").alias("held"))
+    inside = backward(days, entered, "held", ("sym",))
+    inside = inside.withColumn("held", F.when(C("held.exit_date").isNull() | (C("date") < C("held.exit_date")), C("held")))
+    sold = t.where("exit_date is not null").select(C("sym").alias("_s"), C("exit_date").alias("_d"), F.struct("reason").alias("sold"))
+    x = inside.hint("merge").join(sold.hint("merge"), (C("sym") == C("_s")) & (C("date") == C("_d")), "left")
+    free = F.when(C("watch"), "WATCH").otherwise("FLAT")
+    in_trade = F.when(C("date") == C("held.entry_date"), "BUY").otherwise("HOLD")
+    row = lambda action, reason: F.struct(action.alias("action"), reason.alias("reason"))
+    none = F.lit(None).cast("string")
+    rows = F.array_compact(F.array(F.when(C("sold").isNotNull(), row(F.lit("SELL"), C("sold.reason"))), F.when(C("held").isNotNull(), row(in_trade, none)), F.when(C("sold").isNull() & C("held").isNull(), row(free, none))))
+    return x.select("sym", "date", F.explode(rows).alias("r")).select("sym", "date", "r.action", "r.reason")

@@ -65,11 +65,23 @@ def regime(s: SparkSession, d: str) -> DataFrame:
     return scoring.regime(indicators.distribution_days(index_ind(s, d).drop("rn", "pc", "pv")).select("*"))
 
 
-def bounce(s: SparkSession, d: str) -> DataFrame:
-    """Bars with the bounce score and verdict under the index regime of the date; no VIX series, so its class is 1."""
+def bounce_factors(s: SparkSession, d: str, vix: DataFrame | None = None) -> DataFrame:
+    """Bars with the bounce factors under the index regime of the date and, as of it, the class of ``vix`` (``date``, ``vix``); without the series its class is 1."""
     reg = regime(s, d).select("date", "favorable")
-    f = scoring.bounce_factors(with_market(s, d), FIXTURE).join(F.broadcast(reg), "date", "left").withColumn("vix_mult", F.lit(1.0))
-    return scoring.bounce_verdict(scoring.bounce_score(f))
+    f = scoring.bounce_factors(with_market(s, d), FIXTURE).join(F.broadcast(reg), "date", "left")
+    if vix is None:
+        return f.withColumn("vix_mult", F.lit(1.0))
+    return asof.series_at(f, vix, "vix").withColumn("vix_mult", scoring.vix_class(C("vix")))
+
+
+def bounce(s: SparkSession, d: str, vix: DataFrame | None = None) -> DataFrame:
+    """Bars with the bounce score and verdict (see ``bounce_factors``)."""
+    return scoring.bounce_verdict(scoring.bounce_score(bounce_factors(s, d, vix)))
+
+
+def vix_series(s: SparkSession, d: str) -> DataFrame:
+    """Realised volatility of the index, scaled to the tables, stands for the volatility index; known every third session only, so that it has to be taken as of a date."""
+    return index_ind(s, d).where("rn % 3 = 0 and sd20 is not null").select("date", (C("sd20") * F.sqrt(F.lit(252.0)) * 20).alias("vix"))
 
 
 def swing(s: SparkSession, d: str, checked: bool = False) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from candlefold.functions import scalars
 from candlefold.operators import asof, checklist, scoring
-from candlefold.plans.base import C, FIXTURE, bounce, ind, ladder_sql, query, r, regime, swing, with_market
+from candlefold.plans.base import C, FIXTURE, bounce, bounce_factors, ind, ladder_sql, query, r, regime, swing, vix_series, with_market
 from candlefold.sources import tables
 
 
@@ -32,6 +32,28 @@ points("e27_volume_surge", swing, "sw", "vol_buy", "vol_sell", where="rn >= 200"
 points("e28_sector_rs_points", swing, "sw", "sec_buy", where="rn >= 200")
 points("e30_two_sided_core", swing, "sw", "core", "core_short", where="rn >= 200")
 
+_RAW = lambda side, key: " + ".join(f"CASE WHEN list_contains(factors, '{k}') THEN 0 ELSE coalesce({c[0 if side == 'buy' else 1]}, 0) END" for k, c in scoring.BOUNCE_FACTORS.items())
+_SCORE = lambda side, tilt: f"least(24, floor(({_RAW(side, 0)}) * liq_mult * adr_mult * (CASE WHEN NOT favorable THEN {tilt} ELSE 1.0 END) * vix_mult * gap_mult + 0.5))::INT"
+_VIX = """, vs AS (SELECT date, sd20 * sqrt(252) * 20 AS vix FROM ix WHERE rn % 3 = 0 AND sd20 IS NOT NULL), vb AS (SELECT bf.*, vs.vix, CASE WHEN vs.vix IS NULL THEN 1.0 WHEN vs.vix < 15 THEN 0.85 WHEN vs.vix < 20 THEN 1.0 WHEN vs.vix < 30 THEN 1.15 ELSE 1.3 END AS vix_mult FROM bf ASOF LEFT JOIN vs ON bf.date >= vs.date)"""
+MASKS = [("none", [])] + [(f"no_{k}", [k]) for k in scoring.BOUNCE_FACTORS] + [("price_only", ["clx", "dry", "exp"])]
+_MASKS = "ma AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {f}::VARCHAR[])" for m, f in MASKS) + ") t(mask, factors))"
+
+
+@query("e13_vix_composite", _VIX + f", ma AS (SELECT []::VARCHAR[] AS factors) SELECT sym, date, vix_mult::DOUBLE AS vix_mult, {_SCORE('buy', 0.85)} AS buy_score, {_SCORE('sell', 1.15)} AS sell_score FROM vb, ma WHERE rn >= 21")
+def e13v(s, d):
+    """The composite with the class of a volatility series as of each session."""
+    return bounce(s, d, vix_series(s, d)).where("rn >= 21").select("sym", "date", "vix_mult", "buy_score", "sell_score")
+
+
+@query("e13_masked_composites", _VIX + f", {_MASKS}, sc AS (SELECT mask, {_SCORE('buy', 0.85)} AS b, {_SCORE('sell', 1.15)} AS q FROM vb, ma WHERE rn >= 200) SELECT mask, count(*) AS n, round(avg(b), 4) AS avg_buy, round(avg(q), 4) AS avg_sell, count(*) FILTER (b / 24.0 >= 0.55) AS strong_buys, count(*) FILTER (q / 24.0 >= 0.55) AS strong_sells FROM sc GROUP BY mask")
+def e13m(s, d):
+    """Ablation: the composite with each factor, and with all volume and range factors, masked."""
+    masks = s.createDataFrame(MASKS, "mask string, factors array<string>")
+    x = scoring.masked_scores(bounce_factors(s, d, vix_series(s, d)).where("rn >= 200"), masks)
+    high = lambda c: F.count_if(C(c) / 24 >= 0.55)
+    return x.groupBy("mask").agg(F.count("*").alias("n"), r(F.avg("buy_score"), 4, "avg_buy"), r(F.avg("sell_score"), 4, "avg_sell"), high("buy_score").alias("strong_buys"), high("sell_score").alias("strong_sells"))
+
+
 MULT = ("liq_mult", "adr_mult", "gap_mult")
 
 

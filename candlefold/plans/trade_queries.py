@@ -3,8 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from candlefold.operators import asof, indicators, scoring, trades
-from candlefold.plans.base import C, bars, bounce, index_ind, query, r, regime, swing
+from candlefold.operators import asof, checklist, indicators, scoring, trades
+from candlefold.plans.base import C, bars, bounce, index_ind, ladder_sql, query, r, regime, swing
 from candlefold.sources import tables
 
 BOUNCE_RULES, SWING_RULES = trades.bounce_rule_rows(), trades.swing_rule_rows(63)
@@ -111,6 +111,41 @@ def i05(s, d):
     return rounded_report(trades.rule_report(trades.with_index(swing_exits(s, d), tables.index_bars(s, d))))
 
 
+EXTENDED = trades.extended_rule_rows(63)
+
+
+@query("i09_extended_grid", SW + exits_sql("sside", S_ENTRIES, EXTENDED, 84, "atr14") + f" SELECT {REPORT}, {EDGE} FROM {WITH_INDEX} GROUP BY label")
+def i09(s, d):
+    """The named rules and the neighbours of the shipped one, over up to 84 sessions."""
+    return rounded_report(trades.rule_report(trades.with_index(swing_exits(s, d, EXTENDED, 84), tables.index_bars(s, d))))
+
+
+@query("i06_deep_exits", SW + f""", dr AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in trades.DEEP_RULES)}) t(label, trail, trend, cross_, time)),
+t AS (SELECT sym, date, tr, row_number() OVER (PARTITION BY sym ORDER BY date) AS k FROM ind WHERE tr IS NOT NULL), seed AS (SELECT sym, avg(tr) AS v FROM t WHERE k <= 14 GROUP BY sym HAVING count(*) = 14),
+wa AS (SELECT t.sym, t.date, t.k, power(13/14.0, t.k - 14) * (seed.v + coalesce(sum(CASE WHEN t.k >= 15 THEN t.tr * power(14/13.0, t.k - 14) END) OVER (PARTITION BY t.sym ORDER BY t.k), 0) / 14) AS atr FROM t JOIN seed USING (sym)),
+ba AS (SELECT ind.*, wa.atr FROM ind LEFT JOIN wa ON wa.sym = ind.sym AND wa.date = ind.date AND wa.k >= 14),
+en AS (SELECT sym, rn, date AS entry_date, close AS entry, high AS high0 FROM (SELECT *, lag(side) OVER (PARTITION BY sym ORDER BY date) AS before FROM sside) WHERE side = 'long' AND side IS DISTINCT FROM before),
+fw AS (SELECT e.*, f.rn - e.rn AS day, f.date AS fdate, f.open AS fo, f.low AS fl, f.close AS fc, f.sma50, f.sma200, f.atr, greatest(e.high0, max(f.high) OVER w) AS top, max(f.rn - e.rn) OVER (PARTITION BY e.sym, e.rn) AS nf
+  FROM en e JOIN ba f ON f.sym = e.sym AND f.rn BETWEEN e.rn + 1 AND e.rn + 504 WINDOW w AS (PARTITION BY e.sym, e.rn ORDER BY f.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ex AS (SELECT sym, rn, label, day, fdate, nf, entry, fo, fc, top - trail * atr AS line, CASE WHEN fl <= entry * 0.6 THEN 'STOP' WHEN fl <= coalesce(top, high0) - trail * atr THEN 'TRAIL' WHEN trend AND fc < sma50 THEN 'TREND' WHEN cross_ AND sma50 < sma200 THEN 'MACROSS' WHEN day >= time THEN 'TIME' WHEN day = nf THEN 'EOD' END AS reason FROM fw, dr),
+done AS (SELECT *, (CASE reason WHEN 'STOP' THEN least(fo, entry * 0.6) WHEN 'TRAIL' THEN least(fo, line) ELSE fc END / entry - 1) * 100 AS pnl FROM (SELECT *, row_number() OVER (PARTITION BY sym, rn, label ORDER BY day) AS k FROM ex WHERE reason IS NOT NULL) WHERE k = 1)
+SELECT label, nf >= 252 AS full_year, count(*) AS n, round(avg(pnl), 4) AS expectancy, round(avg((pnl > 0)::INT), 4) AS win_rate, round(avg(day), 4) AS avg_hold, round(min(pnl), 4) AS worst, count(*) FILTER (reason = 'STOP') AS n_stop, count(*) FILTER (reason = 'TRAIL') AS n_trail,
+  count(*) FILTER (reason IN ('TREND', 'MACROSS')) AS n_trend, count(*) FILTER (reason = 'TIME') AS n_time, count(*) FILTER (reason = 'EOD') AS n_eod FROM done GROUP BY ALL""")
+def i06(s, d):
+    """Nine deep exit rules on long entries, for those with a year of sessions ahead and for the others; trails by smoothed ATR."""
+    from candlefold.sources.shared import kept
+
+    atr = indicators.wilder(bars(s, d)).select("sym", "date", "atr")
+    x = kept(swing_sides(s, d).select("sym", "rn", "date", "open", "high", "low", "close", "sma50", "sma200", "side").hint("merge").join(atr.hint("merge"), ["sym", "date"], "left"))
+    done = trades.deep_exits(trades.fresh(x).where("side = 'long'"), x)
+    share = lambda *names: F.count_if(C("reason").isin(*names))
+    g = done.groupBy("label", (C("n_ahead") >= 252).alias("full_year")).agg(
+        F.count("*").alias("n"), r(F.avg("pnl"), 4, "expectancy"), r(F.avg((C("pnl") > 0).cast("double")), 4, "win_rate"), r(F.avg("hold"), 4, "avg_hold"), r(F.min("pnl"), 4, "worst"),
+        share("STOP").alias("n_stop"), share("TRAIL").alias("n_trail"), share("TREND", "MACROSS").alias("n_trend"), share("TIME").alias("n_time"), share("EOD").alias("n_eod"),
+    )
+    return g
+
+
 @query("i04_bounce_exits_rows", BV + exits_sql("bside", B_ENTRIES, BOUNCE_RULES[:6], 10, "atr5") + " SELECT sym, entry_date, label, reason, day::INT AS hold, round(pnl, 4) AS pnl FROM done")
 def i04r(s, d):
     x = bounce_sides(s, d).select("sym", "rn", "date", "open", "high", "low", "close", "sma5", "rsi2", "pctb", "atr5", "side")
@@ -158,6 +193,32 @@ def f42(s, d):
     )
 
 
+_PTS = " + ".join("coalesce(" + ladder_sql(k, cuts, ">=") + ", 0)" for k, cuts in checklist.BLOCK.items())
+_HAVE = " + ".join(f"({k} IS NOT NULL)::INT" for k in checklist.BLOCK)
+
+
+@query("f29_fundamental_block", SW + f""", le AS (SELECT *, lag(side) OVER w AS before, (lead(close, 21) OVER w / close - 1) * 100 AS fwd FROM sside WINDOW w AS (PARTITION BY sym ORDER BY date)),
+s1 AS (SELECT *, CASE WHEN count(*) OVER q = 4 THEN sum(revenue) OVER q END AS ttm, CASE WHEN count(*) OVER q = 4 THEN sum(n_orders) OVER q END AS orders, lag(revenue, 4) OVER (PARTITION BY sym ORDER BY period_end) AS y_ago FROM statements WINDOW q AS (PARTITION BY sym ORDER BY period_end ROWS 3 PRECEDING)),
+s2 AS (SELECT sym, accepted_date, revenue / y_ago - 1 AS growth_q, ttm / lag(ttm, 4) OVER (PARTITION BY sym ORDER BY period_end) - 1 AS growth_ttm, revenue * 4 / ttm AS pace, (revenue / n_orders) / (ttm / orders) AS order_value FROM s1),
+en AS (SELECT le.sym, le.sector, le.date, le.fwd, le.core, {_PTS} AS points FROM le ASOF JOIN s2 ON s2.sym = le.sym AND le.date >= s2.accepted_date WHERE le.side = 'long' AND le.side IS DISTINCT FROM le.before AND le.fwd IS NOT NULL AND {_HAVE} >= 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY points, sym, date) AS k, count(*) OVER (PARTITION BY sector) AS m FROM en)
+SELECT sector, count(*) AS n, round(avg(fwd) FILTER (k <= m // 2), 4) AS low_avg, round(avg(fwd) FILTER (k > m // 2), 4) AS high_avg, round(avg(fwd) FILTER (k > m // 2) - avg(fwd) FILTER (k <= m // 2), 4) AS lift, round(corr(points, fwd), 4) AS ic, round(corr(points, core), 4) AS corr_core FROM k GROUP BY sector""")
+def f29b(s, d):
+    """Long entries by the summed points of the statements published by then: the lower and the upper half of each universe (sector).
+
+    An entry takes part if at least three of the four statement factors are known."""
+    w = Window.partitionBy("sym").orderBy("date")
+    ahead = ((F.lead("close", 21).over(w) / C("close") - 1) * 100).alias("fwd")
+    e = swing_sides(s, d).select("sym", "sector", "date", "core", "side", F.lag("side").over(w).alias("before"), ahead)
+    e = e.where("side = 'long' and not (side <=> before) and fwd is not null").drop("side", "before")
+    facts = checklist.block_inputs(tables.statements(s, d)).select("sym", C("accepted_date").alias("date"), F.struct(*checklist.BLOCK).alias("facts"))
+    x = checklist.block_points(asof.backward(e, facts, "facts", ("sym",)).select("sym", "sector", "date", "core", "fwd", "facts.*")).where("points is not null")
+    half = Window.partitionBy("sector")
+    x = x.select("*", (F.row_number().over(half.orderBy("points", "sym", "date")) > F.floor(F.count("*").over(half) / 2)).alias("high"))
+    low, high = F.avg(F.when(~C("high"), C("fwd"))), F.avg(F.when(C("high"), C("fwd")))
+    return x.groupBy("sector").agg(F.count("*").alias("n"), r(low, 4, "low_avg"), r(high, 4, "high_avg"), r(high - low, 4, "lift"), r(F.corr("points", "fwd"), 4, "ic"), r(F.corr("points", "core"), 4, "corr_core"))
+
+
 BACKSTOP = [(f"cross_{n}", "maCross", None, n, None, 0.4, None, False) for n in range(63, 505, 63)]
 
 
@@ -214,7 +275,7 @@ def i14(s, d):
     m = bars(s, d).groupBy("sym").agg(F.max("date").alias("last"))
     end = m.agg(F.date_sub(F.max("last"), 2).alias("cut"))
     m = m.crossJoin(F.broadcast(end)).select("sym", (C("last") < C("cut")).alias("ended"))
-    g = swing_exits(s, d, SWING_RULES[:1]).join(F.broadcast(m), "sym").groupBy("ended").agg(F.count("*").alias("n"), F.avg("pnl").alias("expectancy"), F.count_if(C("reason") == "EOD").alias("eod"))
+    g = swing_exits(s, d, SWING_RULES[:1]).hint("merge").join(m.hint("merge"), "sym").groupBy("ended").agg(F.count("*").alias("n"), F.avg("pnl").alias("expectancy"), F.count_if(C("reason") == "EOD").alias("eod"))
     return g.select("ended", "n", r("expectancy"), "eod")
 
 
@@ -229,7 +290,7 @@ def f40(s, d):
     x = swing_bars(s, d)
     e = trades.fresh(x).where("clean_uptrend")
     done = trades.exits(e, x, trades.rule_table(s, SWING_RULES[:1] + SWING_RULES[-4:]), 63)
-    g = done.join(e.select("sym", "rn", (C("adv") >= 80000).alias("large")), ["sym", "rn"]).groupBy("label", "large").agg(F.count("*").alias("n"), F.avg("pnl").alias("expectancy"), F.min("pnl").alias("worst"))
+    g = done.hint("merge").join(e.select("sym", "rn", (C("adv") >= 80000).alias("large")).hint("merge"), ["sym", "rn"]).groupBy("label", "large").agg(F.count("*").alias("n"), F.avg("pnl").alias("expectancy"), F.min("pnl").alias("worst"))
     return g.select("label", "large", "n", r("expectancy"), r("worst"))
 
 
