@@ -8,7 +8,8 @@ must allow the similarity as well, before the sets themselves are compared. No f
 How often a token occurs is read from a sketch of fixed size (counts by hash, summed over all texts): it only orders the
 tokens, so a sketch that fills up costs time, never links. Equal sets are one node. Components come from rounds: each slot
 (token) pairs all its texts with one lead, what links contracts, and slots that still hold several components take more
-leads, until each is one component or all its texts have led: a family of copies never comes to all its pairs.
+leads, until each is one component or no two of its texts are left without a lead among them: a family of copies never
+comes to all its pairs.
 """
 
 from __future__ import annotations
@@ -289,8 +290,7 @@ def _clustered(members: DataFrame, sets: Sets, versions: DataFrame, percent: int
         now = stored(now.select("slot", "t", "n", "at", F.coalesce("root", "t").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-now")
         several = now.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 < r1").select("slot", "held")
         crowded = stored(now.hint("merge").join(several.hint("merge"), "slot"), "jaccard-crowded")
-        widest = crowded.agg(F.max("held")).first()[0]
-        if not widest:
+        if crowded.isEmpty():
             return roots
         lead = stored(_leads(crowded, k).select("slot", *side("a")), "jaccard-leads")
         met = lead.hint("merge").join(crowded.select("slot", *side("b")).hint("merge"), "slot").where((F.col("ra") != F.col("rb")) & _reachable(percent))
@@ -301,6 +301,5 @@ def _clustered(members: DataFrame, sets: Sets, versions: DataFrame, percent: int
         if not found.isEmpty():
             edges = edges.unionByName(found)
             roots = stored(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "a", "b", "jaccard-cc"), "jaccard-roots")
-        if k >= widest:
-            return roots
+        crowded = crowded.where(F.col("held") > k + 1)  # elsewhere every pair had a lead in it, so the slot is done
         k *= leads
