@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlefold.plans.base import C, bars, bounce, query, r, regime
+from candlefold.plans.trade_queries import STICKY
 from candlefold.sources import tables
 from candlefold.sources.shared import kept, ship_package
 from candlefold.streaming import jobs, state
@@ -88,7 +89,7 @@ def s06(s, d):
     return run(jobs.once_a_day(events_stream(s, d)).select("sym", "day"))
 
 
-@query("s07_sticky_stream")
+@query("s07_sticky_stream", STICKY)
 def s07(s, d):
     """The sticky verdict with the held side in keyed state, a row out for each row in; equals the batch query (tested)."""
     ship_package(s)

@@ -351,7 +351,13 @@ def k04(s, d):
     return trades.daily_log(days, trades.closed_trades(folded), folded, 240)
 
 
-@query("k05_sticky_verdict")
+STICKY = """, c AS (SELECT sym, date, verdict, buy_score / 24.0 AS b, sell_score / 24.0 AS q, sum((verdict <> 'NEUTRAL')::INT) OVER (PARTITION BY sym ORDER BY date) AS seg FROM bv),
+d AS (SELECT *, CASE WHEN seg > 0 THEN first_value(verdict) OVER (PARTITION BY sym, seg ORDER BY date) END AS side FROM c),
+e AS (SELECT *, max((verdict = 'NEUTRAL' AND NOT coalesce(CASE side WHEN 'BUY' THEN b >= 0.2 AND b >= q WHEN 'SELL' THEN q >= 0.2 AND q >= b END, false))::INT) OVER (PARTITION BY sym, seg ORDER BY date) AS lost FROM d)
+SELECT sym, date, CASE WHEN verdict <> 'NEUTRAL' THEN verdict WHEN lost = 0 THEN side ELSE 'NEUTRAL' END AS held FROM e"""
+
+
+@query("k05_sticky_verdict", STICKY)
 def k05(s, d):
     x = bounce(s, d).select("sym", "date", "verdict", "buy_score", "sell_score")
     return trades.sticky(x)
