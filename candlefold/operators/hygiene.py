@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlefold.functions.scalars import is_weekend, name_mismatch
+from candlefold.functions.scalars import CLOSE, HALF_CLOSE, is_weekend, name_mismatch
 
 C = F.col
 
@@ -138,3 +138,22 @@ def rescan_set(rows: DataFrame, as_of: Column, days: int = 2, poisoned: DataFram
 
 def known_names(rows: DataFrame) -> DataFrame:
     return rows.withColumn("name_mismatch", name_mismatch(C("known"), C("fresh")))
+
+
+def with_closures(calendar: DataFrame, closures: DataFrame) -> DataFrame:
+    """A calendar (``date``, ``trading``, ``half``, ...) under unscheduled closures (``date``, ``kind``: full or half).
+
+    A full closure ends trading on its day, a half one makes it a half day; of several entries of a day full wins. Null
+    dates, other kinds and days outside the calendar change nothing. Both sides have a row a day.
+    """
+    c = closures.where(C("kind").isin("full", "half") & C("date").isNotNull()).groupBy("date").agg(F.min("kind").alias("_kind"))
+    x = calendar.hint("merge").join(c.hint("merge"), "date", "left")
+    on = lambda kind: C("_kind").eqNullSafe(kind)
+    return x.withColumns({"trading": C("trading") & ~on("full"), "half": C("half") | on("half")}).drop("_kind")
+
+
+def sessions(calendar: DataFrame) -> DataFrame:
+    """``date``, ``trading``, ``prev`` (the trading day before), ``close_minute``, ``stale`` (that day is over three days back)."""
+    prev = F.max(F.when(C("trading"), C("date"))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1))  # one row a day
+    close = F.when(C("half"), HALF_CLOSE).otherwise(CLOSE).alias("close_minute")
+    return calendar.withColumn("prev", prev).select("date", "trading", "prev", close, F.coalesce(F.datediff("date", "prev") > 3, F.lit(False)).alias("stale"))

@@ -216,9 +216,20 @@ def calendar(s, d):
 @query("b12_b13_calendar", f""", {CAL}, p AS (SELECT *, max(CASE WHEN trading THEN date END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM td)
 SELECT date, trading, prev, CASE WHEN half THEN 780 ELSE 960 END AS close_minute, coalesce(date - prev > 3, false) AS stale FROM p""")
 def b12(s, d):
-    prev = F.max(F.when(C("trading"), C("date"))).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1))  # one row a day
-    p = calendar(s, d).withColumn("prev", prev)
-    return p.select("date", "trading", "prev", F.when(C("half"), 780).otherwise(960).alias("close_minute"), F.coalesce(F.datediff("date", "prev") > 3, F.lit(False)).alias("stale"))
+    return hygiene.sessions(calendar(s, d))
+
+
+CLOSURES = "cl AS (SELECT date, CASE WHEN urgent = 0 THEN 'full' ELSE 'half' END AS kind FROM (SELECT CAST(o_orderdate AS DATE) AS date, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1) WHERE urgent <= 1)"
+
+
+@query("b12_closure_table", f""", {CAL}, {CLOSURES}, t2 AS (SELECT date, trading AND coalesce(kind <> 'full', true) AS trading, half OR coalesce(kind = 'half', false) AS half FROM td LEFT JOIN cl USING (date)),
+p AS (SELECT *, max(CASE WHEN trading THEN date END) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM t2)
+SELECT date, trading, prev, CASE WHEN half THEN 780 ELSE 960 END AS close_minute, coalesce(date - prev > 3, false) AS stale FROM p""")
+def b12c(s, d):
+    """The calendar under a table of unscheduled closures: days without an urgent order count as closed, those with one as half days."""
+    urgent = tables.table(s, d, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count_if(C("o_orderpriority") == "1-URGENT").alias("urgent"))
+    closures = urgent.where("urgent <= 1").select("date", F.when(C("urgent") == 0, "full").otherwise("half").alias("kind"))
+    return hygiene.sessions(hygiene.with_closures(calendar(s, d), closures))
 
 
 ET = "timezone('America/New_York', timezone('UTC', ts))"
@@ -303,7 +314,15 @@ def h5(s, d):
     return bars(s, d).select("sym", "date", scalars.round_half_up(v).alias("whole"), F.sign(v).alias("sgn"), F.round(F.log(F.abs(v) + 1), 6).alias("logv"), F.split_part(F.concat("sym", F.lit("/24")), F.lit("/"), F.lit(1)).alias("left_part"))
 
 
-@query("h_text_chunks")
+CHUNKS = """WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents),
+c AS (SELECT *, unnest(generate_series(0, greatest((length(line) - 1) // 3800, 0)))::BIGINT AS cut FROM l),
+p AS MATERIALIZED (SELECT doc_id, substring(line, cut * 3800 + 1, 3800) AS t, cut = 0 AS fresh, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, cut) AS k FROM c),
+f AS (SELECT doc_id, k, length(t) AS n, 0 AS chunk_no FROM p WHERE k = 1
+UNION ALL SELECT p.doc_id, p.k, CASE WHEN fresh AND n + 1 + length(t) <= 3800 THEN n + 1 + length(t) ELSE length(t) END, chunk_no + (NOT (fresh AND n + 1 + length(t) <= 3800))::INT FROM f JOIN p ON p.doc_id = f.doc_id AND p.k = f.k + 1)
+SELECT doc_id, chunk_no::INT AS chunk_no, string_agg(t, chr(10) ORDER BY k) AS chunk FROM f JOIN p USING (doc_id, k) GROUP BY doc_id, chunk_no"""
+
+
+@query("h_text_chunks", CHUNKS, views=False)
 def h6(s, d):
     """Texts cut at lines into chunks of at most 3,800 characters; longer lines are cut hard. Chunks joined give the text."""
     from candlefold.operators.text import chunks

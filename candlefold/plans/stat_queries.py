@@ -85,7 +85,7 @@ SELECT bar::INT AS bar, n, round(strong - weak, 4) AS lift FROM u WHERE n > 0"""
 def f11(s, d):
     """Bars are a fixed list: conditional sums per score first, then over the nine thresholds."""
     by = fwd(s, d).groupBy("core").agg(F.sum("fwd").alias("x"), F.count("*").alias("k"))
-    t = by.crossJoin(s.range(2, 11).select(C("id").cast("int").alias("bar")))
+    t = by.crossJoin(F.broadcast(s.range(2, 11).select(C("id").cast("int").alias("bar"))))  # nine rows
     on = C("core") >= C("bar")
     u = t.groupBy("bar").agg(F.sum(F.when(on, C("k")).otherwise(0)).alias("n"), (F.sum(F.when(on, C("x"))) / F.sum(F.when(on, C("k")))).alias("a"), (F.sum(F.when(~on, C("x"))) / F.sum(F.when(~on, C("k")))).alias("b"))
     return u.where("n > 0").select("bar", "n", r(C("a") - C("b"), 4, "lift"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlefold.plans.base import C, bars, bounce, query, r, regime
-from candlefold.plans.trade_queries import STICKY
+from candlefold.plans.trade_queries import STICKY, bounce_fold_sql
 from candlefold.sources import tables
 from candlefold.sources.shared import kept, ship_package
 from candlefold.streaming import jobs, state
@@ -62,7 +62,7 @@ def s02(s, d):
     return run(w.select("sym", F.to_date("w.start").alias("day"), "n"))
 
 
-@query("s03_keyed_trade_log")
+@query("s03_keyed_trade_log", bounce_fold_sql(), views=False)
 def s03(s, d):
     """Closed trades per symbol from a stream of scored bars; the same trades as the batch fold (tested)."""
     ship_package(s)

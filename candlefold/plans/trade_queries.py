@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from candlefold.operators import asof, checklist, indicators, scoring, trades
-from candlefold.plans.base import C, bars, bounce, index_ind, ladder_sql, query, r, regime, swing
+from candlefold.plans.base import VIEWS, C, bars, bounce, index_ind, ladder_sql, query, r, regime, swing
 from candlefold.sources import tables
 
 BOUNCE_RULES, SWING_RULES = trades.bounce_rule_rows(), trades.swing_rule_rows(63)
@@ -111,6 +111,12 @@ def i05(s, d):
     return rounded_report(trades.rule_report(trades.with_index(swing_exits(s, d), tables.index_bars(s, d))))
 
 
+@query("i04_bounce_grid_edge", BV + exits_sql("bside", B_ENTRIES, BOUNCE_RULES, 10, "atr5") + f" SELECT {REPORT}, {EDGE} FROM {WITH_INDEX} GROUP BY label")
+def i04e(s, d):
+    """The bounce grid's rules against the index over the same sessions."""
+    return rounded_report(trades.rule_report(trades.with_index(bounce_exits(s, d), tables.index_bars(s, d))))
+
+
 EXTENDED = trades.extended_rule_rows(63)
 
 
@@ -297,9 +303,28 @@ def f40(s, d):
 # ---- K: folds ------------------------------------------------------------------------------------------------------
 
 
-@query("k01_bounce_fold")
+def bounce_fold_sql(time_stop: int = 3, mult: float = 2.5) -> str:
+    """The fold as a recursion: a step is the next session of every symbol."""
+    level = "round(close + CASE WHEN {t} = 'long' THEN -1 ELSE 1 END * " + f"{mult} * atr, 2)"
+    turned = "CASE WHEN side IS NULL THEN CASE verdict WHEN 'BUY' THEN 'long' WHEN 'SELL' THEN 'short' END WHEN reason IS NULL THEN side WHEN reason = 'SELL' THEN 'short' WHEN reason = 'BUY' THEN 'long' END"
+    return f"""WITH RECURSIVE {VIEWS}, q AS MATERIALIZED (SELECT sym, date, open, CASE WHEN high > 0 THEN high END AS high, CASE WHEN low > 0 THEN low END AS low, close, verdict, CASE WHEN atr5 > 0 THEN atr5 END AS atr,
+  row_number() OVER (PARTITION BY sym ORDER BY date) AS k FROM bv WHERE rn >= 200 AND close > 0),
+fold AS (SELECT sym, 0::BIGINT AS k, NULL::VARCHAR AS side, NULL::DATE AS since, NULL::DOUBLE AS entry, NULL::DOUBLE AS stop, 0 AS held, NULL::VARCHAR AS was, NULL::DATE AS opened, NULL::DATE AS date, NULL::VARCHAR AS reason, NULL::DOUBLE AS pnl FROM q WHERE k = 1
+UNION ALL
+SELECT sym, k, t, CASE WHEN t IS NULL THEN NULL WHEN kept THEN since ELSE date END, CASE WHEN t IS NULL THEN NULL WHEN kept THEN entry ELSE close END, CASE WHEN t IS NULL THEN NULL WHEN kept THEN stop ELSE {level.format(t='t')} END,
+  CASE WHEN kept THEN held ELSE 0 END, side, since, date, reason, floor(CASE WHEN side = 'long' THEN px - entry ELSE entry - px END / entry * 10000 + 0.5) / 100
+FROM (SELECT *, {turned} AS t, side IS NOT NULL AND reason IS NULL AS kept,
+    CASE WHEN reason <> 'STOP' THEN close WHEN open > 0 AND CASE WHEN side = 'long' THEN open <= stop ELSE open >= stop END THEN open
+      WHEN side = 'long' THEN CASE WHEN low IS NULL THEN least(close, stop) ELSE stop END ELSE CASE WHEN high IS NULL THEN greatest(close, stop) ELSE stop END END AS px
+  FROM (SELECT *, CASE WHEN side IS NULL THEN NULL WHEN CASE WHEN side = 'long' THEN coalesce(low, close) <= stop ELSE coalesce(high, close) >= stop END THEN 'STOP'
+      WHEN CASE WHEN side = 'long' THEN close > entry ELSE close < entry END THEN 'TARGET' WHEN side = 'long' AND verdict = 'SELL' OR side = 'short' AND verdict = 'BUY' THEN verdict WHEN held >= {time_stop} THEN 'TIME' END AS reason
+    FROM (SELECT q.*, side, since, entry, stop, held + 1 AS held FROM fold JOIN q ON q.sym = fold.sym AND q.k = fold.k + 1))))
+SELECT sym, was AS side, opened AS entry_date, date AS exit_date, reason, round(pnl, 2) AS pnl FROM fold WHERE reason IS NOT NULL"""
+
+
+@query("k01_bounce_fold", bounce_fold_sql(), views=False)
 def k01(s, d):
-    """Two-sided paper trades; tested against a loop over the rows."""
+    """Two-sided paper trades; also tested against a loop over the rows."""
     return trades.closed_trades(trades.bounce_trades(bounce(s, d).where("rn >= 200"))).select("sym", "side", "entry_date", "exit_date", "reason", r("pnl", 2))
 
 
