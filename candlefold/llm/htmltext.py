@@ -4,9 +4,13 @@ A page is read into text nodes, each with its path of open block elements from t
 text around them). Per path, text length and punctuation are aggregated over its blocks: a path's value is the logarithm
 of characters a block times one plus punctuation marks a block, up to a bound at which it is clearly prose. Values are smoothed over neighbouring blocks in page
 order and fused, by their mean, with the value that all paths of the same parent (or of that one's parent, if it is more)
-have together, so that a short heading among long paragraphs gains and a short line at the page's edge doesn't. A path whose elements name themselves (article,
-main; menu, footer, advert, reader comments) gets a bounded bonus or malus; no name keeps or drops text by itself.
-Blocks of paths at or over the threshold are the content.
+have together, so that a short heading among long paragraphs gains and a short line at the page's edge doesn't. Text in links
+doesn't count as length. A path whose elements name themselves article or main gets a bounded bonus.
+
+Paths that name themselves what is no content (menu, header, footer, sidebar, notice, advert, form, reader comments) are left
+out, whatever their value; only where no other path of a page reaches the threshold are they judged too, with a malus.
+Blocks of paths at or over the threshold are the content. An element that calls itself article or main, or that holds such
+blocks directly, is taken whole if most of its text is content: cells, short items and captions of an article stay.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ BLOCKS = frozenset(
 )
 #: A start tag of the key ends an open element of the values.
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_TAGS = frozenset("nav footer aside form head button select datalist svg object canvas menu dialog label input".split())
 ASIDE_NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?\w*|advertisement|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w+|signup|share|sharing|social|related|recommend\w*|sidebar|side|widgets?|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|masthead|header|comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion|login|search|toolbar|skip|copyright|contentinfo|complementary|tags|byline-share)(?:$|[-_\s])",
@@ -42,6 +47,8 @@ MAIN_NAMES = re.compile(r"(?:^|\s)(?:article|article[-_]?(?:body|content|text)|p
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？¿¡]")
 _SPACE = re.compile(r"\s+")
 COMMENT_NAMES = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|repl(?:y|ies)|respond|discussion)(?:$|[-_\s])", re.I)
+#: Names of page layouts and of an article's own head, which say nothing about what they hold.
+LAYOUT_NAMES = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without)[-_]\S+|\b(?:article|entry|post|story|content)[-_]header\b", re.I)
 #: Bonus or malus of a name, in units of ln(ratio): a factor of 3.5. Nested names that say no add up to ``LEAST``.
 PRIOR, LEAST = 1.25, -3.75
 #: Threshold of a path's score; where no path of a page comes ``NEAR`` over it, ``NEAR`` below the page's best, but no less than ``FLOOR``.
@@ -61,7 +68,10 @@ def _role(tag: str, attrs: str) -> int:
             return -9
         if tag in ("html", "body"):
             continue  # names there tell of the layout
+        if name == "id" and tag in HEADINGS:
+            continue  # anchors repeat the heading's words
         if name in ("class", "id", "role"):
+            value = LAYOUT_NAMES.sub("", value)
             if ASIDE_NAMES.search(value):
                 role = min(role, -2 if COMMENT_NAMES.search(value) else -1)
             elif role == 0 and MAIN_NAMES.search(value):
@@ -72,11 +82,13 @@ def _role(tag: str, attrs: str) -> int:
 
 
 class Paths:
-    """Tag paths by number: the parent path and the prior of each; 0 is the root."""
+    """Tag paths by number, 0 is the root: the parent path, the prior of each, and whether its names leave it out. Elements by number, too."""
 
     def __init__(self) -> None:
         self.number: dict[tuple[int, str, int], int] = {}
-        self.parent, self.prior = [0], [0.0]
+        self.parent, self.prior, self.out = [0], [0.0], [False]
+        #: Per element its parent element, and the nearest element around it (itself included) that calls itself main part, else 0.
+        self.element_parent, self.element_main, self.element_tag = [0], [0], [""]
 
     def below(self, path: int, tag: str, role: int) -> int:
         number = self.number.setdefault((path, tag, role), len(self.parent))
@@ -84,12 +96,23 @@ class Paths:
             above = self.prior[path]
             self.parent.append(path)
             self.prior.append(-math.inf if role == -9 else PRIOR if role > 0 and above >= 0 else max(LEAST, min(above, 0.0) + role * PRIOR) if role < 0 and above > -math.inf else above)
+            self.out.append(role < 0 or self.out[path] and tag != "main")
+        return number
+
+    def element(self, parent: int, tag: str, role: int) -> int:
+        number = len(self.element_parent)
+        self.element_parent.append(parent)
+        self.element_main.append(number if role > 0 else self.element_main[parent])
+        self.element_tag.append(tag)
         return number
 
 
-def text_nodes(page: str, paths: Paths) -> Iterator[tuple[int, int, str]]:
-    """(path, block, decoded text) of each text node outside scripts and the like, in page order."""
-    stack: list[tuple[str, int]] = [("", 0)]
+Node = tuple[int, int, str, int, bool]
+
+
+def text_nodes(page: str, paths: Paths) -> Iterator[Node]:
+    """(path, block, decoded text, element, whether in a link) of each text node outside scripts and the like, in page order."""
+    stack: list[tuple[str, int, int]] = [("", 0, 0)]
     open_tags: dict[str, int] = {}
     block, at = 0, 0
 
@@ -101,9 +124,9 @@ def text_nodes(page: str, paths: Paths) -> Iterator[tuple[int, int, str]]:
                 if top == tag:
                     return
 
-    def node(to: int) -> Iterator[tuple[int, int, str]]:
+    def node(to: int) -> Iterator[Node]:
         if to > at and (text := html.unescape(page[at:to])) and not text.isspace():
-            yield stack[-1][1], block, text
+            yield stack[-1][1], block, text, stack[-1][2], open_tags.get("a", 0) > 0
 
     find = _TOKEN.search
     pos = 0
@@ -129,34 +152,35 @@ def text_nodes(page: str, paths: Paths) -> Iterator[tuple[int, int, str]]:
             if stack[-1][0] == other or open_tags.get(other) and stack[-1][0] not in ("ul", "ol", "table", "dl", "select"):
                 close(other)
         if tag == "br":
-            yield stack[-1][1], block, " "
+            yield stack[-1][1], block, " ", stack[-1][2], False
         if tag in VOID or attrs.endswith("/") and tag not in BLOCKS:
             continue
-        path = stack[-1][1]
+        _, path, element = stack[-1]
         role = _role(tag, attrs)
         if tag == "header" and role == 0:
             role = 0 if paths.prior[path] > 0 else -1  # an article's own header holds its headline
         if role or tag in BLOCKS:
             path = paths.below(path, tag, role)
-        stack.append((tag, path))
+            element = paths.element(element, tag, role)
+        stack.append((tag, path, element))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     yield from node(len(page))
 
 
 def _value(chars: int, marks: int, blocks: int) -> float:
-    return min(FULL, math.log(chars / blocks * (1 + min(marks, chars / CHARS_PER_MARK) / blocks)))
+    return min(FULL, math.log(max(chars, 1) / blocks * (1 + min(marks, chars / CHARS_PER_MARK) / blocks)))
 
 
-def fused_values(nodes: list[tuple[int, int, str]], paths: Paths) -> dict[int, float]:
+def fused_values(nodes: list[Node], paths: Paths) -> dict[int, float]:
     """Each path's smoothed ratio fused with that of its parent's paths, without priors."""
     chars: dict[int, int] = {}
     marks: dict[int, int] = {}
     blocks: dict[int, int] = {}
     order: list[int] = []
     last = None
-    for path, block, text in nodes:
+    for path, block, text, _, linked in nodes:
         if not text.isspace():
-            chars[path] = chars.get(path, 0) + len(_SPACE.sub("", text))
+            chars[path] = chars.get(path, 0) + (0 if linked else len(_SPACE.sub("", text)))
             marks[path] = marks.get(path, 0) + len(PUNCTUATION.findall(text))
             if last != (path, block):
                 order.append(path)
@@ -175,18 +199,48 @@ def fused_values(nodes: list[tuple[int, int, str]], paths: Paths) -> dict[int, f
     return {p: (smooth[p] + max(shared[up[p]], shared.get(up[up[p]], 0.0))) / 2 for p in blocks}
 
 
+def whole_elements(nodes: list[Node], content: set[int], paths: Paths) -> set[int]:
+    """Elements to take whole: those that hold content directly or call themselves main part, if at least half of their text, what
+    names leave out not counted, is content. The page's body is none. Elements below them are returned as well."""
+    up, size = paths.element_parent, len(paths.element_parent)
+    total, good = [0] * size, [0] * size
+    holders: set[int] = set()
+    for path, _, text, element, _ in nodes:
+        if not paths.out[path]:
+            total[element] += len(text)
+            if path in content:
+                good[element] += len(text)
+                holders |= {up[element], paths.element_main[element]}
+    for e in range(size - 1, 0, -1):  # an element's number is over its parent's
+        total[up[e]] += total[e]
+        good[up[e]] += good[e]
+    whole = {e for e in holders if e and paths.element_tag[e] not in ("html", "body") and 2 * good[e] >= total[e]}
+    for e in range(1, size):
+        if up[e] in whole:
+            whole.add(e)
+    return whole
+
+
 def main_text(page: str | None) -> str:
     """The content's blocks, white space inside each made one space, joined by newlines; empty if there is none.
 
-    A null or empty page has none. A page whose paths name nothing is judged by the ratios alone.
+    A null or empty page has none. A page whose paths name nothing is judged by the ratios alone; in an element taken whole
+    that doesn't call itself main part, lines that are nothing but links stay out.
     """
     paths = Paths()
     nodes = list(text_nodes(page or "", paths))
     score = {p: v + paths.prior[p] for p, v in fused_values(nodes, paths).items()}
+    named = {p: v for p, v in score.items() if not paths.out[p]}
+    if max(named.values(), default=-math.inf) >= min(THRESHOLD, max(score.values(), default=0.0)):
+        score = named
     least = min(THRESHOLD, max(FLOOR, max(score.values(), default=FLOOR) - NEAR))
+    content = {p for p, v in score.items() if v >= least}
+    whole = whole_elements(nodes, content, paths)
+    prose = {block for _, block, text, _, linked in nodes if not linked and not text.isspace()}
     blocks: dict[int, list[str]] = {}
-    for path, block, text in nodes:
-        if score.get(path, -math.inf) >= least or text == " " and block in blocks:
+    for path, block, text, element, _ in nodes:
+        inside = element in whole and not paths.out[path] and (block in prose or paths.element_main[element] in whole)
+        if path in content or inside or text == " " and block in blocks:
             blocks.setdefault(block, []).append(text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)

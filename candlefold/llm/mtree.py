@@ -144,46 +144,47 @@ def top_k(
     """``query_id``, ``rank``, ``vec_id``, ``score``: each query's k vectors of highest inner product, all if fewer.
 
     A query's own id is no candidate. Ties go to the smaller id. Null ids, null vectors and vectors with null or
-    non-finite components take no part, on either side; so do vectors of another length than most have. Repeated rows
-    of one id are candidates each. An empty table gives no row. Further columns are not read.
+    non-finite components take no part, on either side. Vectors are compared with those of their own length; vectors of
+    no component all have the product 0. Repeated rows of one id are candidates each, counted before they are dealt and
+    kept ``k`` times at most, which no result can tell; a repeated query is asked once. An empty table gives no row.
+    Further columns are not read.
     """
     x = integers(F.col(f"`{embedding_col}`"), scale)
     pick = lambda df: df.select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null")
     data, asked = pick(vectors), pick(queries)
     norm = F.aggregate("x", F.lit(0).cast("long"), lambda a, v: a + v * v)
-    sizes = data.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n"), F.max(norm).alias("bound")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    if not sizes:
+    n, bound = data.agg(F.count("*"), F.max(norm)).first()
+    if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dim, n, bound = sizes[0]
     parts = -(-n // part_rows)
-    of_dim = F.size("x") == dim
-    cand = data.where(of_dim).select(F.lit(0).alias("kind"), "id", "x", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"))
-    ask = asked.where(of_dim).select(F.lit(1).alias("kind"), "id", "x", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    dealt = cand.unionByName(ask).repartition(parts, "part").sortWithinPartitions("part", "kind", "id")
+    dim = F.size("x").alias("dim")
+    copies = data.groupBy("id", "x").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n")).withColumn("_", F.explode(F.sequence(F.lit(1), "n")))
+    cand = copies.select(F.lit(0).alias("kind"), "id", "x", dim, F.pmod(F.xxhash64("id", "x"), F.lit(parts)).cast("int").alias("part"))
+    ask = asked.distinct().select(F.lit(1).alias("kind"), "id", "x", dim, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = cand.unionByName(ask).repartition(parts, "part").sortWithinPartitions("part", "dim", "kind", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, tree = None, [], None
+        group, held, tree = None, [], None
         for b in batches:
-            kinds, ids, at = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            values = b.column(2)
-            x = values.values.slice(values.offsets[0].as_py(), len(b) * dim).to_numpy(zero_copy_only=False).reshape(len(b), dim)
+            kinds, ids, dims, at = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            starts, flat = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy(zero_copy_only=False)
             out: list[tuple[int, int, int]] = []
-            edges = np.flatnonzero(np.diff(at) | np.diff(kinds)) + 1
+            edges = np.flatnonzero(np.diff(at) | np.diff(dims) | np.diff(kinds)) + 1
             for lo, hi in zip([0, *edges], [*edges, len(b)]):
-                if at[lo] != part:
-                    part, held, tree = at[lo], [], None
+                if (at[lo], dims[lo]) != group:
+                    group, held, tree = (at[lo], dims[lo]), [], None
+                x = flat[starts[lo] : starts[hi]].astype(np.int64).reshape(hi - lo, dims[lo])
                 if kinds[lo] == 0:
-                    held.append((x[lo:hi].astype(np.int64), ids[lo:hi].astype(np.int64)))
+                    held.append((x, ids[lo:hi].astype(np.int64)))
                     continue
                 if not held:
                     continue
                 tree = tree or MTree(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), bound)
-                for i in range(lo, hi):
-                    q = int(ids[i])
-                    out += [(q, v, s) for s, v in tree.search(x[i].astype(np.int64), k, q)]
+                for q, vector in zip(ids[lo:hi].tolist(), x):
+                    out += [(q, v, s) for s, v in tree.search(vector, k, q)]
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
 
-    found = dealt.select("kind", "id", "x", "part").mapInArrow(run, SCHEMA)
+    found = dealt.select("kind", "id", "x", "dim", "part").mapInArrow(run, SCHEMA)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -248,12 +248,12 @@ def _logistic(m: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", n_toxic: int = TRAIN_TOXIC, n_clean: int = TRAIN_CLEAN) -> Model | None:
     """Fit on at most ``n_toxic`` and ``n_clean`` labelled documents, those whose ids hash lowest.
 
-    Null ids, labels and texts are left out; of several labels of one document the largest counts.
+    Null ids, labels and texts are left out; of several labels of one document the largest counts, of several texts the least.
     """
     marks = labels.select(F.col(f"`{id_col}`").alias("lid"), F.col(f"`{label_col}`").alias("y")).where("lid is not null and y is not null").groupBy("lid").agg(F.max("y").alias("y"))
     order = (F.xxhash64("lid"), F.col("lid"))
     some = marks.where("y = 1").orderBy(*order).limit(n_toxic).unionByName(marks.where("y = 0").orderBy(*order).limit(n_clean))
-    rows = docs.where(F.col(f"`{text_col}`").isNotNull()).join(F.broadcast(some), F.col(f"`{id_col}`") == F.col("lid")).select("lid", "y", F.col(f"`{text_col}`").alias("t")).collect()
+    rows = docs.where(F.col(f"`{text_col}`").isNotNull()).join(F.broadcast(some), F.col(f"`{id_col}`") == F.col("lid")).groupBy("lid", "y").agg(F.min(F.col(f"`{text_col}`")).alias("t")).collect()
     rows.sort(key=lambda r: (r.lid, r.t))
     return fit([r.t for r in rows if r.y == 1], [r.t for r in rows if r.y == 0])
 

@@ -7,8 +7,8 @@ of what lies before it. Two tokens go together if no merge across their border c
 So the encoding of a shared prefix is found once, and a word's ids are read off by stepping back from its leaf.
 
 The vocabulary marks word ends, so a leaf's last symbol is another one than the same letter inside a word. Words are cut
-by the Unicode tables of the installed ``regex`` module; for letters that only later Unicode versions define they can
-differ from the tables that the tokenizers library was built with.
+by Python's Unicode tables; a text with a character that these don't define, or on whose composition the tokenizers
+library's tables were found to disagree, is normalised and cut by that library's own tables.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import gc
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Characters of text whose words are encoded together, and encoded words that are kept for the next block.
@@ -43,6 +45,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(seen) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def character_class(letters: Iterable[str]) -> re.Pattern:
+    """A pattern that finds any of the given letters, written as ranges."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, letters)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 class TrieBpe:
     """Encoder for a tokenizers JSON of a lower-casing BPE whose vocabulary marks word ends."""
 
@@ -63,6 +76,10 @@ class TrieBpe:
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.word_re = regex.compile(split["pattern"]["Regex"])
+        # the library's own normaliser and cutter, for texts that hold letters of other Unicode versions
+        own = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "pre_tokenizer": split, "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
+        self.own_normalizer, self.own_cutter = own.normalizer, own.pre_tokenizer
+        self.odd_re = character_class(self._odd_letters())
         self.letters = dict(enumerate(byte_letters()))
         # every ending of a token: a node looks no further back than its prefix ends like one
         self.inner_ends = {t[k:] for t in self.inner for k in range(len(t))}
@@ -72,10 +89,26 @@ class TrieBpe:
         self._fits: dict[int, bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
 
+    def _own_words(self, text: str) -> list[str]:
+        return [w for w, _ in self.own_cutter.pre_tokenize_str(self.own_normalizer.normalize_str(text))]
+
+    def _odd_letters(self) -> Iterator[str]:
+        """Characters that Python's tables don't define, and those that compose or reorder in another way in the library's."""
+        for c in map(chr, range(128, sys.maxunicode + 1)):
+            if (kind := unicodedata.category(c)) == "Cn":
+                yield c
+            elif kind[0] == "M" or unicodedata.decomposition(c)[:1] not in ("", "<"):
+                probe = f"a{c}\u0316\u0301 {unicodedata.normalize('NFD', c)}"
+                if self._own_words(probe) != self._table_words(probe):
+                    yield c
+
     def words(self, text: str) -> list[str]:
         """Normalised words; case is folded letter by letter, so a final sigma is no special case."""
         if text.isascii():
             return _ASCII_WORD.findall(text.lower())
+        return self._own_words(text) if self.odd_re.search(text) else self._table_words(text)
+
+    def _table_words(self, text: str) -> list[str]:
         return self.word_re.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def _edge(self, token: int, side: int, memo: dict[int, tuple]) -> tuple:
