@@ -25,6 +25,8 @@ from candlefold.llm.common import connected_components, scratch, stored, word_bl
 
 SEED = 42
 MAX_DISTANCE = 3
+#: Slots of more fingerprints contract by representatives, in at most so many rounds, before pairs are looked up.
+CROWD, ROUNDS = 8, 8
 _LOW = 0xFFFFFFFF
 
 
@@ -91,6 +93,31 @@ def leader_links(fps: DataFrame) -> DataFrame:
     return met.where((F.col("a") < F.col("b")) & (_far() <= MAX_DISTANCE)).select("a", "b")
 
 
+def representative_links(apart: DataFrame, salt: int, crowd: int = CROWD) -> DataFrame:
+    """Pairs (``a``, ``b``) of roots that a verified link joins, where one end represents a slot of over ``crowd`` fingerprints.
+
+    A slot's representative (the least by a hash that ``salt`` turns) meets the fingerprints of its own slot and of the slots
+    one bit away: a fingerprint has at most 66 partners.
+    """
+    table = _both(apart)
+    one = table.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(salt))).alias("one")).where(F.col("n") > crowd)
+    around = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)]))
+    near = one.select(F.col("one.fp").alias("a"), F.col("one.root").alias("ra"), "seg", "val", around.alias("m")).withColumn("val", F.col("val").bitwiseXOR(F.col("m")))
+    met = table.select(F.col("fp").alias("b"), F.col("root").alias("rb"), "seg", "val").hint("merge").join(near, ["seg", "val"])
+    return met.where((F.col("ra") != F.col("rb")) & (_far() <= MAX_DISTANCE)).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+
+
+def contracted(apart: DataFrame, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
+    """``fp`` and ``root`` with the roots that representatives join made one, until a round joins none or ``rounds`` are over."""
+    for turn in range(rounds):
+        met = stored(representative_links(apart, turn, crowd), "simhash-met")
+        if met.isEmpty():
+            break
+        moved = connected_components(met, "a", "b", "simhash-cc").select("node", F.col("root").alias("to"))
+        apart = stored(apart.hint("merge").join(moved, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("to", "root").alias("root")), "simhash-apart")
+    return apart
+
+
 def links(fps: DataFrame, hot_bucket: int = 8192) -> DataFrame:
     """All pairs (``a`` , ``b``) of different values in column ``fp`` (distinct) that differ in at most three bits.
 
@@ -133,7 +160,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id``, ``fp``, ``component_id`` for every row: the smallest id reachable over links of at most three bits.
 
     The nodes are the different fingerprints. Those that link to the smallest one of their segment contract first, so a
-    family of near copies gives a star; only links between what is then left apart are looked up.
+    family of near copies gives a star. Slots of many fingerprints then contract in rounds, by representatives that change
+    from round to round; only links between what is left apart are looked up one by one, so no link is lost.
 
     Repeated rows stay repeated. Rows of one id with different texts are one document: what either text links to is
     reachable. Rows without id, or whose id is no number, get a fingerprint but take no part in links: their component
@@ -154,7 +182,8 @@ def _labels(named: DataFrame, hot_bucket: int) -> DataFrame:
     stars = stored(leader_links(fps).unionByName(versions), "simhash-stars")
     first = stored(connected_components(stars, "a", "b", "simhash-cc"), "simhash-roots")
     apart = stored(fps.hint("merge").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-apart")
-    edges = stored(links(apart, hot_bucket), "simhash-links").unionByName(first.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    apart = contracted(apart)
+    edges = stored(links(apart, hot_bucket), "simhash-links").unionByName(apart.where("root <> fp").select(F.col("root").alias("a"), F.col("fp").alias("b")))
     roots = connected_components(edges, "a", "b", "simhash-cc")
     placed = stored(fps.hint("merge").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-placed")
     least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
