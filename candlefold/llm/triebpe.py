@@ -17,7 +17,6 @@ import gc
 import hashlib
 import json
 import re
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -34,6 +33,8 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 BLOCK_CHARS = 1 << 21
 KEEP_WORDS = 200_000
 KEEP_PAIRS = 300_000
+#: From here on there are only rare ideographs, tags and private letters; their texts are always cut by the library.
+RARE_PLANES = chr(0x30000)
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 _NEVER = 1 << 60
 
@@ -45,17 +46,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(seen) else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-def character_class(letters: Iterable[str]) -> re.Pattern:
-    """A pattern that finds any of the given letters, written as ranges."""
-    ranges: list[list[int]] = []
-    for c in sorted(map(ord, letters)):
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
-
-
 class TrieBpe:
     """Encoder for a tokenizers JSON of a lower-casing BPE whose vocabulary marks word ends."""
 
@@ -79,7 +69,7 @@ class TrieBpe:
         # the library's own normaliser and cutter, for texts that hold letters of other Unicode versions
         own = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "pre_tokenizer": split, "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.own_normalizer, self.own_cutter = own.normalizer, own.pre_tokenizer
-        self.odd_re = character_class(self._odd_letters())
+        self.odd = frozenset(self._odd_letters())
         self.letters = dict(enumerate(byte_letters()))
         # every ending of a token: a node looks no further back than its prefix ends like one
         self.inner_ends = {t[k:] for t in self.inner for k in range(len(t))}
@@ -94,7 +84,7 @@ class TrieBpe:
 
     def _odd_letters(self) -> Iterator[str]:
         """Characters that Python's tables don't define, and those that compose or reorder in another way in the library's."""
-        for c in map(chr, range(128, sys.maxunicode + 1)):
+        for c in map(chr, range(128, ord(RARE_PLANES))):
             if (kind := unicodedata.category(c)) == "Cn":
                 yield c
             elif kind[0] == "M" or unicodedata.decomposition(c)[:1] not in ("", "<"):
@@ -106,7 +96,9 @@ class TrieBpe:
         """Normalised words; case is folded letter by letter, so a final sigma is no special case."""
         if text.isascii():
             return _ASCII_WORD.findall(text.lower())
-        return self._own_words(text) if self.odd_re.search(text) else self._table_words(text)
+        letters = set(text)
+        plain = max(letters) < RARE_PLANES and self.odd.isdisjoint(letters)
+        return self._table_words(text) if plain else self._own_words(text)
 
     def _table_words(self, text: str) -> list[str]:
         return self.word_re.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
