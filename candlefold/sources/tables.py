@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlefold.sources.shared import kept
+
 BAR_SCHEMA = "sym string, sector string, date date, open double, high double, low double, close double, volume double"
 
 
@@ -53,24 +55,51 @@ def places_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ohlc(ticks: DataFrame, *key: str) -> DataFrame:
-    return ticks.groupBy(*key, "date").agg(
-        F.min_by("price", "k").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
-        F.max_by("price", "k").alias("close"), F.sum("q").alias("volume"),
-    )
+def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files that the panel is made from; the files themselves are not opened."""
+    paths = [f"{sf_dir}/{name}.parquet" for name in ("lineitem", "supplier", "nation", "region")]
+    files = spark.read.format("binaryFile").load(paths).select("path", "modificationTime", "length")
+    seen = files.agg(F.count("*"), F.sum("length"), F.max("modificationTime"), F.bit_xor(F.xxhash64("path", "modificationTime", "length")))
+    return tuple(seen.first())
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per symbol and session with its first and last price, each with its place in the order of the lines.
+
+    Lines are scanned once per application, folder and state of its files: the panel (symbols x sessions, however many lines)
+    is a table in the shared folder, and sector and index bars roll it up.
+    """
+    known = spark.sparkContext.__dict__.setdefault("_candlefold_panels", {})
+    key = (sf_dir, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.session.timeZone"), *_fingerprint(spark, sf_dir))
+    if key not in known:
+        point = F.struct("k", "price")
+        made = _ticks(spark, sf_dir).groupBy("sym", "sector", "date").agg(
+            F.min(point).alias("first"), F.max(point).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("q").alias("volume")
+        )
+        done = kept(made)
+        known[key] = (done.schema, done.inputFiles())
+    schema, files = known[key]
+    return spark.read.schema(schema).parquet(*files)
+
+
+def _ohlc(sessions: DataFrame, *key: str) -> DataFrame:
+    return sessions.groupBy(*key, "date").agg(
+        F.min("first")["price"].alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last")["price"].alias("close"), F.sum("volume").alias("volume")
+    )
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per symbol (nation) and session (ship date); first and last price in a total order of the lines."""
-    return _ohlc(_ticks(spark, sf_dir), "sym", "sector")
+    price = lambda c: F.col(f"{c}.price")
+    return panel(spark, sf_dir).select("sym", "sector", "date", price("first").alias("open"), "high", "low", price("last").alias("close"), "volume")
 
 
 def sector_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ohlc(_ticks(spark, sf_dir), "sector")
+    return _ohlc(panel(spark, sf_dir), "sector")
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ohlc(_ticks(spark, sf_dir))
+    return _ohlc(panel(spark, sf_dir))
 
 
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
