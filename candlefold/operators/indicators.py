@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -54,24 +56,30 @@ class Bars:
         return F.avg(F.when(x > 0, x)).over(self.last(n))
 
 
-def with_ranges(bars: DataFrame, key: tuple[str, ...] = ("sym",)) -> DataFrame:
-    """First layer: what later windows aggregate: bar number, true range, gaps, signed money, one-bar facts."""
+@cache
+def _range_columns(key: tuple[str, ...]) -> list[Column]:
+    """Expressions name columns only, so that one list serves every table; making it anew for each costs a second on the driver."""
     b = Bars(key)
     pc = b.lag(b.close)
     change = b.close - pc
     gap = F.abs(F.try_divide(b.open, pc) - 1)
     money = b.close * b.volume
     signed = F.when(pc.isNotNull() & (b.volume > 0), F.when(b.close > pc, money).when(b.close < pc, -money).otherwise(0.0))
-    return bars.select(
-        "*", b.rn.alias("rn"), pc.alias("pc"), b.true_range().alias("tr"), F.greatest(change, F.lit(0.0)).alias("gain"), F.greatest(-change, F.lit(0.0)).alias("loss"),
+    return [
+        b.rn.alias("rn"), pc.alias("pc"), b.true_range().alias("tr"), F.greatest(change, F.lit(0.0)).alias("gain"), F.greatest(-change, F.lit(0.0)).alias("loss"),
         F.when((pc > 0) & gap.between(-0.9, 9), gap).alias("gap"), signed.alias("flow1"), money.alias("money"), b.lag(b.close, 2).alias("pc2"),
         F.when(b.close > 0, F.try_divide(b.high - b.low, b.close)).alias("range_pct"), b.lag(b.volume).alias("pv"),
-    )
+    ]
 
 
-def indicators(bars: DataFrame, key: tuple[str, ...] = ("sym",)) -> DataFrame:
-    """All indicators in one projection over ``with_ranges``; unused ones are pruned by the optimizer."""
-    d, b = with_ranges(bars, key), Bars(key)
+def with_ranges(bars: DataFrame, key: tuple[str, ...] = ("sym",)) -> DataFrame:
+    """First layer: what later windows aggregate: bar number, true range, gaps, signed money, one-bar facts."""
+    return bars.select("*", *_range_columns(key))
+
+
+@cache
+def _indicator_columns(key: tuple[str, ...]) -> list[Column]:
+    b = Bars(key)
     rn = F.col("rn")
     gains, losses = F.sum("gain").over(b.last(2)), F.sum("loss").over(b.last(2))
     mid, sd = F.avg("close").over(b.last(20)), F.stddev_pop("close").over(b.last(20))
@@ -87,8 +95,8 @@ def indicators(bars: DataFrame, key: tuple[str, ...] = ("sym",)) -> DataFrame:
     atr = {n: F.avg("tr").over(b.last(n)) for n in (5, 14, 20)}
     high, low = F.max("close").over(b.last(260)), F.min("close").over(b.last(260))
     adr = F.avg("range_pct").over(b.last(20))
-    return d.select(
-        "*", *[v.alias(f"atr{n}") for n, v in atr.items()], *[b.sma(n).alias(f"sma{n}") for n in (5, 20, 50, 200)],
+    return [
+        *[v.alias(f"atr{n}") for n, v in atr.items()], *[b.sma(n).alias(f"sma{n}") for n in (5, 20, 50, 200)],
         F.when(rn >= 3, F.when(losses == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gains, losses)))).alias("rsi2"),
         F.when(rn >= 20, F.when(sd == 0, 0.5).otherwise(F.try_divide(b.close - (mid - 2 * sd), 4 * sd))).alias("pctb"),
         b.relative_volume().alias("rv"), F.when(span > 0, F.try_divide(b.close - b.low, span)).alias("pos"), b.strength().alias("strength"),
@@ -100,7 +108,12 @@ def indicators(bars: DataFrame, key: tuple[str, ...] = ("sym",)) -> DataFrame:
         b.positive_mean(F.col("money"), 20).alias("adv"), b.ret(62).alias("ret63"), b.ret(125).alias("ret126"), b.ret(126).alias("ret126_index"), b.ret(252).alias("ret252"),
         high.alias("high260"), low.alias("low260"), F.try_divide(high - b.close, high).alias("off_high"), F.try_divide(b.close - low, low).alias("off_low"), flow.alias("flow10"),
         F.stddev_samp(F.log(F.try_divide(b.close, F.col("pc")))).over(b.last(20)).alias("sd20"),
-    )
+    ]
+
+
+def indicators(bars: DataFrame, key: tuple[str, ...] = ("sym",)) -> DataFrame:
+    """All indicators in one projection over ``with_ranges``; unused ones are pruned by the optimizer."""
+    return with_ranges(bars, key).select("*", *_indicator_columns(key))
 
 
 def distribution_days(bars: DataFrame, key: tuple[str, ...] = ("sym",), sessions: int = 25, drop: float = -0.002, expiry: float = 1.05) -> DataFrame:
