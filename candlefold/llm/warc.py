@@ -1,8 +1,8 @@
 """WARC archives by way of a chunked record table.
 
 Payloads are handled as rows of record id and chunk number. Writing: a scan digests each payload chunk by chunk; equal
-payloads elect one response by digest; every task streams its records, chunk after chunk, into gzip members of its own
-archive in the shared folder. Reading: every archive is streamed; a record becomes chunk rows that carry the running byte
+payloads elect one response by digest; each record becomes chunk rows with a running byte count and digest, and every task
+streams the chunk rows it is handed into gzip members of its own archive in the shared folder. Reading: every archive is streamed; a record becomes chunk rows that carry the running byte
 count and digest, so no record is held in memory as a whole. A record's last chunk row has the digest of its payload.
 
 An archive's name holds the attempt that wrote it, and only archives that the finished job lists are read: what a lost or
@@ -18,7 +18,7 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -35,6 +35,10 @@ ARCHIVE_SCHEMA = "archive string, records long"
 CHUNK_SCHEMA = (
     "record_id string, record_type string, target_uri string, refers_to string, chunk_no int, data binary, bytes_so_far long, digest string, declared_digest string, is_last boolean"
 )
+#: A record to be written, cut into chunks; ``so_far`` is the digest up to and including the chunk.
+RECORD_SCHEMA = "page_id long, url string, n long, digest string, refers_to long, chunk_no int, data binary, bytes_so_far long, so_far string, is_last boolean"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+RECORD_ARROW, CHUNK_ARROW = (pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, schema.split(", "))]) for schema in (RECORD_SCHEMA, CHUNK_SCHEMA))
 _URN = "urn:page:"
 
 
@@ -105,34 +109,89 @@ def write(pages: DataFrame, path: str | None = None, id_col: str = "page_id", ur
     roles = elect(light, min_bytes).select(F.col("page_id").alias("rid"), F.col("digest").alias("rd"), "refers_to").distinct()
     rows = source.hint("merge").join(roles, F.col("page_id").eqNullSafe(F.col("rid")) & (F.col("p.digest") == F.col("rd")))
 
+    named = rows.select("page_id", "url", "html", "p.n", "p.digest", "refers_to")
+    return stored(named.mapInArrow(_cut, RECORD_SCHEMA).mapInArrow(_writer(path, level), ARCHIVE_SCHEMA), "warc-archives")
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some 8 MB of payload or 10,000 rows; one without rows if there are none."""
+    held: list[tuple] = []
+    weight = 0
+
+    def batch() -> pa.RecordBatch:
+        cols = list(zip(*held)) or [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        weight += size(row)
+        if weight > 1 << 23 or len(held) >= 10_000:
+            yield batch()
+            held, weight = [], 0
+    yield batch()
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as chunk rows, a record's in a row and in order; a revisit is one row without data."""
+
+    def rows() -> Iterator[tuple]:
+        for b in batches:
+            for k in range(b.num_rows):
+                page, url, text, n, digest, refers = (b.column(i)[k].as_py() for i in range(6))
+                same = (page, _clean_uri(url), n, digest, refers)
+                if refers is not None:
+                    yield (*same, 0, None, 0, None, True)
+                    continue
+                sha, size, no, last = hashlib.sha1(), 0, 0, max(0, -(-len(text or "") // CHUNK) - 1)
+                for chunk in _chunks(text) if text else (b"",):
+                    sha.update(chunk)
+                    size += len(chunk)
+                    yield (*same, no, chunk, size, _base32(sha), no == last)
+                    no += 1
+
+    return _batches(rows(), RECORD_ARROW, lambda row: len(row[6] or b""))
+
+
+def _writer(path: str, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes chunk rows of ``RECORD_SCHEMA`` as they come, each record a gzip member, into one archive below ``path``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open_fs(path)
         fs.create_dir(base, recursive=True)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-        records, out = 0, None
+        records, out, member, due = 0, None, None, 0
         for b in batches:
-            for page, url, text, n, digest, refers in zip(*(b.column(i) for i in range(6))):
+            for page, url, n, digest, refers, no, data, size, so_far, is_last in zip(*(b.column(i) for i in range(10))):
                 out = out or fs.open_output_stream(f"{base}/{name}", compression=None)
-                page, n, refers = page.as_py(), n.as_py(), refers.as_py()
-                shared = (("WARC-Target-URI", _clean_uri(url.as_py())), ("WARC-Payload-Digest", f"sha1:{digest.as_py()}"))
-                member = zlib.compressobj(level, zlib.DEFLATED, 31)
-                record = f"{_URN}{'' if page is None else page}"
-                if refers is None:
-                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
-                    head = _header("response", record, len(http) + n, *shared, ("Content-Type", "application/http; msgtype=response"))
-                    out.write(member.compress(head + http))
-                    for chunk in _chunks(text.as_py()):
-                        out.write(member.compress(chunk))
-                else:
-                    more = (("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_URN}{refers}>"))
-                    out.write(member.compress(_header("revisit", record, 0, *shared, *more)))
-                out.write(member.compress(b"\r\n\r\n") + member.flush())
-                records += 1
+                no, data, digest = no.as_py(), data.as_py(), digest.as_py()
+                if no != due:
+                    raise ValueError(f"chunk {no} of page {page} came where chunk {due} was due")
+                if not no:
+                    member = zlib.compressobj(level, zlib.DEFLATED, 31)
+                    out.write(member.compress(_record_head(page.as_py(), url.as_py(), n.as_py(), digest, refers.as_py())))
+                if data:
+                    out.write(member.compress(data))
+                due = no + 1
+                if is_last.as_py():
+                    if data is not None and (size.as_py(), so_far.as_py()) != (n.as_py(), digest):
+                        raise ValueError(f"page {page} is cut differently than it was digested")
+                    out.write(member.compress(b"\r\n\r\n") + member.flush())
+                    records, due = records + 1, 0
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([records], pa.int64())], ["archive", "records"])
 
-    return stored(rows.select("page_id", "url", "html", "p.n", "p.digest", "refers_to").mapInArrow(run, ARCHIVE_SCHEMA), "warc-archives")
+    return run
+
+
+def _record_head(page: int | None, url: str | None, n: int, digest: str, refers: int | None) -> bytes:
+    shared = (("WARC-Target-URI", url), ("WARC-Payload-Digest", f"sha1:{digest}"))
+    record = f"{_URN}{'' if page is None else page}"
+    if refers is None:
+        http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
+        return _header("response", record, len(http) + n, *shared, ("Content-Type", "application/http; msgtype=response")) + http
+    more = (("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_URN}{refers}>"))
+    return _header("revisit", record, 0, *shared, *more)
 
 
 def _records(stream: io.BufferedReader) -> Iterator[tuple[dict[str, str], int]]:
@@ -157,19 +216,7 @@ def read(archives: DataFrame, with_data: bool = True) -> DataFrame:
     """
     count = max(1, archives.count())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-        types = [pa.string()] * 4 + [pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
-        rows: list[tuple] = []
-        held = 0
-
-        def batch() -> pa.RecordBatch:
-            nonlocal held
-            cols = list(zip(*rows)) or [()] * len(names)
-            rows.clear()
-            held = 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for archive in b.column(0).to_pylist():
                 fs, path = _open_fs(archive)
@@ -194,14 +241,13 @@ def read(archives: DataFrame, with_data: bool = True) -> DataFrame:
                             digest = _base32(sha)
                             if not left and kind == "response" and declared not in (None, digest):
                                 raise ValueError(f"record {same[0]} of {archive} is damaged")
-                            rows.append((*same, no, data if with_data else None, size, digest, declared, not left))
-                            held += len(data) if with_data else 0
+                            yield (*same, no, data if with_data else None, size, digest, declared, not left)
                             no += 1
                             if not left:
                                 break
-                        if held > 1 << 23 or len(rows) >= 10_000:
-                            yield batch()
-        yield batch()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(rows(batches), CHUNK_ARROW, lambda row: len(row[5] or b""))
 
     return archives.select("archive").repartition(count).mapInArrow(run, CHUNK_SCHEMA)
 

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,20 @@ def test_warc_round_trip(spark, min_bytes):
     assert [c.is_last for c in chunks] == [False] * (len(chunks) - 1) + [True]
 
 
+def test_warc_records_are_cut_into_chunk_rows():
+    """Cut without Spark: running sizes and digests, one row at least a record, none with data for a revisit."""
+    text = "é" * (2 * warc.CHUNK + 5)
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    rows = [(1, "u v", text, 2 * len(text), sha(text), None), (2, None, "", 0, sha(""), None), (3, "w", None, 0, sha(""), 2), (4, "x", "é" * warc.CHUNK, 2 * warc.CHUNK, sha("é" * warc.CHUNK), None)]
+    got = [r for b in warc._cut(iter([pa.RecordBatch.from_pylist([dict(zip("abcdef", r)) for r in rows])])) for r in b.to_pylist()]
+    assert [(r["page_id"], r["chunk_no"], r["is_last"]) for r in got] == [(1, 0, False), (1, 1, False), (1, 2, True), (2, 0, True), (3, 0, True), (4, 0, True)]
+    assert b"".join(r["data"] for r in got[:3]).decode() == text and got[0]["url"] == "u%20v" and got[4]["data"] is None
+    for k, r in enumerate(got[:3]):
+        part = text[: (k + 1) * warc.CHUNK]
+        assert (r["bytes_so_far"], r["so_far"]) == (len(part.encode()), sha(part))
+    assert [r["so_far"] for r in got[3:]] == [sha(""), None, sha("é" * warc.CHUNK)]
+
+
 def test_warc_files_are_gzip_members_and_damage_is_seen(spark):
     df = spark.createDataFrame(PAGES[5:8], "page_id long, url string, html string").coalesce(1)
     archives = warc.write(df)
