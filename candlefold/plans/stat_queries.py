@@ -262,10 +262,10 @@ def f29(s, d):
     return h.groupBy("sym").agg(F.round(F.avg(F.when(top, C("fwd"))) - F.avg(F.when(~top, C("fwd"))), 4).alias("lift"))
 
 
-@query("f30_transfer", LONG.replace("points, fwd FROM f", "points, fwd, sector FROM f").replace("_buy AS points, fwd, sector", "_buy AS points, fwd, sector") + """, c AS (SELECT key, sector, corr(points, fwd) AS ic FROM lf GROUP BY key, sector)
+@query("f30_transfer", LONG.replace("points, fwd FROM f", "points, fwd, sector FROM f").replace("_buy AS points, fwd, sector", "_buy AS points, fwd, sector") + """, c AS (SELECT key, sector, CASE WHEN min(points) < max(points) AND min(fwd) < max(fwd) THEN corr(points, fwd) END AS ic FROM lf GROUP BY key, sector)
 SELECT key, round(avg(ic), 4) AS mean_ic, count(*) FILTER (ic > 0) AS pos, count(*) FILTER (ic < 0) AS neg FROM c GROUP BY key""")
 def f30(s, d):
-    """Sign agreement of each factor's correlation across the sectors as universes."""
+    """Sign agreement of each factor's correlation across the sectors as universes; a sector without variance has none."""
     c = stats.unpivot_factors(fwd(s, d), KEYS, ("fwd", "sector")).groupBy("key", "sector").agg(stats.corr(C("points"), C("fwd")).alias("ic"))
     return c.groupBy("key").agg(F.round(F.avg(F.when(~F.isnan("ic"), C("ic"))), 4).alias("mean_ic"), F.count_if((C("ic") > 0) & ~F.isnan("ic")).alias("pos"), F.count_if(C("ic") < 0).alias("neg"))
 
