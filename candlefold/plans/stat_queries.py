@@ -271,11 +271,12 @@ def f30(s, d):
 
 
 @query("f31_f32_sweep_matched_n", FWD + """, t AS (SELECT unnest([0, 40000, 80000, 120000, 160000, 200000]) AS floor), u AS (SELECT floor, count(*) AS n, avg(fwd) AS a FROM f, t WHERE adv >= floor GROUP BY floor)
-SELECT floor::DOUBLE AS floor, n, round(a, 4) AS avg_fwd, floor = (SELECT arg_min(floor, abs(n - 10000)) FROM u) AS nearest FROM u""")
+SELECT floor::DOUBLE AS floor, n, round(a, 4) AS avg_fwd, floor = (SELECT floor FROM u ORDER BY abs(n - 10000), floor LIMIT 1) AS nearest FROM u""")
 def f31(s, d):
+    """The floor whose number of bars is nearest to 10,000 is marked; of several the smallest, as the reference takes the first."""
     t = s.createDataFrame([(float(x),) for x in (0, 40000, 80000, 120000, 160000, 200000)], "floor double")
     u = fwd(s, d).select("adv", "fwd").crossJoin(F.broadcast(t)).where("adv >= floor").groupBy("floor").agg(F.count("*").alias("n"), F.avg("fwd").alias("a"))
-    best = u.agg(F.min_by("floor", F.abs(C("n") - 10000)).alias("best"))
+    best = u.agg(F.min(F.struct(F.abs(C("n") - 10000), "floor"))["floor"].alias("best"))
     return u.crossJoin(F.broadcast(best)).select("floor", "n", r("a", 4, "avg_fwd"), (C("floor") == C("best")).alias("nearest"))
 
 

@@ -23,3 +23,11 @@ def test_transfer_leaves_out_sectors_without_variance(spark, monkeypatch):
     still = [("C", 1.5, *[i] * len(KEYS)) for i in range(4)]
     got, want = _both(spark, monkeypatch, "f30_transfer", flat + rising + still, schema, "lf AS (")
     assert got == want == sorted((k, 1.0, 1, 0) for k in KEYS)
+
+
+def test_nearest_floor_of_several_is_the_smallest(spark, monkeypatch):
+    rows = [(adv, float(i)) for i, adv in enumerate((250e3, 250e3, 100e3, 90e3))]
+    got, want = _both(spark, monkeypatch, "f31_f32_sweep_matched_n", rows, "adv double, fwd double", "t AS (SELECT unnest")
+    assert got == want
+    assert [(floor, n, nearest) for floor, n, _, nearest in got] == [(f, 4 if f <= 80000 else 2, f == 0) for f in (0, 40000, 80000, 120000, 160000, 200000)]
+    assert "ORDER BY abs(n - 10000), floor" in ORACLE_SQL["f31_f32_sweep_matched_n"]  # arg_min leaves ties to chance
