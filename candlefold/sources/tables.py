@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from candlefold.sources.shared import kept
 
 BAR_SCHEMA = "sym string, sector string, date date, open double, high double, low double, close double, volume double"
+#: Sessions of all symbols (some 60 bytes each) that are broadcast to their lines; a merge join beyond.
+BROADCAST_SESSIONS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,26 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(seen.first())
 
 
+def _sessions(ticks: DataFrame) -> DataFrame:
+    """``first`` and ``last`` (place and price), ``high``, ``low`` and ``volume`` of every symbol and session, in two passes over the lines.
+
+    The least of structs is taken by a sort of all its rows. So a hash aggregation, whose memory grows with symbols x sessions alone,
+    first finds each session's least and greatest order; only these orders' lines are compared by their whole place. Null orders
+    come first, as they do in structs.
+    """
+    key, order = ("sym", "sector", "date"), F.col("k.l_orderkey")
+    ends = kept(ticks.groupBy(*key).agg(
+        F.when(F.count_if(order.isNull()) == 0, F.min(order)).alias("lo"), F.max(order).alias("hi"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("q").alias("volume")
+    ))
+    few = F.broadcast if ends.count() <= BROADCAST_SESSIONS else lambda x: x.hint("merge")
+    of = ends.select(*[F.col(c).alias(f"_{c}") for c in key], "lo", "hi")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+    some = ticks.join(few(of), same).where(order.eqNullSafe(F.col("lo")) | order.eqNullSafe(F.col("hi")))
+    point = F.struct("k", "price")
+    points = some.groupBy(*[F.col(f"_{c}") for c in key]).agg(F.min(point).alias("first"), F.max(point).alias("last"))
+    return ends.hint("merge").join(points.hint("merge"), same).select(*key, "first", "last", "high", "low", "volume")
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per symbol and session with its first and last price, each with its place in the order of the lines.
 
@@ -72,11 +94,7 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = spark.sparkContext.__dict__.setdefault("_candlefold_panels", {})
     key = (sf_dir, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.session.timeZone"), *_fingerprint(spark, sf_dir))
     if key not in known:
-        point = F.struct("k", "price")
-        made = _ticks(spark, sf_dir).groupBy("sym", "sector", "date").agg(
-            F.min(point).alias("first"), F.max(point).alias("last"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("q").alias("volume")
-        )
-        done = kept(made)
+        done = kept(_sessions(_ticks(spark, sf_dir)))
         known[key] = (done.schema, done.inputFiles())
     schema, files = known[key]
     return spark.read.schema(schema).parquet(*files)
