@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from candlefold.functions.scalars import CLOSE, HALF_CLOSE, is_weekend, name_mismatch
 
 C = F.col
+#: Characters of lists that one task of ``row_warnings`` writes.
+TASK_CHARS = 256 << 20
 
 
 def clean_bars(raw: DataFrame, arrival: str = "arrival") -> DataFrame:
@@ -110,13 +112,32 @@ def flipped_names(rows: DataFrame) -> DataFrame:
     return rows.join(n, "name", "left")
 
 
+def _cuts(chars: int | None) -> int:
+    return min(-(-(chars or 1) // TASK_CHARS), 100_000)
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def row_warnings(old: DataFrame, new: DataFrame, move: float = 0.3, swing: int = 4) -> DataFrame:
-    """``sym``, ``warnings``: name now used by other symbols, price moved over ``move``, score moved at least ``swing``."""
-    names = new.groupBy("name").agg(F.array_sort(F.collect_set("sym")).alias("syms"))
+    """``sym``, ``warnings``: name now used by other symbols, price moved over ``move``, score moved at least ``swing``.
+
+    Each row of a shared name lists all its symbols, so the output is larger than the input by the size of the groups. The
+    list is written out once a name, and rows are dealt to as many tasks as their output needs (``TASK_CHARS``), rows of one
+    name to several; only the sums of the sizes reach the driver.
+    """
+    syms = F.array_sort(F.collect_set("sym"))
+    names = new.groupBy("name").agg(F.count("*").alias("_n"), F.when(F.size(syms) > 1, F.concat(F.lit("name:"), F.array_join(syms, ","))).alias("_named"))
+    size = C("_n") * F.coalesce(F.length("_named"), F.lit(0))
+    whole, most = names.agg(F.sum(size), F.max(size)).first()
+    cuts = _cuts(most)
+    deal = lambda x, salt: x.withColumn("_salt", salt).repartition(max(_cuts(whole), _tasks(new)), "name", "_salt").hint("merge")
     o = old.select(C("sym").alias("_s"), C("price").alias("_p"), C("score").alias("_c"))
-    j = new.join(names, "name").join(o, C("sym") == C("_s"), "left")
+    j = new.join(o.hint("merge"), C("sym") == C("_s"), "left")
+    j = deal(j, F.pmod(F.xxhash64("sym"), F.lit(cuts)).cast("int")).join(deal(names, F.explode(F.sequence(F.lit(0), F.lit(cuts - 1)))), ["name", "_salt"])
     return j.select("sym", F.array_compact(F.array(
-        F.when(F.size("syms") > 1, F.concat(F.lit("name:"), F.array_join("syms", ","))), F.when(F.abs(C("price") / C("_p") - 1) > move, "price"),
+        "_named", F.when(F.abs(C("price") / C("_p") - 1) > move, "price"),
         F.when(F.abs(C("score") - C("_c")) >= swing, "score"),
     )).alias("warnings"))
 
