@@ -129,8 +129,8 @@ def summed(pieces: DataFrame) -> np.ndarray:
 
 
 def meeting(rows: DataFrame, sketch, shingle_words: int, percent: int) -> DataFrame:
-    """``slot``, ``t``, ``n``, ``at``: the prefix tokens under the first order that at least two different sets hold, with
-    the token's place in the prefix from 1.
+    """``slot``, ``t``, ``n``, ``at``, ``hot``: the prefix tokens under the first order that at least two different sets hold, with
+    the token's place in the prefix from 1; ``hot`` is above 0 where the sketch calls the token frequent.
 
     Postings of a token are brought together by hash and order, and dropped as they stream by if they are alone. Those
     of tokens that the sketch calls frequent are shared anyway and are dealt to many tasks.
@@ -156,7 +156,7 @@ def meeting(rows: DataFrame, sketch, shingle_words: int, percent: int) -> DataFr
         held, known = np.zeros((0, 5), np.int64), False  # the last row waits for the next; whether the one before it had its slot
 
         def out(x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x[:, i], pa.int64()) for i in range(4)], names[:4])
+            return pa.RecordBatch.from_arrays([pa.array(x[:, i], pa.int64()) for i in range(5)], [*names[:4], "hot"])
 
         for batch in batches:
             x = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
@@ -172,7 +172,7 @@ def meeting(rows: DataFrame, sketch, shingle_words: int, percent: int) -> DataFr
             yield out(held)
 
     posted = rows.mapInArrow(post, ", ".join(f"{n} long" for n in names))
-    return posted.repartition("slot", "salt").sortWithinPartitions("slot", "t").mapInArrow(shared, ", ".join(f"{n} long" for n in names[:4]))
+    return posted.repartition("slot", "salt").sortWithinPartitions("slot", "t").mapInArrow(shared, "slot long, t long, n long, at long, hot long")
 
 
 class Sets:
@@ -185,7 +185,7 @@ class Sets:
         self.table: DataFrame | None = None
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        """``t``, ``p2`` and ``p3`` (prefixes under the second and third order) and ``s`` (the set), of the pairs' texts at least."""
+        """``t``, ``p2`` and ``p3`` (upper halves of the prefixes under the second and third order: what shares a token shares its half) and ``s`` (the set), of the pairs' texts at least."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
         if self.table is not None:
             wanted = wanted.hint("merge").join(self.table.select("t").hint("merge"), "t", "left_anti")
@@ -196,7 +196,7 @@ class Sets:
 
     def _made(self, ids: DataFrame) -> DataFrame:
         sketch, shingle_words, percent = self.sketch, self.shingle_words, self.percent
-        schema = pa.schema([("t", pa.int64()), *[(c, pa.list_(pa.int64())) for c in ("p2", "p3", "s")]])
+        schema = pa.schema([("t", pa.int64()), ("p2", pa.list_(pa.int32())), ("p3", pa.list_(pa.int32())), ("s", pa.list_(pa.int64()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -204,11 +204,11 @@ class Sets:
                     part = batch.slice(at, 200)
                     sets = [tokens(x.as_py(), shingle_words) for x in part.column(0)]
                     sets = [s for s, want in zip(sets, part.column(1).to_pylist()) if _identity(s) == want]  # an id may have several texts
-                    lists = [[prefix(s, sketch.value, i, percent).view(np.int64) for s in sets] for i in (1, 2)] + [[s.view(np.int64) for s in sets]]
-                    yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in sets], pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in lists]], schema=schema)
+                    halves = [[(prefix(s, sketch.value, i, percent) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets] for i in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array([_identity(s) for s in sets], pa.int64()), *[pa.array(x, pa.list_(pa.int32())) for x in halves], pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
         named = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-        found = self.rows.join(named, "doc_id").select("text", "want").mapInArrow(run, "t long, p2 array<long>, p3 array<long>, s array<long>")
+        found = self.rows.join(named, "doc_id").select("text", "want").mapInArrow(run, "t long, p2 array<int>, p3 array<int>, s array<long>")
         return found.dropDuplicates(["t"]) if self.repeated else found
 
 
@@ -241,12 +241,31 @@ def _reachable(percent: int) -> Column:
     return (room >= need) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
 
+def _order() -> list[Column]:
+    """Of a slot's texts those with most links come first (ties: front places, then by hash)."""
+    return [F.desc("links"), F.col("at"), F.xxhash64("t"), F.col("t")]
+
+
 def _leads(crowded: DataFrame, k: int) -> DataFrame:
-    """The ``k`` texts of each slot with most links (ties: front places, then by hash), found in salted parts first."""
-    order = [F.desc("links"), F.col("at"), F.xxhash64("t"), F.col("t")]
-    part = Window.partitionBy("slot", F.pmod(F.xxhash64("t"), F.lit(_SALTS))).orderBy(*order)
-    some = crowded.withColumn("k", F.row_number().over(part)).where(F.col("k") <= k)
-    return some.withColumn("k", F.row_number().over(Window.partitionBy("slot").orderBy(*order))).where(F.col("k") <= k).drop("k")
+    """The first ``k`` texts of each slot: by their ``place``; those of hot slots, which have none, are found in salted parts first."""
+    part = Window.partitionBy("slot", F.pmod(F.xxhash64("t"), F.lit(_SALTS))).orderBy(*_order())
+    some = crowded.where("hot > 0").withColumn("place", F.row_number().over(part)).where(F.col("place") <= k)
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy("slot").orderBy(*_order()))).where(F.col("place") <= k)
+    return crowded.where((F.col("hot") == 0) & (F.col("place") <= k)).unionByName(some)
+
+
+def _crowded(now: DataFrame) -> DataFrame:
+    """The rows of slots that hold several components, with ``held``, the slot's texts.
+
+    A slot that is not hot has few texts, so one shuffle brings them together and gives their ``place`` too; hot ones are counted in
+    parts and joined.
+    """
+    slot = Window.partitionBy("slot")
+    at = F.row_number().over(slot.orderBy(*_order()))
+    few = now.where("hot = 0").withColumns({"place": at, "r0": F.min("root").over(slot), "r1": F.max("root").over(slot), "held": F.count("*").over(slot)}).where("r0 < r1").drop("r0", "r1")
+    many = now.where("hot > 0")
+    several = many.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 < r1").select("slot", "held")
+    return few.unionByName(many.withColumn("place", F.lit(None).cast("int")).hint("merge").join(several.hint("merge"), "slot"))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle_words: int = 5, leads: int = 8) -> DataFrame:
@@ -282,14 +301,17 @@ def _clustered(members: DataFrame, sets: Sets, versions: DataFrame, percent: int
     side = lambda x: [F.col("t").alias(x), F.col("root").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"p{x}")]
     edges = stored(versions, "jaccard-edges")
     roots = connected_components(edges, "a", "b", "jaccard-cc")
-    checked, crowded, k = None, members, 1
+    checked, crowded, k, linked = None, members, 1, not edges.isEmpty()
     while True:
-        links = edges.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("links"))
-        known = stored(roots.withColumnRenamed("node", "t").hint("merge").join(links.hint("merge"), "t", "full_outer"), "jaccard-known")
-        now = crowded.select("slot", "t", "n", "at").hint("merge").join(known.hint("merge"), "t", "left")
-        now = stored(now.select("slot", "t", "n", "at", F.coalesce("root", "t").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-now")
-        several = now.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("held")).where("r0 < r1").select("slot", "held")
-        crowded = stored(now.hint("merge").join(several.hint("merge"), "slot"), "jaccard-crowded")
+        now = crowded.select("slot", "t", "n", "at", "hot")
+        if linked:
+            links = edges.select(F.explode(F.array("a", "b")).alias("t")).groupBy("t").agg(F.count("*").alias("links"))
+            known = stored(roots.withColumnRenamed("node", "t").hint("merge").join(links.hint("merge"), "t", "full_outer"), "jaccard-known")
+            now = now.hint("merge").join(known.hint("merge"), "t", "left")
+            now = stored(now.select("slot", "t", "n", "at", "hot", F.coalesce("root", "t").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-now")
+        else:
+            now = now.withColumns({"root": F.col("t"), "links": F.lit(0).cast("long")})
+        crowded = stored(_crowded(now), "jaccard-crowded")
         if crowded.isEmpty():
             return roots
         lead = stored(_leads(crowded, k).select("slot", *side("a")), "jaccard-leads")
@@ -299,7 +321,7 @@ def _clustered(members: DataFrame, sets: Sets, versions: DataFrame, percent: int
         found = stored(_links(new, sets.of(new), percent), "jaccard-edges")
         checked = new if checked is None else checked.unionByName(new)
         if not found.isEmpty():
-            edges = edges.unionByName(found)
+            edges, linked = edges.unionByName(found), True
             roots = stored(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "a", "b", "jaccard-cc"), "jaccard-roots")
         crowded = crowded.where(F.col("held") > k + 1)  # elsewhere every pair had a lead in it, so the slot is done
         k *= leads
