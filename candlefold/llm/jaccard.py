@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +65,11 @@ def _identity(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63)
 
 
+def _told(text: str | None, shingle_words: int) -> tuple[int, np.ndarray]:
+    s = tokens(text, shingle_words)
+    return _identity(s), s
+
+
 def _prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -87,9 +92,14 @@ def _filled(x: np.ndarray) -> np.ndarray:
 # ---- tables --------------------------------------------------------------------------------------------------------
 
 
+def pieces(sketch: np.ndarray) -> list[pa.Array]:
+    """A sketch as ``PIECES`` rows: columns ``piece`` and ``counts`` (compressed)."""
+    width = CELLS // PIECES
+    return [pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in range(PIECES)], pa.binary())]
+
+
 def described(rows: DataFrame, shingle_words: int) -> DataFrame:
     """``doc_id``, ``t`` (64-bit identity of the set), ``n`` for every row; and, with ``piece`` set, each task's sketch in pieces."""
-    width = CELLS // PIECES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(CELLS, np.uint32)
@@ -105,7 +115,7 @@ def described(rows: DataFrame, shingle_words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.int64()), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if sketch.any():
             empty = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in range(PIECES)], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([empty, empty, empty, *pieces(sketch)], names)
 
     return rows.mapInArrow(run, "doc_id long, t long, n long, piece int, counts binary")
 
@@ -128,12 +138,15 @@ def summed(pieces: DataFrame) -> np.ndarray:
     return out
 
 
-def meeting(rows: DataFrame, sketch, shingle_words: int, percent: int) -> DataFrame:
+def meeting(rows: DataFrame, sketch, shingle_words: int, percent: int, read: Callable[[int, str | None], tuple[int, np.ndarray]] | None = None) -> DataFrame:
     """``slot``, ``t``, ``n``, ``at``, ``hot``: the prefix tokens under the first order that at least two different sets hold, with
     the token's place in the prefix from 1; ``hot`` is above 0 where the sketch calls the token frequent.
 
     Postings of a token are brought together by hash and order, and dropped as they stream by if they are alone. Those
     of tokens that the sketch calls frequent are shared anyway and are dealt to many tasks.
+
+    ``read`` makes a row's name ``t`` and its set of 64-bit tokens from its first two columns (an id and a text); if it is
+    missing, ``tokens`` does.
     """
     names = ["slot", "t", "n", "at", "salt"]
 
@@ -142,11 +155,11 @@ def meeting(rows: DataFrame, sketch, shingle_words: int, percent: int) -> DataFr
         often = max(HOT, 4 * int(counts.mean()))
         for batch in batches:
             cols: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in names]
-            for text in batch.column(1):
-                s = tokens(text.as_py(), shingle_words)
+            for first, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t, s = read(first, text.as_py()) if read else _told(text.as_py(), shingle_words)
                 if len(s):
                     p = prefix(s, counts, 0, percent)
-                    t, k = _identity(s), len(p)
+                    k = len(p)
                     hot = counts[p % np.uint64(CELLS)] >= often
                     for col, v in zip(cols, (p.view(np.int64), np.full(k, t), np.full(k, len(s)), np.arange(1, k + 1), np.where(hot, 1 + t % _SALTS, 0))):
                         col.append(v)

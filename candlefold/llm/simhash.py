@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from candlefold.llm import jaccard
 from candlefold.llm.common import connected_components, scratch, stored, word_blocks
 
 SEED = 42
@@ -217,11 +218,11 @@ def _mixed(h: np.ndarray, step: int = 0) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def text_print(text: str | None, shingle_words: int = 5) -> tuple[int, list[int], np.ndarray]:
+def text_print(text: str | None, shingle_words: int = 5, wide: bool = True) -> tuple[int, list[int], np.ndarray]:
     """A text's key (64-bit hash of its words in order), wide fingerprint and sorted distinct 32-bit hashes of its shingles.
 
     A-Z are lower-cased. The fingerprint is a SimHash of the distinct words. Of fewer words the whole sequence is the one
-    shingle; a text without words has the fingerprint zero and no shingle.
+    shingle; a text without words has the fingerprint zero and no shingle. Without ``wide`` the fingerprint is left out.
     """
     order, known, seen = xxhash.xxh64(seed=SEED), {}, []
     for block in word_blocks((text or "").encode("utf-8", "surrogatepass").lower()):
@@ -234,7 +235,7 @@ def text_print(text: str | None, shingle_words: int = 5) -> tuple[int, list[int]
         return key, [0] * WIDTH, np.zeros(0, np.uint32)
     words, run = np.fromiter(known.values(), np.uint64, len(known)), np.concatenate(seen)
     prints = []
-    for i in range(WIDTH):
+    for i in range(WIDTH if wide else 0):
         votes = np.zeros(64, np.int64)
         for at in range(0, len(words), 1 << 16):
             bits = np.unpackbits(_mixed(words[at : at + (1 << 16)], i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -252,33 +253,83 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, view: int) -> DataFrame:
 
 
 def text_prints(rows: DataFrame, shingle_words: int) -> DataFrame:
-    """``doc_id``, ``view``, ``t`` (key of the text), ``f`` (wide fingerprint) and ``n`` (number of its shingles)."""
+    """``doc_id``, ``view``, ``t`` (key of the text), ``f`` (wide fingerprint) and ``n`` (number of its shingles); and, with
+    ``piece`` set, each task's sketch of how often shingles occur, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(jaccard.CELLS, np.uint32)
+        names = ["doc_id", "view", "t", "f", "n", "piece", "counts"]
         for batch in batches:
-            key, prints, n = [], [], []
+            key, prints, n, k = [], [], [], len(batch)
             for text in batch.column(2):
                 t, f, s = text_print(text.as_py(), shingle_words)
+                np.add.at(sketch, s % np.uint64(jaccard.CELLS), np.uint32(1))
                 key.append(t)
                 prints.append(f)
                 n.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(n, pa.int64())], ["doc_id", "view", "t", "f", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.int64()), pa.array(prints, pa.list_(pa.int64())), pa.array(n, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        if sketch.any():
+            empty = [pa.nulls(jaccard.PIECES, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*empty, *jaccard.pieces(sketch)], names)
 
-    return rows.mapInArrow(run, "doc_id long, view int, t long, f array<long>, n long")
+    return rows.mapInArrow(run, "doc_id long, view int, t long, f array<long>, n long, piece int, counts binary")
 
 
-def shingle_sets(rows: DataFrame, holders: DataFrame, shingle_words: int) -> DataFrame:
-    """``t`` and the set ``s`` of its shingles for the texts that ``holders`` (``t``, ``doc_id``, ``view``) name."""
+class ShingleSets:
+    """Fetches sets on demand: a text's shingles are made when a pair of it has passed the cheap filters.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):  # sets of few texts at a time
-                found = [text_print(t.as_py(), shingle_words) for t in batch.slice(at, 500).column(0)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[2].view(np.int32) for x in found], pa.list_(pa.int32()))], ["t", "s"])
+    ``texts``: ``t`` and ``at``, the ``doc_id`` and ``view`` of a row that holds the text; ``light``: those two of all rows.
+    """
+
+    def __init__(self, rows: DataFrame, light: DataFrame, texts: DataFrame, shingle_words: int):
+        self.rows, self.texts, self.shingle_words = rows, texts, shingle_words
+        self.repeated = not light.groupBy("doc_id", "view").count().where("count > 1").isEmpty()
+        self.table: DataFrame | None = None
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """``t`` and the set ``s`` of its shingles, of the texts ``wanted`` (``t``) at least."""
+        if self.table is not None:
+            wanted = wanted.hint("merge").join(self.table.select("t").hint("merge"), "t", "left_anti")
+        holders = self._holders(wanted)
+        if self.table is None or not holders.isEmpty():
+            new = stored(self._made(holders), "near-shingles")
+            self.table = new if self.table is None else self.table.unionByName(new)
+        return self.table
+
+    def meeting(self, wanted: DataFrame, sketch, similarity: float) -> DataFrame:
+        """``slot``, ``t``, ``n``, ``at``: of the texts ``wanted`` (``t``), with n shingles each, the n - ceil(similarity n) + 1
+        rarest ones by the sketch that at least two of the texts have among theirs, with their place from 1.
+
+        Two sets of at least the similarity share one of these.
+        """
+        shingle_words = self.shingle_words
+
+        def read(want: int, text: str | None) -> tuple[int, np.ndarray]:
+            key, _, s = text_print(text, shingle_words, wide=False)
+            return want, s.astype(np.uint64) if key == want else np.zeros(0, np.uint64)  # a row's id may have several texts
+
+        found = self._rows_of(self._holders(wanted)).select("want", "text")
+        return jaccard.meeting(found, sketch, shingle_words, int(100 * similarity + 1e-9), read).select("slot", "t", "n", "at")
+
+    def _holders(self, wanted: DataFrame) -> DataFrame:
+        return stored(wanted.hint("merge").join(self.texts.select("t", "at").hint("merge"), "t").select("at.doc_id", "at.view", F.col("t").alias("want")), "near-holders")
 
-    named = F.broadcast(holders) if holders.count() <= BROADCAST_IDS else holders.hint("merge")
-    found = rows.join(named.select("doc_id", "view"), ["doc_id", "view"], "left_semi").select("text").mapInArrow(run, "t long, s array<int>")
-    return found.dropDuplicates(["t"])  # rows of one id with several texts all come
+    def _rows_of(self, holders: DataFrame) -> DataFrame:
+        return self.rows.join(F.broadcast(holders) if holders.count() <= BROADCAST_IDS else holders.hint("merge"), ["doc_id", "view"])
+
+    def _made(self, holders: DataFrame) -> DataFrame:
+        shingle_words = self.shingle_words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, len(batch), 500):  # sets of few texts at a time
+                    part = batch.slice(at, 500)
+                    found = [(want, text_print(t.as_py(), shingle_words, wide=False)) for t, want in zip(part.column(0), part.column(1).to_pylist())]
+                    found = [(t, x[2].view(np.int32)) for t, x in found if x[0] == t]
+                    yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int32()))], ["t", "s"])
+
+        found = self._rows_of(holders).select("text", "want").mapInArrow(run, "t long, s array<int>")
+        return found.dropDuplicates(["t"]) if self.repeated else found
 
 
 def slots(texts: DataFrame) -> DataFrame:
@@ -303,30 +354,21 @@ def _within(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b").where(sizes & (far <= WIDE_DISTANCE)).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """``t``: the texts of the pairs."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of texts whose sets of shingles (``t``, ``s``) have at least the Jaccard similarity."""
+    """The pairs of texts whose sets of shingles (``t``, ``s``) have at least the Jaccard similarity; other texts' sets are not moved."""
+    ids = _ends(pairs)
+    sets = sets.join(F.broadcast(ids) if pairs.count() <= BROADCAST_IDS // 2 else ids.hint("merge"), "t", "left_semi")
     a, b = sets.select(F.col("t").alias("a"), F.col("s").alias("sa")), sets.select(F.col("t").alias("b"), F.col("s").alias("sb"))
     both = pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """``slot``, ``t``, ``n``, ``at``: for every set of n shingles the n - ceil(similarity n) + 1 that the fewest sets hold
-    (ties: by hash), with their place among all of the set's shingles in this order, from 1.
-
-    Two sets of at least the similarity share one of these. Shingles of one set only come first and are left out: they
-    meet nobody.
-    """
-    each = sets.select("t", F.size("s").alias("n"), F.explode("s").alias("slot"))
-    common = stored(each.groupBy("slot").agg(F.count("*").alias("df")).where("df > 1"), "near-common")
-    held = stored(each.hint("merge").join(common, "slot"), "near-held")
-    row = Window.partitionBy("t")
-    least = F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9))
-    ranked = held.withColumn("c", F.count("*").over(row)).where(F.col("c") >= least).withColumn("k", F.row_number().over(row.orderBy("df", "slot")))
-    return ranked.where(F.col("k") <= F.col("c") - least + 1).select("slot", "t", "n", (F.col("n") - F.col("c") + F.col("k")).alias("at"))
-
-
 def _may_reach(similarity: float) -> Column:
     """Whether two sets whose first common shingle has these places can have the similarity: what follows must suffice."""
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
@@ -352,7 +394,7 @@ def near_components(
 
     Every text first pairs with one text of each slot of its segments as they are. What is verified contracts to
     components; a slot, of the whole balls, that holds several is open. The texts of open slots meet again by their rarest
-    shingles (``rare_shingles``), which any two similar ones share: where such a group holds several components, its
+    shingles (``ShingleSets.meeting``), which any two similar ones share: where such a group holds several components, its
     texts with most similar ones become leads and pair with all texts of other components, and the number of leads
     grows eightfold a round until every text of an open group has been one. So in the end two texts that share a slot
     are in one component or are not similar, and neither a large group around one text nor one of texts that are near
@@ -362,6 +404,8 @@ def near_components(
     if earlier is not None:
         rows = rows.unionByName(_rows(earlier, id_col, text_col, 1))
     light = stored(text_prints(rows, shingle_words), "near-prints")
+    sketch = docs.sparkSession.sparkContext.broadcast(jaccard.summed(light.where("piece is not null")))
+    light = light.where("piece is null").drop("piece", "counts")
     if earlier is not None:
         ids = light.where("view = 0").select("doc_id").distinct()
         light = stored(light.hint("merge").join(ids, "doc_id", "left_semi"), "near-light")
@@ -373,15 +417,14 @@ def near_components(
     members = stored(slots(texts).hint("merge").join(shared, "slot"), "near-members")
     checked = stored(_ordered(members.where("own").select(F.col("lead").alias("a"), F.col("t").alias("b"))), "near-met")
     pairs = stored(_within(checked, texts, similarity), "near-pairs")
-    holders = stored(members.select("t").distinct().hint("merge").join(texts.select("t", "at.*"), "t").select("t", "doc_id", "view"), "near-holders")
-    sets = stored(shingle_sets(rows, holders, shingle_words), "near-shingles")
-    edges = stored(similar_pairs(pairs, sets, similarity).unionByName(versions), "near-edges")
+    sets = ShingleSets(rows, light, texts, shingle_words)
+    edges = stored(similar_pairs(pairs, sets.of(_ends(pairs)), similarity).unionByName(versions), "near-edges")
     roots = connected_components(edges, "a", "b", "near-cc")
     placed = members.select("slot", "t").hint("merge").join(roots.withColumnRenamed("node", "t"), "t", "left").select("slot", "t", F.coalesce("root", "t").alias("root"))
     placed = stored(placed, "near-placed")
     several = placed.groupBy("slot").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("slot")
     open_texts = stored(placed.hint("merge").join(several, "slot", "left_semi").select("t").distinct(), "near-open")
-    crowded = stored(rare_shingles(sets.hint("merge").join(open_texts, "t", "left_semi"), similarity), "near-rare")
+    crowded = stored(sets.meeting(open_texts, sketch, similarity), "near-rare")
     every = roots.hint("merge").join(open_texts.hint("merge"), F.col("node") == F.col("t"), "full_outer")
     roots = stored(every.select(F.coalesce("node", "t").alias("node"), F.coalesce("root", "t").alias("root")), "near-roots")
     while True:
@@ -399,13 +442,15 @@ def near_components(
         lead = stored(crowded.withColumn("k", F.row_number().over(order)).where(F.col("k") <= leads).select("slot", *side("a")), "near-leads")
         met = lead.hint("merge").join(crowded.select("slot", *side("b")), "slot").where((F.col("ra") != F.col("rb")) & _may_reach(similarity)).select("a", "b")
         new = stored(_ordered(met).hint("merge").join(checked, ["a", "b"], "left_anti"), "near-met")
-        found = stored(similar_pairs(_within(new, texts, similarity), sets, similarity), "near-edges")
+        pairs = stored(_within(new, texts, similarity), "near-pairs")
+        found = stored(similar_pairs(pairs, sets.of(_ends(pairs)), similarity), "near-edges")
         checked = checked.unionByName(new)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             roots = stored(_merged(roots, found), "near-roots")
         if leads >= widest:
             break
+        crowded = crowded.where(F.col("held") > leads)  # elsewhere every text was a lead, so the slot is done
         leads *= 8
     placed = stored(light.select("doc_id", "t").distinct().hint("merge").join(roots, F.col("t") == F.col("node"), "left").select("doc_id", F.coalesce("root", "t").alias("c")), "near-placed")
     least = stored(placed.groupBy("c").agg(F.min("doc_id").alias("root")), "near-least")
