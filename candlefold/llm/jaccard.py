@@ -94,7 +94,7 @@ def _filled(x: np.ndarray) -> np.ndarray:
 
 def pieces(sketch: np.ndarray) -> list[pa.Array]:
     """A sketch as ``PIECES`` rows: columns ``piece`` and ``counts`` (compressed)."""
-    width = CELLS // PIECES
+    width = len(sketch) // PIECES
     return [pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(sketch[i * width : (i + 1) * width].tobytes(), 1) for i in range(PIECES)], pa.binary())]
 
 
