@@ -19,6 +19,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
+#: Rows up to which a stored table of a few numbers a row counts as small (some MB).
+FEW = 100_000
+
 _made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
 
 
@@ -57,6 +60,20 @@ def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def looked_up(table: DataFrame) -> DataFrame:
+    """A stored table as the right side of a join: broadcast if it is small, merged otherwise."""
+    return F.broadcast(table) if table.count() <= FEW else table.hint("merge")
+
+
+def gathered(table: DataFrame) -> DataFrame:
+    """A stored table, read as one partition if it is small: aggregates and joins of such tables need no exchange.
+
+    An exchange costs as many tasks as there are shuffle partitions, however few the rows; for a small table those tasks
+    are all of the time.
+    """
+    return table.coalesce(1) if table.count() <= FEW else table
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored meanwhile are deleted at the end: what is still needed then has to be stored with ``keep``."""
@@ -96,20 +113,25 @@ def connected_components(edges: DataFrame, a: str, b: str, name: str = "componen
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each round is joins and partial aggregates over
     the edges, never over pairs of a group; either step's result is written to the shared folder. No step makes more edges
-    than it reads, so repeated ones are left until the end. Rounds grow with the logarithm of the longest path; edges that
-    are stars around their smallest nodes already need none.
+    than it reads, so repeated ones are left until the end, and a small graph stays small: it is walked without exchanges.
+    Rounds grow with the logarithm of the longest path; edges that are stars around their smallest nodes already need none.
     """
     now = stored(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")), name)
+    small = now.count() <= FEW
+    one = (lambda df: df.coalesce(1)) if small else (lambda df: df)
+    deal = (lambda low: low.withColumnRenamed("u", "key").hint("merge")) if small else _dealt_anew
+    now = one(now)
     for _ in range(max_rounds):
         if _are_stars(now):
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = _dealt_anew(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = stored(both.hint("merge").join(low, F.col("u") == F.col("key")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), name)
-        low = _dealt_anew(large.groupBy("u").agg(F.min("v").alias("m")))
+        ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = now.select(ways.alias("e")).select("e.*")
+        low = deal(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = one(stored(both.hint("merge").join(low, F.col("u") == F.col("key")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")), name))
+        low = deal(large.groupBy("u").agg(F.min("v").alias("m")))
         met = large.hint("merge").join(low, F.col("u") == F.col("key"))
         # the edge to the smallest stays, every other one moves to it
-        now = stored(met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), name)
+        now = one(stored(met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), name))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root"))))

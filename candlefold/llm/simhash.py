@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlefold.llm import jaccard
-from candlefold.llm.common import connected_components, scratch, stored, word_blocks
+from candlefold.llm.common import connected_components, gathered, looked_up, scratch, stored, word_blocks
 
 SEED = 42
 MAX_DISTANCE = 3
@@ -94,29 +94,47 @@ def leader_links(fps: DataFrame) -> DataFrame:
     return met.where((F.col("a") < F.col("b")) & (_far() <= MAX_DISTANCE)).select("a", "b")
 
 
-def representative_links(apart: DataFrame, salt: int, crowd: int = CROWD) -> DataFrame:
+def _around(slots: DataFrame) -> DataFrame:
+    """``slots``, each once more for every slot that is one bit away."""
+    masks = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)])
+    return slots.withColumn("m", F.explode(masks)).withColumn("val", F.col("val").bitwiseXOR(F.col("m"))).drop("m")
+
+
+def crowded_rows(apart: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """The table rows in slots of over ``crowd`` fingerprints and in the slots one bit away: all that representatives meet."""
+    table = _both(apart)
+    crowded = stored(table.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("seg", "val"), "simhash-crowded")
+    return table.join(looked_up(stored(_around(gathered(crowded)).distinct(), "simhash-around")), ["seg", "val"], "left_semi").select("fp", "root", "seg", "val")
+
+
+def representative_links(table: DataFrame, salt: int, crowd: int = CROWD) -> DataFrame:
     """Pairs (``a``, ``b``) of roots that a verified link joins, where one end represents a slot of over ``crowd`` fingerprints.
 
     A slot's representative (the least by a hash that ``salt`` turns) meets the fingerprints of its own slot and of the slots
-    one bit away: a fingerprint has at most 66 partners.
+    one bit away: a fingerprint has at most 66 partners. ``table``: ``crowded_rows``.
     """
-    table = _both(apart)
     one = table.groupBy("seg", "val").agg(F.count("*").alias("n"), F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(salt))).alias("one")).where(F.col("n") > crowd)
-    around = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(32)]))
-    near = one.select(F.col("one.fp").alias("a"), F.col("one.root").alias("ra"), "seg", "val", around.alias("m")).withColumn("val", F.col("val").bitwiseXOR(F.col("m")))
+    near = _around(one.select(F.col("one.fp").alias("a"), F.col("one.root").alias("ra"), "seg", "val"))
     met = table.select(F.col("fp").alias("b"), F.col("root").alias("rb"), "seg", "val").hint("merge").join(near, ["seg", "val"])
     return met.where((F.col("ra") != F.col("rb")) & (_far() <= MAX_DISTANCE)).select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
 
 def contracted(apart: DataFrame, rounds: int = ROUNDS, crowd: int = CROWD) -> DataFrame:
     """``fp`` and ``root`` with the roots that representatives join made one, until a round joins none or ``rounds`` are over."""
+    table = gathered(stored(crowded_rows(apart, crowd), "simhash-rows"))
+    now, moved, place = table, None, None
     for turn in range(rounds):
-        met = stored(representative_links(apart, turn, crowd), "simhash-met")
+        met = stored(representative_links(now, turn, crowd), "simhash-met")
         if met.isEmpty():
             break
-        moved = connected_components(met, "a", "b", "simhash-cc").select("node", F.col("root").alias("to"))
-        apart = stored(apart.hint("merge").join(moved, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("to", "root").alias("root")), "simhash-apart")
-    return apart
+        if moved is not None:
+            met = met.unionByName(moved.where("node <> to").select(F.col("to").alias("a"), F.col("node").alias("b")))
+        moved = stored(connected_components(met, "a", "b", "simhash-cc").select("node", F.col("root").alias("to")), "simhash-moved")
+        place = looked_up(moved)
+        now = table.join(place, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("to", "root").alias("root"), "seg", "val")
+    if moved is None:
+        return apart
+    return stored(apart.join(place, F.col("root") == F.col("node"), "left").select("fp", F.coalesce("to", "root").alias("root")), "simhash-apart")
 
 
 def links(fps: DataFrame, hot_bucket: int = 8192) -> DataFrame:
@@ -178,17 +196,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _labels(named: DataFrame, hot_bucket: int) -> DataFrame:
     fps = stored(named.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-fps")
-    several = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("doc_id", "a")
-    versions = named.select("doc_id", F.col("fp").alias("b")).hint("merge").join(several, "doc_id").where("a <> b").select("a", "b").distinct()
-    stars = stored(leader_links(fps).unionByName(versions), "simhash-stars")
-    first = stored(connected_components(stars, "a", "b", "simhash-cc"), "simhash-roots")
-    apart = stored(fps.hint("merge").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-apart")
+    several = stored(named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("doc_id", "a"), "simhash-several")
+    versions = named.select("doc_id", F.col("fp").alias("b")).join(looked_up(several), "doc_id").where("a <> b").select("a", "b")
+    first = stored(connected_components(leader_links(fps).unionByName(versions), "a", "b", "simhash-cc"), "simhash-roots")
+    apart = stored(fps.join(looked_up(first), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root")), "simhash-apart")
     apart = contracted(apart)
-    edges = stored(links(apart, hot_bucket), "simhash-links").unionByName(apart.where("root <> fp").select(F.col("root").alias("a"), F.col("fp").alias("b")))
-    roots = connected_components(edges, "a", "b", "simhash-cc")
-    placed = stored(fps.hint("merge").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-placed")
-    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return placed.hint("merge").join(least, "root").select("fp", "component_id")
+    edges = links(apart, hot_bucket).unionByName(apart.where("root <> fp").select(F.col("root").alias("a"), F.col("fp").alias("b")))
+    roots = stored(connected_components(edges, "a", "b", "simhash-cc"), "simhash-roots")
+    linked = gathered(stored(fps.join(looked_up(roots), F.col("fp") == F.col("node")).select("node", "rep", "root"), "simhash-linked"))
+    least = stored(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "simhash-least")
+    placed = stored(linked.join(looked_up(least), "root").select("node", "component_id"), "simhash-placed")
+    return fps.join(looked_up(placed), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
 
 
 def hex_digits(fp: Column) -> Column:
