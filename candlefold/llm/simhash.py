@@ -223,6 +223,8 @@ def hex_digits(fp: Column) -> Column:
 #: Numbers of 64 bits in a wide fingerprint, and bits in which near texts may differ.
 WIDTH = 4
 WIDE_DISTANCE = 60
+#: Texts of a task that makes table slots, some 140 a text.
+SLOT_TEXTS = 4096
 #: Ids whose texts are fetched by a broadcast (a few MB); by a merge join beyond.
 BROADCAST_IDS = 500_000
 _MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -359,6 +361,15 @@ def slots(texts: DataFrame) -> DataFrame:
     return ball.select(F.expr("shiftleft(cast(seg as bigint), 32) | case when i < 0 then val else val | shiftleft(1L, i) end").alias("slot"), "t", (F.col("i") < 0).alias("own"))
 
 
+def _dealt(texts: DataFrame) -> DataFrame:
+    """A stored table of texts, dealt out so that a task makes the slots of about ``SLOT_TEXTS`` of them.
+
+    Read as it is, a task takes as many texts as fit a split, and their slots are a hundred times its bytes: what it
+    aggregates or shuffles would fill an executor's memory.
+    """
+    return texts.repartition(-(-texts.count() // SLOT_TEXTS) or 1)
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Each pair of different texts once, the smaller as ``a``."""
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -431,8 +442,9 @@ def near_components(
     of_doc = light.groupBy("doc_id").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a < z").select("doc_id", "a")
     versions = light.select("doc_id", F.col("t").alias("b")).hint("merge").join(of_doc, "doc_id").where("a <> b").select("a", "b").distinct()
     # counts and leads first, members again for the slots where texts meet: a window over a hot slot would be one task
-    shared = stored(slots(texts).groupBy("slot").agg(F.min("t").alias("lead"), F.count("*").alias("held")).where("held > 1"), "near-shared")
-    members = stored(slots(texts).hint("merge").join(shared, "slot"), "near-members")
+    dealt = _dealt(texts.select("t", "f"))
+    shared = stored(slots(dealt).groupBy("slot").agg(F.min("t").alias("lead"), F.count("*").alias("held")).where("held > 1"), "near-shared")
+    members = stored(slots(dealt).hint("merge").join(shared, "slot"), "near-members")
     checked = stored(_ordered(members.where("own").select(F.col("lead").alias("a"), F.col("t").alias("b"))), "near-met")
     pairs = stored(_within(checked, texts, similarity), "near-pairs")
     sets = ShingleSets(rows, light, texts, shingle_words)
